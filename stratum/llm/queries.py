@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing
+from . import chat_format, mixing, quality_classifier, quality_rules, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,5 +23,23 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_chat_format": op1_chat_format, "op4_source_mix": op4_source_mix}
-ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
+    "op4_source_mix": op4_source_mix,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
