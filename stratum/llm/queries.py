@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_classifier, quality_rules, toxicity
+from . import chat_format, html_extract, mixing, quality_classifier, quality_rules, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op4_source_mix": op4_source_mix,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_html_extract": op9_html_extract,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
