@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, mixing, quality_classifier, quality_rules, toxicity
+from . import chat_format, html_extract, mixing, near_dedup, quality_classifier, quality_rules, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op4_source_mix": op4_source_mix,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_html_extract": op9_html_extract,
     "op10_toxicity": op10_toxicity,
