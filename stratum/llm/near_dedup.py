@@ -249,5 +249,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without those that aren't the first of their group."""
-    gone = staged(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
-    return docs.join(small_side(gone, 8), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = staged(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    return docs.join(small_side(gone, 8), docs["doc_id"] == F.col("__gone"), "left_anti")

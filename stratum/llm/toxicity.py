@@ -131,25 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """columns of docs (text is read) and score."""
+    """columns of docs (text is read) and __score."""
     bound = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", `__score` double"
     kept = list(columns)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            result = bound.value.scores(b.column("text_scored").to_pylist())
-            yield pa.record_batch([*[b.column(c) for c in kept], pa.array(result, pa.float64())], names=[*kept, "score"])
+            result = bound.value.scores(b.column("__text").to_pylist())
+            yield pa.record_batch([*[b.column(c) for c in kept], pa.array(result, pa.float64())], names=[*kept, "__score"])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("text_scored")).mapInArrow(scored, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(scored, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels), "doc_id")
-    return scored.select("doc_id", (heldout_mod("doc_id", MOD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (heldout_mod("doc_id", MOD) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic."""
-    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
+    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("__score") < THRESHOLD).drop("__score")
