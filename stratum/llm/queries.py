@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, mixing, near_dedup, quality_classifier, quality_rules, repeats, toxicity
+from . import chat_format, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chat(rows.unionByName(added)))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
+    "op2_pieces": op2_pieces,
     "op3_repeats": op3_repeats,
     "op4_source_mix": op4_source_mix,
     "op5_quality_classifier": op5_quality_classifier,
