@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, toxicity
+from . import chat_format, hamming, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_extract.extract_pages(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -61,7 +65,8 @@ QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_hamming_top_k": op8_hamming_top_k,
     "op9_html_extract": op9_html_extract,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL, "op8_hamming_top_k": hamming.SQL}
