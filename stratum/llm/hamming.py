@@ -4,8 +4,8 @@ A vector's code has one bit for each dimension: whether it is above zero. Codes
 one entry with its k smallest ids. If two codes differ in d bits, some segment differs in at most d // segments of them. So
 all codes within segments * (radius + 1) - 1 bits of a query are among those that a segment's values within the radius
 find. The radius grows for the queries that don't have k ids within that distance yet; their lists are complete as soon as
-they do. Queries for which the next radius would probe more values than there are codes are compared with all codes, in
-blocks of queries.
+they do. Queries for which the next radius would cost more than a comparison with all codes are compared with
+all codes, in blocks of queries.
 
 A pair is found once, by the first segment that is near enough, and only if it lies within the distance that is covered.
 Segments get longer as codes get more, so that a probed value stands for about one code.
@@ -32,6 +32,8 @@ BITS, TOP = 64, 10
 QUERY_EVERY = 100
 #: Queries that are compared with all codes at once.
 QUERY_BLOCK = 512
+#: Comparisons in a block that take the time of one probed value.
+PROBE = 50
 
 
 def code_of(vector: str) -> Column:
@@ -71,7 +73,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, id: str = "vec_i
     parts: list[DataFrame] = []
     radius = 0
     while size and not open_.isEmpty():
-        if _cost(bounds, radius) >= max(size, 64):
+        if _cost(bounds, radius) * PROBE >= max(size, 64 * PROBE):
             parts.append(_scan(index, open_, k))
             break
         near = segments * (radius + 1) - 1
