@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import documents, reports, retrieval
+
+QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **documents.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **documents.ORACLES}
