@@ -22,8 +22,12 @@ SPELLED = {
     "$str": ("STRING", "VARCHAR"),
     "$sha256(": ("sha2(", "sha256("),
     "$bits": (", 256", ""),
+    "$lines(text)": (r"explode(split(text, '\\n'))", "unnest(string_split(text, chr(10)))"),
 }
 
+#: Distinct values in order, joined by commas.
+JOINED = (r"array_join(array_sort(collect_set(\1)), ',')", r"string_agg(DISTINCT \1, ',' ORDER BY \1)")
+
 PLANS: dict[str, str] = {
     # F32, A2: rows with a missing value, and missing values of each column
     "dq_missing_summary": """
@@ -242,6 +246,7 @@ def _whole_sums(text: str, engine: int) -> str:
 def _spell(text: str, engine: int) -> str:
     for name, forms in SPELLED.items():
         text = text.replace(name, forms[engine])
+    text = re.sub(r"\$join\((\w+)\)", JOINED[engine], text)
     # decimals are doubles
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", _whole_sums(text, engine))
 
@@ -250,17 +255,17 @@ def _tables(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
-def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def query_of(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(_spell(text, 0), **{t: read(spark, sf_dir, t) for t in _tables(text)})
 
     return run
 
 
-def _check(text: str) -> str:
+def check_of(text: str) -> str:
     text = re.sub(r"LEFT ANTI JOIN", "ANTI JOIN", _spell(text, 1))
     return text.format(**{t: t for t in _tables(text)})
 
 
-QUERIES = {name: _query(text) for name, text in PLANS.items()}
-ORACLES = {name: _check(text) for name, text in PLANS.items()}
+QUERIES = {name: query_of(text) for name, text in PLANS.items()}
+ORACLES = {name: check_of(text) for name, text in PLANS.items()}
