@@ -135,6 +135,7 @@ class Parts:
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.words: list[str] = []
+        self.alternatives: dict[int, list[tuple[float, tuple[int, ...]]]] = {}  # by code, of parts that were asked for
         self.ids, self.starts, self.score, self.loss = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
@@ -227,7 +228,7 @@ class Parts:
         return self.ids[np.repeat(self.starts[codes] - begin, n) + np.arange(n.sum())], begin
 
 
-def nbest(parts: Parts, codes: np.ndarray, begin: np.ndarray, n: int, alternatives: dict[int, list]) -> list[dict]:
+def nbest(parts: Parts, codes: np.ndarray, begin: np.ndarray, n: int) -> list[dict]:
     """The n best segmentations of a text."""
     total = float(parts.score[codes].sum()) if len(codes) else 0.0
     loss = parts.loss[codes]
@@ -239,9 +240,9 @@ def nbest(parts: Parts, codes: np.ndarray, begin: np.ndarray, n: int, alternativ
     lists = []
     for k in few:
         c = int(codes[k])
-        if c not in alternatives:
-            alternatives[c] = nbest_part(parts.vocab, parts.words[c], n)
-        lists.append(alternatives[c])
+        if c not in parts.alternatives:
+            parts.alternatives[c] = nbest_part(parts.vocab, parts.words[c], n)
+        lists.append(parts.alternatives[c])
     # best first over the choices for these parts; a choice worsens one part at or after the last that was worsened
     queue, found = [(0.0, (0,) * len(few), 0)], []
     while queue and len(found) < n:
@@ -271,18 +272,16 @@ def encode(docs: DataFrame, *columns: str, model: str = MODEL, n: int = NBEST) -
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(changes))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, alternatives = Parts(vocabulary(model)), {}
+        parts = Parts(vocabulary(model))
         for b in batches:
             _, off = buffers(b.column("__text"))
             for i, j in slices(off, BATCH_BYTES):
                 codes = parts.codes([t or "" for t in b.column("__text").slice(i, j - i).to_pylist()])
-                if len(parts.code) < CACHE // 8 or len(alternatives) > CACHE:
-                    alternatives.clear()
                 ids, best = [], []
                 for c in codes:
                     own, begin = parts.pieces(c)
                     ids.append(own)
-                    best.append(nbest(parts, c, begin, n, alternatives))
+                    best.append(nbest(parts, c, begin, n))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.record_batch([*[b.column(c).slice(i, j - i) for c in kept], lists, pa.array(best, kind)], names=[*kept, "__ids", "__nbest"])

@@ -55,7 +55,7 @@ def test_texts_against_enumeration():
         parts = s.Parts(vocab)
         (codes,) = parts.codes([text])
         ids, begin = parts.pieces(codes)
-        got = s.nbest(parts, codes, begin, 4, {})
+        got = s.nbest(parts, codes, begin, 4)
         lists = [all_segmentations(vocab, p) for p in s.PARTS.findall(" " + text)]
         want = sorted((sum(x for x, _ in c) for c in itertools.product(*lists)), reverse=True)[:4]
         assert np.allclose([g["score"] for g in got], want)
@@ -67,6 +67,17 @@ def test_texts_against_enumeration():
             assert vocab.decode(np.array(own)).decode() == text
 
 
+def test_forgotten_parts_leave_no_alternatives(monkeypatch):
+    monkeypatch.setattr(s, "CACHE", 5)
+    parts = s.Parts(s.vocabulary(s.MODEL))
+    for text in ("tea no at", "is it on in", "nation sets", "tea no at", "een aan"):
+        (codes,) = parts.codes([text])
+        ids, begin = parts.pieces(codes)
+        lists = [all_segmentations(parts.vocab, p) for p in s.PARTS.findall(" " + text)]
+        want = sorted((sum(x for x, _ in c) for c in itertools.product(*lists)), reverse=True)[:4]
+        assert np.allclose([g["score"] for g in s.nbest(parts, codes, begin, 4)], want)
+
+
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(s, "BATCH_BYTES", 3000)
     texts = ["", None, " ", "a", " lead", "trail  ", "x\n\ny\n", "▁ lit▁eral", "<0x0A> <s>", "日本\U0001f600\x00\t", "w" * 3000] + [" ".join("".join(R.choices("abcdefghié", k=R.randint(1, 9))) for _ in range(R.randint(1, 400))) for _ in range(40)]
