@@ -16,7 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows of a batch that Python gets at most: texts of a few KB make a few MB, and a task holds few batches at a time.
+BATCH_ROWS = 1000
+_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name; from here on the session sends Python small batches."""
+    if not 0 < int(spark.conf.get(_ROWS_PER_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_PER_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
