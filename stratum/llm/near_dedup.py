@@ -8,8 +8,9 @@
    bound is five standard deviations wide), the spanning forest of the closest is taken. A bucket of many classes is cut
    in blocks, and pairs of blocks are tasks; no pair is given that the sketches rule out.
 4. Pairs are confirmed on full sets: the texts of a pair meet, those of a class with many pairs in salted groups.
-5. Confirmed links give components. In buckets that hold several components all pairs between different ones that the
-   sketches allow are confirmed too, so that no link between different components remains untested.
+5. Confirmed links give components. Components that still meet in a bucket make a family; all pairs of a family between
+   different components that the sketches allow are confirmed too, in pairs of blocks that texts are sent to and links
+   alone leave, so that no link between different components remains untested.
 
 Defined results: a text without words has an empty set and is linked with nothing; a text of fewer than 5 words is one
 shingle; rows of one doc_id are one document; a row without doc_id stands alone; an empty table gives no rows.
@@ -34,7 +35,7 @@ K = BANDS * ROWS
 BITS = 512
 #: Sketches that differ in more bits are of less similar sets: 56.6 bits are expected at 0.75, with a deviation of 8.6.
 MOST_BITS = 100
-BLOCK = 1024
+BLOCK = 512
 #: Pairs of one class that are confirmed in one group.
 GROUP = 256
 BATCH_BYTES = 1 << 20
@@ -119,7 +120,7 @@ def _differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ many).sum(1, dtype=np.int64)
 
 
-def _forest(sketches: np.ndarray, component: np.ndarray, fresh: np.ndarray) -> list[tuple[int, int]]:
+def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
     """Prim's spanning forest over the pairs of sketches that differ little."""
     n = len(sketches)
     best, link = np.full(n, BITS + 1), np.zeros(n, int)
@@ -135,59 +136,107 @@ def _forest(sketches: np.ndarray, component: np.ndarray, fresh: np.ndarray) -> l
     return out
 
 
-def _across(sketches: np.ndarray, component: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs between different components whose sketches differ little; within one block or between two, once."""
-    two = len(np.unique(block)) > 1
-    out = []
-    for i in range(len(sketches) - 1):
-        near = (component[i + 1 :] != component[i]) & (_differing(sketches[i], sketches[i + 1 :]) <= MOST_BITS)
-        if two:
-            near &= block[i + 1 :] != block[i]
-        out += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
-    return out
-
-
-def _paired(choose):
-    """Rows of a bucket follow each other; choose gives pairs of a bucket's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def pairs(rows: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
-            left, right = [], []
-            ids = rows["id"]
-            for p, q in zip(bounds[:-1], bounds[1:]):
-                if q - p > 1:
-                    for i, j in choose(rows["sketch"][p:q], rows["component"][p:q], rows["block"][p:q]):
-                        left.append(min(ids[p + i], ids[p + j]))
-                        right.append(max(ids[p + i], ids[p + j]))
-            return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "two", "id", "component", "block")}
-            rows["sketch"] = buffers(batch.column("sketch"))[0].reshape(len(batch), BITS // 8).view(np.uint64)
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            new = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["one"]) != 0) | (np.diff(rows["two"]) != 0)) + 1
-            if len(new):
-                yield pairs(rows, np.concatenate([[0], new]))
-                rows = {c: v[new[-1] :] for c, v in rows.items()}
-            held = rows
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a bucket (or of two of its blocks) follow each other; the pairs of its forest."""
+    held: dict[str, np.ndarray] | None = None
+
+    def pairs(rows: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        left, right = [], []
+        ids = rows["id"]
+        for p, q in zip(bounds[:-1], bounds[1:]):
+            if q - p > 1:
+                for i, j in _forest(rows["sketch"][p:q]):
+                    left.append(min(ids[p + i], ids[p + j]))
+                    right.append(max(ids[p + i], ids[p + j]))
+        return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = {c: batch.column(c).to_numpy() for c in ("key", "one", "two", "id")}
+        rows["sketch"] = _sketch_array(batch.column("sketch"))
         if held is not None:
-            yield pairs(held, np.array([0, len(held["id"])]))
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        new = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["one"]) != 0) | (np.diff(rows["two"]) != 0)) + 1
+        if len(new):
+            yield pairs(rows, np.concatenate([[0], new]))
+            rows = {c: v[new[-1] :] for c, v in rows.items()}
+        held = rows
+    if held is not None:
+        yield pairs(held, np.array([0, len(held["id"])]))
+
 
-    return run
+def _sketch_array(column: pa.Array) -> np.ndarray:
+    return buffers(column)[0].reshape(len(column), BITS // 8).view(np.uint64)
 
 
-def _in_buckets(rows: DataFrame, choose) -> DataFrame:
-    """Distinct pairs (a, b) that choose takes of rows (key, id, component, sketch, n: members of the bucket)."""
+def _in_blocks(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """rows (id, n: members of the key) for each pair of blocks of BLOCK members that a row is in: key, one, two, block, id, columns."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = own.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component", "block", "sketch")
-    ordered = placed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "id")
-    return ordered.mapInArrow(_paired(choose), "a long, b long").distinct()
+    return own.select(key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", *columns)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "id")
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+
+
+def _links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links between different components of rows (block, id, component, sketch, set), until those are one."""
+    blocks, ids, component = (np.array([r[i] for r in rows]) for i in range(3))
+    sketches, sets = np.stack([r[3] for r in rows]), [r[4] for r in rows]
+    two = len(np.unique(blocks)) > 1
+    out = []
+    for i in range(len(rows) - 1):
+        near = _differing(sketches[i], sketches[i + 1 :]) <= MOST_BITS
+        if two:
+            near &= blocks[i + 1 :] != blocks[i]
+        for j in np.flatnonzero(near) + i + 1:
+            if component[j] != component[i] and _similar(sets[i], sets[j]):
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                component[component == component[j]] = component[i]
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, held = None, []
+    give = lambda links: pa.record_batch([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
+    for b in batches:
+        data, off = buffers(b.column("text"))
+        columns = [b.column(c).to_numpy() for c in ("root", "one", "two", "block", "id", "component")]
+        sketches = _sketch_array(b.column("sketch"))
+        for i, j in slices(off, BATCH_BYTES):
+            for k, own in zip(range(i, j), shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])):
+                at = tuple(c[k] for c in columns[:3])
+                if at != group:
+                    if len(held) > 1:
+                        yield give(_links_of(held))
+                    group, held = at, []
+                held.append((*(c[k] for c in columns[3:]), sketches[k], own))
+    if len(held) > 1:
+        yield give(_links_of(held))
+
+
+def _across(mixed_up: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share a bucket (mixed_up: key, id, component, sketch; staged).
+
+    Components that meet in buckets make a family. Each text goes once to each pair of blocks of its family that it is in,
+    where pairs that the sketches allow are confirmed on full sets; what leaves the task is links only.
+    """
+    met = mixed_up.join(mixed_up.groupBy("key").agg(F.min("component").alias("low")), "key").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct()
+    families = components(met)
+    members = mixed_up.select("id", "component", "sketch").dropDuplicates(["id"]).join(families, F.col("component") == F.col("node"), "left").withColumn("root", F.coalesce("root", "component"))
+    sizes = members.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"))
+    placed = staged(_in_blocks(members.join(sizes, F.col("root") == F.col("of")), "root", "component", "sketch"), "near-families")
+    texts = docs.join(small_side(placed, 48 + BITS // 8), docs["doc_id"] == F.col("id")).select("root", "one", "two", "block", "id", "component", "sketch", "text")
+    return staged(_dealt(texts, "root").mapInArrow(_linked, "a long, b long").distinct(), "near-across")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +252,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not member[k]:
                     sets.append(own)
                     continue
-                for other in sets:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if DENOMINATOR * both >= NUMERATOR * (len(own) + len(other) - both):
-                        links.append((centers[k], ids[k]))
-                        break
+                if any(_similar(own, other) for other in sets):
+                    links.append((centers[k], ids[k]))
             yield pa.record_batch([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
 
@@ -232,15 +278,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = some.join(classes.select(F.col("id"), F.col("digest").alias("d")), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d"))).select("id", "bands", "sketch")
     members = firsts.select("id", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     buckets = staged(members.join(firsts.select("id", "sketch"), "id"), "near-buckets")
-    pairs = staged(_in_buckets(buckets.withColumn("component", F.col("id")), _forest), "near-pairs")
+    pairs = staged(_dealt(_in_blocks(buckets, "key", "sketch"), "key").mapInArrow(_pairs, "a long, b long").distinct(), "near-pairs")
     links = confirm(pairs, docs)
     found = components(links)
     rooted = lambda rows: rows.join(found, rows["id"] == found["node"], "left").withColumn("component", F.coalesce("root", "id")).drop("node", "root")
     whole = Window.partitionBy("key")
-    mixed_up = rooted(buckets).withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).filter("low <> high").drop("low", "high")
-    more = staged(_in_buckets(mixed_up, _across).join(pairs, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        found = components(links.unionByName(confirm(more, docs)))
+    mixed_up = rooted(buckets).withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).filter("low <> high").drop("low", "high", "n")
+    mixed_up = staged(mixed_up, "near-mixed")
+    if not mixed_up.isEmpty():
+        found = components(links.unionByName(_across(mixed_up, docs)))
     by_class = rooted(classes).select("digest", F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
