@@ -13,8 +13,8 @@ are compared only where repeats can be:
 
 Before a shuffle each task drops what it can settle itself: anchors it has seen before are flagged at once and go once;
 equal contexts are classed and go once. So a passage that stands in a third of all documents costs the task that gathers
-it one entry for each task before it. Only packed numbers and contexts are shuffled; texts are joined to short lists of
-anchors and marks, which are broadcast while they are small.
+it one entry for each task before it. Packed numbers and contexts are shuffled, and texts twice, to meet the short
+lists of their anchors and of their marks.
 
 Defined results: a null text is empty; a text below 50 bytes loses nothing; rows of one doc_id are one document and should
 be equal; a row without doc_id loses nothing and takes nothing from others; an empty table gives no rows.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BASE, _VALUE, Substrings, buffers, mixed, slices, small_side, staged
+from .shared import _BASE, _VALUE, Substrings, buffers, mixed, slices, staged
 
 SPAN, GRAM = 50, 19
 #: Places of an anchor in a string, and the bytes on each side of one in a context.
@@ -375,15 +375,14 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     sent = rows.mapInArrow(_sent_anchors(parts), _BLOB_DDL)
     flags = sent.groupBy("part").applyInArrow(_flagged(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32), "doc_id long, places binary")
     flags = staged(flags, "repeats-anchors")
-    flagged = rows.join(small_side(flags.withColumnRenamed("doc_id", "of"), F.octet_length("places") + 16), rows["doc_id"] == F.col("of")).select("doc_id", "text", "places")
+    flagged = rows.join(flags.withColumnRenamed("doc_id", "of"), rows["doc_id"] == F.col("of")).select("doc_id", "text", "places")
     around = flagged.mapInArrow(_sent_contexts(parts), _BLOB_DDL)
     marks = around.groupBy("part").applyInArrow(_marked(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32, np.uint32), "doc_id long, places binary, marks binary")
     return staged(marks, "repeats-marks")
 
 
 def _with_marks(docs: DataFrame, *columns: str) -> DataFrame:
-    found = repeat_marks(docs).toDF("__of", "__places", "__marks")
-    marks = small_side(found, F.octet_length("__places") * 2 + 24)
+    marks = repeat_marks(docs).toDF("__of", "__places", "__marks")
     return docs.join(marks, docs["doc_id"].cast("long") == F.col("__of"), "left").select(*[docs[c] for c in columns], "__places", "__marks")
 
 
