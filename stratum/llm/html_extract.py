@@ -1,16 +1,17 @@
 """Main text of web pages, without what a site repeats.
 
-Each page is parsed into a tree. Subtrees outside the article are hashed with their host, and Spark counts on how many
-pages of the host each hash stands; subtrees that recur on many pages are the site's template and are deleted. Of what
-remains, menus, headers, footers, sidebars, notices, adverts, forms, comments and unseen elements go by tag, role and
+Each page is parsed into a tree. Its parts, inside the article and outside, are hashed with their host, and Spark counts
+with how many main texts of the host each hash stands; parts that recur with many are the site's template and are deleted
+wherever they stand. Articles and main parts themselves stay, and so do paragraphs and headings inside them, which recur
+in prose. Of what remains, menus, headers, footers, sidebars, notices, adverts, forms, comments and unseen elements go by tag, role and
 class; the text is that of the article (or main part, or else the body), block by block.
 
 Only hashes are counted and shuffled. Hashes of templates are sent to all tasks while their number is small, else they are
 joined to the pages that hold them.
 
 Defined results: null or empty html gives an empty text; a null or odd url has no host and no templates; repeated rows
-count once per row; broken markup is read as browsers do, roughly: unclosed elements end with what holds them; an empty
-table gives no rows.
+give a row each; broken markup is read as browsers do, roughly: unclosed elements end with what holds them; an empty
+table gives no rows. Copies of a page have one main text, so that they make no template.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: A subtree is part of the template if at least so many pages, and this share of the host's pages, hold it.
+#: A subtree is part of the template if pages of at least so many main texts, and of this share of the host's, hold it.
 MIN_PAGES, MIN_SHARE = 4, 0.01
 #: Template hashes that are sent to all tasks at most (8 bytes each).
 SENT = 500_000
@@ -36,7 +37,9 @@ VOID = _set("area base br col embed hr img input link meta param source track wb
 BLOCK = _set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul")
 UNSEEN = _set("head title script style noscript template iframe object svg math canvas audio video map button select textarea input label datalist dialog form nav aside footer menu search fieldset")
 #: Elements that may be a template as a whole.
-PARTS = _set("nav header footer aside section div ul ol dl table form details menu")
+PARTS = _set("nav header footer aside section div ul ol dl table form details menu figure")
+#: Elements that may be one outside the article only.
+LOOSE = _set("p blockquote pre h1 h2 h3 h4 h5 h6 hgroup span")
 CLOSES = {"li": _set("li"), "dt": _set("dt dd"), "dd": _set("dt dd"), "tr": _set("tr td th"), "td": _set("td th"), "th": _set("td th"), "option": _set("option")}
 HOLDS = {"li": _set("ul ol menu"), "dt": _set("dl"), "dd": _set("dl"), "tr": _set("table"), "td": _set("table tr"), "th": _set("table tr"), "option": _set("select datalist")}
 #: Parts of a class, id or role that mark what isn't the article.
@@ -130,7 +133,7 @@ def parse(html: str | None) -> Node:
 
 
 def subtree_hashes(root: Node, host: str) -> dict[int, int]:
-    """id of each part outside the article that has text -> its hash (with the host)."""
+    """id of each part that has text and holds no article -> its hash (with the host)."""
     out: dict[int, int] = {}
     done: dict[int, tuple[bytes, int, bool]] = {}
     stack: list[tuple[Node, bool]] = [(root, False)]
@@ -150,7 +153,7 @@ def subtree_hashes(root: Node, host: str) -> dict[int, int]:
                 digest.update(b"t" + " ".join(words).encode("utf-8", "surrogatepass"))
                 length += sum(map(len, words))
         done[id(node)] = digest.digest(), length, article
-        if node.tag in PARTS and not article and not node.within and length:
+        if (node.tag in PARTS or node.tag in LOOSE and not node.within) and not article and length:
             h = blake2b(host.encode("utf-8", "surrogatepass") + b"\0" + digest.digest(), digest_size=8).digest()
             out[id(node)] = int.from_bytes(h, "little", signed=True)
     return out
@@ -226,18 +229,21 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for page, site, host, html in zip(*[b.column(c).to_pylist() for c in ("page_id", "site", "host", "html")]):
-            rows += [(page, site, h) for h in set(subtree_hashes(parse(html), host).values())]
-        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["page_id", "site", "h"])
+            root = parse(html)
+            content = blake2b(_text(root, set()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            # a row without a hash stands for the page
+            rows += [(page, site, h, int.from_bytes(content, "little", signed=True)) for h in (None, *set(subtree_hashes(root, host).values()))]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["page_id", "site", "h", "content"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
     with_host = rows.filter("host <> ''").withColumn("site", F.xxhash64("host"))
-    hashes = with_host.select("page_id", "site", "host", "html").mapInArrow(_hashed, "page_id long, site long, h long")
-    counted = hashes.groupBy("site", "h").count().filter(F.col("count") >= MIN_PAGES)
-    sizes = with_host.groupBy("site").agg(F.count("*").alias("pages"))
-    templates = staged(counted.join(sizes, "site").filter(F.col("count") >= F.col("pages") * MIN_SHARE).select("h"), "html-templates")
+    hashes = with_host.select("page_id", "site", "host", "html").mapInArrow(_hashed, "page_id long, site long, h long, content long")
+    counted = staged(hashes.groupBy("site", "h").agg(F.countDistinct("content").alias("n")).filter(F.col("h").isNull() | (F.col("n") >= MIN_PAGES)), "html-counts")
+    sizes = counted.filter("h IS NULL").select("site", F.col("n").alias("all"))
+    templates = staged(counted.filter("h IS NOT NULL").join(sizes, "site").filter(F.col("n") >= F.col("all") * MIN_SHARE).select("h"), "html-templates")
     schema = "page_id long, url string, text string"
     if templates.count() <= SENT:
         # SENT numbers of 8 bytes at most

@@ -48,5 +48,17 @@ def test_templates_of_a_host(spark, monkeypatch, sent):
     assert (text[500], text[501], text[None], text[502]) == ("none", "", "null id", "copy of all")
 
 
+@pytest.mark.parametrize("sent", [h.SENT, 0])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_templates_inside_the_article(spark, monkeypatch, sent, tag):
+    monkeypatch.setattr(h, "SENT", sent)
+    page = "<{0}><h2>Intro</h2><p>Own {1}.</p><div class='k7'><p>Read also: our best.</p></div><figure>Logo</figure></{0}>"
+    data = [(i, f"https://a.example/{i}", page.format(tag, i)) for i in range(12)]
+    copies = [(100 + i, f"https://b.example/{i}", f"<{tag}><div>Same story.</div><section>Its end.</section></{tag}>") for i in range(12)]
+    text = {r.page_id: r.text for r in h.extract_pages(rows(spark, data + copies)).collect()}
+    assert [text[i] for i in range(12)] == [f"Intro Own {i}." for i in range(12)]
+    assert {text[100 + i] for i in range(12)} == {"Same story. Its end."}
+
+
 def test_empty(spark):
     assert h.extract_pages(rows(spark, [])).collect() == []
