@@ -46,6 +46,10 @@ PLANS: dict[str, str] = {
     "citation_truth": """
         WITH c AS (SELECT source, CASE WHEN lang = 'en' THEN 'official' ELSE 'private' END AS truth, doc_id FROM {documents} WHERE doc_id % 6 = 0)
         SELECT source, CASE WHEN count(DISTINCT truth) > 1 THEN 'mixed' ELSE min_by(truth, doc_id) END AS truth, count(*) AS n FROM c GROUP BY source""",
+    # the same over all rows
+    "citation_truth_all": """
+        WITH c AS (SELECT source, CASE WHEN lang = 'en' THEN 'official' ELSE 'private' END AS truth, doc_id FROM {documents})
+        SELECT source, CASE WHEN count(DISTINCT truth) > 1 THEN 'mixed' ELSE min_by(truth, doc_id) END AS truth, count(*) AS n FROM c GROUP BY source""",
     # How many candidates a search may take
     "candidate_budget": """
         SELECT doc_id, CASE WHEN n_chars < 100 THEN NULL ELSE least(n_chars % 40, greatest(n_chars % 11, CASE WHEN lang = 'en' THEN 5 ELSE 6 END)) END AS budget FROM {documents}""",
@@ -148,6 +152,10 @@ PLANS: dict[str, str] = {
     "book_index": """
         WITH p AS (SELECT source AS slug, min(lang) AS title FROM {documents} WHERE doc_id % 29 = 0 GROUP BY source), c AS (SELECT source AS slug, max(lang) AS title, count(*) AS n FROM {documents} GROUP BY source)
         SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS from_playbook FROM c LEFT JOIN p ON c.slug = p.slug""",
+    # the same over all rows: labelled books are the one table, all books the other
+    "book_index_all": """
+        WITH p AS (SELECT source AS slug, min(lang) AS title FROM {labels} JOIN {documents} USING (doc_id) GROUP BY source), c AS (SELECT source AS slug, max(lang) AS title, count(*) AS n FROM {documents} GROUP BY source)
+        SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS from_playbook FROM c LEFT JOIN p ON c.slug = p.slug""",
     # One row for each kind of an edge
     "edge_unpivot": """
         SELECT least(a.source, b.source) AS x, greatest(a.source, b.source) AS y, a.lang AS kind, count(*) AS weight FROM {documents} a JOIN {documents} b ON a.doc_id = b.doc_id + 1 WHERE a.source <> b.source GROUP BY 1, 2, 3""",

@@ -56,6 +56,12 @@ PLANS: dict[str, str] = {
         l AS (SELECT d.source, count(*) AS n_labels, isum(toxic) AS n_toxic FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0 GROUP BY d.source)
         SELECT coalesce(d.source, l.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(n_chars, 0) AS n_chars, coalesce(n_langs, 0) AS n_langs, coalesce(n_labels, 0) AS n_labels, coalesce(n_toxic, 0) AS n_toxic, d.source IS NOT NULL AS materialized
         FROM d FULL OUTER JOIN l ON d.source = l.source""",
+    # the same over all rows
+    "corpus_dashboard_full_outer_all": """
+        WITH d AS (SELECT source, count(*) AS n_docs, isum(n_chars) AS n_chars, count(DISTINCT lang) AS n_langs FROM {documents} GROUP BY source),
+        l AS (SELECT d.source, count(*) AS n_labels, isum(toxic) AS n_toxic FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY d.source)
+        SELECT coalesce(d.source, l.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(n_chars, 0) AS n_chars, coalesce(n_langs, 0) AS n_langs, coalesce(n_labels, 0) AS n_labels, coalesce(n_toxic, 0) AS n_toxic, d.source IS NOT NULL AS materialized
+        FROM d FULL OUTER JOIN l ON d.source = l.source""",
     # JN2, A24: approval of each book, missing sides count zero
     "approval_report": """
         WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM {labels} GROUP BY doc_id),
@@ -81,6 +87,10 @@ PLANS: dict[str, str] = {
     "source_state_reconcile": """
         WITH langs AS (SELECT DISTINCT source, lang FROM {documents} WHERE doc_id % 11 < 2)
         SELECT source, lang, CASE WHEN lang = 'en' AND max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) OVER (PARTITION BY source) = 0 THEN 'en_only' WHEN lang = 'en' THEN 'en_with_sibling' ELSE 'other' END AS state FROM langs""",
+    # the same over all rows
+    "source_state_reconcile_all": """
+        WITH langs AS (SELECT DISTINCT source, lang FROM {documents})
+        SELECT source, lang, CASE WHEN lang = 'en' AND max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) OVER (PARTITION BY source) = 0 THEN 'en_only' WHEN lang = 'en' THEN 'en_with_sibling' ELSE 'other' END AS state FROM langs""",
     # JN9, JN10, A10, G3: pairs of books by how many signals they share
     "book_pair_edges": """
         WITH s AS (SELECT DISTINCT s_nationkey AS book, l_partkey AS signal FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey)
@@ -96,6 +106,14 @@ PLANS: dict[str, str] = {
         seeds AS (SELECT book FROM (SELECT book, max(score) AS best FROM hits GROUP BY book) AS ranked ORDER BY best DESC, book LIMIT 5),
         support AS (SELECT x AS book, count(DISTINCT y) AS targets, count(DISTINCT kind) AS kinds FROM both_ways WHERE y IN (SELECT book FROM seeds) GROUP BY x)
         SELECT doc_id, h.book, round(score + least(0.35, least(0.18, 0.05 * coalesce(targets, 0)) + least(0.12, 0.02 * coalesce(kinds, 0))), 6) AS boosted FROM hits h LEFT JOIN support s ON h.book = s.book""",
+    # the same for all documents, with all edges
+    "graph_boost_all": """
+        WITH hits AS (SELECT doc_id, source AS book, round(1.0 / (60 + doc_id % 97), 6) AS score FROM {documents}),
+        edges AS (SELECT DISTINCT a.source AS x, b.source AS y, a.lang AS kind FROM {documents} a JOIN {documents} b ON a.doc_id = b.doc_id + 13 WHERE a.source <> b.source),
+        both_ways AS (SELECT x, y, kind FROM edges UNION SELECT y, x, kind FROM edges),
+        seeds AS (SELECT book FROM (SELECT book, max(score) AS best FROM hits GROUP BY book) AS ranked ORDER BY best DESC, book LIMIT 5),
+        support AS (SELECT x AS book, count(DISTINCT y) AS targets, count(DISTINCT kind) AS kinds FROM both_ways WHERE y IN (SELECT book FROM seeds) GROUP BY x)
+        SELECT doc_id, h.book, round(score + least(0.35, least(0.18, 0.05 * coalesce(targets, 0)) + least(0.12, 0.02 * coalesce(kinds, 0))), 6) AS boosted FROM hits h LEFT JOIN support s ON h.book = s.book""",
     # JN17: who links to a page, by host
     "backlinks": """
         WITH l AS (SELECT doc_id AS src, (doc_id * 7 + 3) % 500 AS dst FROM {documents} UNION ALL SELECT doc_id, (doc_id * 3) % 500 FROM {documents})
@@ -207,6 +225,9 @@ PLANS: dict[str, str] = {
     # The first of each identity
     "citation_dedupe": """
         SELECT doc_id, source, excerpt FROM (SELECT doc_id, source, substr(text, 1, 40) AS excerpt, row_number() OVER (PARTITION BY source, lower(substr(text, 1, 40)) ORDER BY doc_id) AS r FROM {documents}) AS x WHERE r = 1""",
+    # the same by the whole text
+    "citation_dedupe_all": """
+        SELECT min(doc_id) AS doc_id, source, min_by(substr(text, 1, 40), doc_id) AS excerpt FROM {documents} GROUP BY source, md5(lower(text))""",
     # fingerprints
     "source_fingerprints": """
         SELECT doc_id, $sha256(concat(source, '|', lang, '|', CAST(n_chars AS $str))$bits) AS fingerprint FROM {documents}""",
