@@ -6,6 +6,10 @@ partitioned by query, so that no query's hits pass through another's task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 QUERY_ROWS = 100_000
 DIGITS = 6
+#: Queries that are compared with a batch of vectors at once.
+QUERY_BLOCK = 256
 
 
 def bounded(queries: DataFrame) -> DataFrame:
@@ -62,6 +68,52 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored.filter("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 
+def _packed(rows: int):
+    """Batches of id, vector -> dim, ids and unit vectors as bytes, rows of them at once; null, unequal and zero vectors score nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by_dim: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for i, v in zip(b.column("id").to_pylist(), b.column("vector")):
+                if i is not None and v.is_valid and len(v.values) and not v.values.null_count:
+                    x = v.values.to_numpy().astype(np.float64)
+                    if 0 < (norm := np.sqrt(x @ x)) < np.inf:
+                        by_dim.setdefault(len(x), []).append((i, x / norm))
+            parts = [(dim, own[at : at + rows]) for dim, own in by_dim.items() for at in range(0, len(own), rows)]
+            ids = [np.array([i for i, _ in own], np.int64).tobytes() for _, own in parts]
+            data = [np.stack([x for _, x in own]).tobytes() for _, own in parts]
+            yield pa.record_batch([pa.array([d for d, _ in parts], pa.int32()), pa.array(ids, pa.binary()), pa.array(data, pa.binary())], names=["dim", "ids", "data"])
+
+    return run
+
+
+def cosine_top_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same as cosine_top for many queries: blocks of queries meet batches of vectors, and only the k best of each pair leave a task."""
+    packed = lambda df, id, vector, rows: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).mapInArrow(_packed(rows), "dim int, ids binary, data binary")
+    asked = packed(queries, "query_id", "vector", QUERY_BLOCK).toDF("q_dim", "q_ids", "q_data")
+    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        asked = F.broadcast(asked)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                dim, ids, data, q_ids, q_data = (b.column(c)[r].as_py() for c in ("dim", "ids", "data", "q_ids", "q_data"))
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = np.frombuffer(q_data).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T
+                s = np.floor(s * 10**DIGITS + 0.5) / 10**DIGITS
+                least = np.partition(s, len(ids) - k, axis=1)[:, [len(ids) - k]] if len(ids) > k else -np.inf
+                q, v = np.nonzero((s >= least) & (s > 0))
+                order = np.lexsort((ids[v], -s[q, v], q))
+                q, v = q[order], v[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, v = q[first], v[first]
+                yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[v]), pa.array(s[q, v])], names=["query_id", "doc_id", "score"])
+
+    pairs = packed(vectors, "vec_id", "embedding", 1 << 13).crossJoin(asked).filter("dim = q_dim")
+    hits = pairs.mapInArrow(scored, "query_id long, doc_id long, score double")
+    return top(hits, k, F.desc("score"), F.col("doc_id"))
+
+
 def rrf(lists: dict[str, tuple[DataFrame, float]], k: int, noise: Column | None = None) -> DataFrame:
     """query_id, doc_id, score, n_sources: weighted reciprocal ranks added up. Ranks count noise, which is dropped afterwards."""
     each = None

@@ -69,6 +69,52 @@ def diversify_cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.diversify(_fused(spark, sf_dir, 1 << 30), 2, 20).select("doc_id", "book", "score", "rank")
 
 
+#: Stated queries: the vectors of each id that this divides.
+QUERY_EVERY = 100
+
+
+def _all_item_queries(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select((F.col("item_id") * every).alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
+
+
+def bm25_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each item."""
+    return r.bm25(read(spark, sf_dir, "documents"), _all_item_queries(spark, sf_dir), 10)
+
+
+def _stated_vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return r.cosine_top_blocks(vectors, queries, k)
+
+
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stated_vectors(spark, sf_dir, 20)
+
+
+def _lists_all(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, float]]:
+    """The n-th stated vector asks with the words of item n; a query without words, or without a vector, has one list."""
+    words = r.bm25(read(spark, sf_dir, "documents"), _all_item_queries(spark, sf_dir, QUERY_EVERY), 40)
+    return {"bm25": (words, 1.0), "vector": (_stated_vectors(spark, sf_dir, 40), 1.15)}
+
+
+def rrf_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.rrf(_lists_all(spark, sf_dir), 30, noise=F.col("doc_id") % 7 == 3).select("query_id", "doc_id", "score", "n_sources", "rank")
+
+
+def _fused_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    books = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"))
+    return r.fuse(_lists_all(spark, sf_dir), books, k)
+
+
+def hybrid_fusion_weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused_all(spark, sf_dir, 25).select("query_id", "doc_id", "book", "score", "rank")
+
+
+def diversify_cap_per_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.diversify(_fused_all(spark, sf_dir, 1 << 30), 2, 20).select("query_id", "doc_id", "book", "score", "rank")
+
+
 _LISTS = f"""
 toks AS (SELECT doc_id, source AS book, {TOKENS_SQL.format('text')} AS ts FROM documents),
 asked(query_id, term) AS (QUERIES),
@@ -95,7 +141,14 @@ merged AS (SELECT doc_id, round(sum(part), 8) AS score FROM each GROUP BY doc_id
 fused AS (SELECT doc_id, book, round(score * CASE WHEN support >= 2 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 8) AS score FROM merged JOIN books USING (doc_id) LEFT JOIN support USING (book))
 """
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, bm25_term_stats, bm25_doc_len, cosine_topk, rrf_merge, hybrid_fusion_weighted, diversify_cap_per_source)}
+_VECTORS_ALL = _VECTORS.replace("vec_id < 10", f"vec_id % {QUERY_EVERY} = 0")
+_ITEMS = f"SELECT DISTINCT item_id * EVERY, unnest({TOKENS_SQL.format('text')}) FROM benchmark"
+_BOTH_ALL = f"""{_LISTS.replace('QUERIES', _ITEMS.replace('EVERY', str(QUERY_EVERY)))}, {_VECTORS_ALL},
+each AS (SELECT query_id, doc_id, 'bm25' AS origin, rank, 1.0::DOUBLE / (60 + rank) AS part FROM words WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, 'vector', rank, 1.15::DOUBLE / (60 + rank) FROM vectors WHERE rank <= 40)
+"""
+# scores raised by 1.1 may end in an exact half, which the engines round apart: the fused lists of all queries have tests, not SQL
+_ALL = (bm25_batch_all, cosine_topk_all, rrf_merge_all, hybrid_fusion_weighted_all, diversify_cap_per_source_all)
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, bm25_term_stats, bm25_doc_len, cosine_topk, rrf_merge, hybrid_fusion_weighted, diversify_cap_per_source, *_ALL)}
 ORACLES = {
     "bm25_topk": f"WITH {_LISTS.replace('QUERIES', _LITERAL)} SELECT doc_id, score, rank FROM words WHERE rank <= 50",
     "bm25_batch": f"WITH {_LISTS.replace('QUERIES', 'SELECT DISTINCT item_id, unnest(terms) FROM (SELECT item_id, list_slice(list_reverse(list_reduce(list_prepend([]::VARCHAR[], list_transform(ts, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_prepend(b[1], a) END)), 1, 6) AS terms FROM (SELECT item_id, ' + TOKENS_SQL.format('text') + ' AS ts FROM benchmark))')} SELECT query_id, doc_id, score, rank FROM words WHERE rank <= 10",
@@ -105,4 +158,7 @@ ORACLES = {
     "rrf_merge": f"WITH {_BOTH}, merged AS (SELECT doc_id, round(sum(part), 8) AS score, count(DISTINCT origin) AS n_sources FROM each WHERE NOT doc_id % 7 = 3 GROUP BY doc_id) SELECT doc_id, score, n_sources, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= 30",
     "hybrid_fusion_weighted": f"WITH {_FUSED} SELECT doc_id, book, score, row_number() OVER (ORDER BY score DESC, book, doc_id) AS rank FROM fused QUALIFY rank <= 25",
     "diversify_cap_per_source": f"WITH {_FUSED}, capped AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY book ORDER BY score DESC, doc_id) <= 2) SELECT doc_id, book, score, row_number() OVER (ORDER BY score DESC, book, doc_id) AS rank FROM capped QUALIFY rank <= 20",
+    "bm25_batch_all": f"WITH {_LISTS.replace('QUERIES', _ITEMS.replace('EVERY', '1'))} SELECT query_id, doc_id, score, rank FROM words WHERE rank <= 10",
+    "cosine_topk_all": f"WITH {_VECTORS_ALL} SELECT query_id, doc_id, score, rank FROM vectors WHERE rank <= 20",
+    "rrf_merge_all": f"WITH {_BOTH_ALL}, merged AS (SELECT query_id, doc_id, round(sum(part), 8) AS score, count(DISTINCT origin) AS n_sources FROM each WHERE NOT doc_id % 7 = 3 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= 30",
 }

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from stratum.operators import retrieval
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,10 @@ def folder(spark, tmp_path_factory):
     docs = [(i, "x" * 40 + str(i // 2), "de" if i % 11 == 5 else "en", "c" if i % 11 == 5 or i % 11 == 6 else "ab"[i % 2], 42) for i in range(300)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(os.path.join(path, "documents.parquet"))
     spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality long, toxic long").write.parquet(os.path.join(path, "labels.parquet"))
+    vectors = [(i, [float(i % 7), float(i % 5 - 2), 1.0]) for i in range(299)] + [(300, [0.0, 0.0, 0.0]), (301, None), (302, [1.0]), (303, [None, 1.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(os.path.join(path, "embeddings.parquet"))
+    words = "one two three four five six " + "x" * 40 + "7"
+    spark.createDataFrame([(0, words), (1, words)], "item_id long, text string").write.parquet(os.path.join(path, "benchmark.parquet"))
     return path
 
 
@@ -37,3 +42,25 @@ def test_siblings_outside_a_filter_are_found(spark, folder):
 def test_texts_that_differ_late_are_others(spark, folder):
     docs = spark.read.parquet(os.path.join(folder, "documents.parquet"))
     assert len(rows(spark, folder, "citation_dedupe_all")) == docs.select("source", "text").distinct().count()
+
+
+def test_each_stated_vector_asks(spark, folder):
+    vectors = spark.read.parquet(os.path.join(folder, "embeddings.parquet"))
+    queries = vectors.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    got = sorted(tuple(r) for r in rows(spark, folder, "cosine_topk_all"))
+    assert {r[0] for r in got} == {0, 100, 200}
+    assert got == sorted(tuple(r) for r in retrieval.cosine_top(vectors, queries, 20).collect())
+
+
+def test_words_after_the_sixth_count(spark, folder):
+    assert {(r.query_id, r.doc_id) for r in rows(spark, folder, "bm25_batch_all")} == {(q, d) for q in (0, 1) for d in (14, 15)}
+
+
+def test_each_query_has_its_own_fused_list(spark, folder):
+    found = {q: {r.doc_id for r in rows(spark, folder, "rrf_merge_all") if r.query_id == q} for q in (0, 100, 200)}
+    assert all({14, 15} <= found[q] for q in (0, 100)) and found[200]
+    for name in ("hybrid_fusion_weighted_all", "diversify_cap_per_source_all"):
+        got = rows(spark, folder, name)
+        assert {r.query_id for r in got} == {0, 100, 200}
+        one = {q: sorted((r["rank"], r.doc_id) for r in got if r.query_id == q) for q in (0, 200)}
+        assert [n for n, _ in one[200]] == list(range(1, len(one[200]) + 1)) and one[0] != one[200]
