@@ -22,6 +22,9 @@ def windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes")
 TURN_STATE = "turns int, topic string"
 TURN_OUT = "conv_id long, turns int, topic string"
 KEPT_TURNS = 20
+#: What str.split takes for spaces, and what it doesn't.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE, WORD = f"[{_SPACES}]", f"[^{_SPACES}]"
 
 
 def evolve(turns: int, topic: str | None, rows: pd.DataFrame) -> tuple[int, str | None]:
@@ -36,12 +39,10 @@ def evolve(turns: int, topic: str | None, rows: pd.DataFrame) -> tuple[int, str
 def session_contexts(turns: DataFrame) -> DataFrame:
     """The context of each conversation after its turns; a stream gives it anew after each batch."""
     if not turns.isStreaming:
-
-        def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], *evolve(0, None, rows.sort_values("turn")))], columns=["conv_id", "turns", "topic"])
-
-        # only the newest KEPT_TURNS count as turns, but any may have set the topic: a conversation is folded as a whole
-        return turns.select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("text")).groupBy("conv_id").applyInPandas(fold, TURN_OUT)
+        # what evolve says of each turn in order, as aggregates: only the last topic counts
+        sets = (F.col("role") == "user") & F.col("text").rlike(f"^{SPACE}*({WORD}+{SPACE}+){{3}}{WORD}")
+        topic = F.max_by(F.regexp_extract("text", f"{WORD}+", 0), F.when(sets, F.col("turn")))
+        return turns.groupBy("conv_id").agg(F.least(F.lit(KEPT_TURNS), F.count("*")).cast("int").alias("turns"), topic.alias("topic"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, topic = state.get if state.exists else (0, None)

@@ -27,3 +27,12 @@ def test_stream_sessions_equal_the_batch(spark, tmp_path):
         query = events.session_contexts(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / f"state{part}")).trigger(availableNow=True).start()
         query.awaitTermination()
     assert last == {r.conv_id: tuple(r) for r in events.session_contexts(df).collect()}
+
+
+def test_sessions_read_whole_texts(spark):
+    url = "https://a.example/" + "x" * 300
+    texts = [f"{url} says one two", "w" * 90 + " " + "v" * 120 + " third fourth", "\u3000one\x1ftwo\xa0three four", "one two three ", "", None]
+    rows = [(c, t, "user", x if t == 0 else "no topic here") for c, x in enumerate(texts) for t in range(2)] + [(9, t, "user", f"t{t} b c d") for t in range(30)]
+    got = {r.conv_id: (r.turns, r.topic) for r in events.session_contexts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    split = {c: (2, x.split()[0] if x and len(x.split()) > 3 else None) for c, x in enumerate(texts)}
+    assert got == split | {9: (20, "t29")}
