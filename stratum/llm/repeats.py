@@ -1,23 +1,27 @@
 """Repeated passages: every byte that a 50-byte string of an earlier document covers is removed, exactly.
 
-A run-length Burrows-Wheeler index answers whether a string occurs, but its sampled run ends name one occurrence, not the
-one of the smallest doc_id, and it must be built and walked as one text. So the index is another one here, and suffixes
-are compared only where repeats can be:
+The method is a run-compressed Burrows-Wheeler index with sampled run ends, through which texts stream for their matching
+statistics (run_index); long matches in earlier documents are marked. One index over all texts would meet in one task, so
+the texts are dealt by content first, and only what can repeat is indexed:
 
 1. Anchors. Of every 50 bytes, the 19 bytes with the least hash are an anchor, so that equal strings of 50 bytes hold equal
    anchors at equal places; that is one position in 16. Hashes meet by range, and those that stand twice are flagged.
 2. Contexts. Around each flagged anchor, the 31 bytes before and after hold all 32 strings of 50 bytes that the anchor
-   stands for. Equal contexts fall into one class of which the smallest doc_id counts; then, for each of the 32 places,
-   classes are grouped by the string at that place, and any with a smaller doc_id in its group is marked.
-3. Marks of a document, 32 bits for each anchor, become byte ranges.
-
-Before a shuffle each task drops what it can settle itself: anchors it has seen before are flagged at once and go once;
-equal contexts are classed and go once. So a passage that stands in a third of all documents costs the task that gathers
-it one entry for each task before it. Packed numbers and contexts are shuffled, and texts twice, to meet the short
-lists of their anchors and of their marks.
-
-Defined results: a null text is empty; a text below 50 bytes loses nothing; rows of one doc_id are one document and should
-be equal; a row without doc_id loses nothing and takes nothing from others; an empty table gives no rows.
+   stands for. Contexts are dealt by anchor, so that all occurrences of a string that repeats meet in one part.
+3. Index. In a part, equal contexts are one string, of the smallest doc_id that has it. Strings whose anchor has others are
+   indexed in blocks of whole anchors, and stream through the index of their block: where a match is 50 bytes long or
+   longer, the run tells the smallest doc_id of those 50 bytes, and if that is smaller than the string's own, they are marked.
+4. Marks of a document, 32 bits for each anchor, become byte ranges.
+
+Hot keys. Before a shuffle each task drops what it can settle itself: anchors it has seen before are flagged at once and go
+once; equal contexts are classed and go once. An anchor that stands HOT times or more (the end of a very frequent line has
+another context in nearly every document) isn't dealt by itself: its context is cut into eight of 53 bytes, for four
+places each, and these are dealt by the 47 bytes that their four strings share, so that unlike continuations part. The list
+of hot anchors is bounded: at most one for HOT anchors of text, and HOT grows so that they are MOST_HOT at most.
+
+Defined results: a null text is empty; a text below 50 bytes loses nothing; equal rows of one doc_id lose the same; unlike
+rows of one doc_id are documents with one id, each with marks of its own, and take nothing from each other; a row without
+doc_id loses nothing and takes nothing from others; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import _BASE, _VALUE, Substrings, buffers, mixed, slices, staged
+from .run_index import RunIndex
+from .shared import _BASE, _VALUE, Substrings, boxed, buffers, mixed, quoted, slices, small_side, staged, unboxed
 
 SPAN, GRAM = 50, 19
 #: Places of an anchor in a string, and the bytes on each side of one in a context.
@@ -39,14 +45,21 @@ PLACES = SPAN - GRAM + 1
 SIDE = PLACES - 1
 WIDTH = GRAM + 2 * SIDE
 #: Bytes that arrays are made of at once; text of which a task settles what it can before it sends; text for each part of the hashes.
-BATCH_BYTES, CHUNK_BYTES, PART_BYTES = 1 << 20, 16 << 20, 16 << 20
+BATCH_BYTES, CHUNK_BYTES, PART_BYTES = 1 << 20, 4 << 20, 16 << 20
 HASH_BYTES = 5
 ROWS = 1 << 14
+#: Strings of an index, about: a block takes whole anchors.
+INDEXED = 1 << 13
+#: Occurrences from which an anchor is hot, hot anchors at most, places of a hot anchor's contexts, and what stands for no such narrowing.
+HOT, MOST_HOT, FEW, WIDE = 1 << 15, 1 << 18, 4, 255
 
 _COLUMN_POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WIDTH)], np.uint64)
+_TO_FRONT = np.array([pow(_BASE, -i, 1 << 64) for i in range(WIDTH)], np.uint64)
 _BITS = np.uint32(1) << np.arange(PLACES, dtype=np.uint32)
 _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("raw", pa.binary())])
 _BLOB_DDL = "part int, kind int, packed binary, raw binary"
+#: Columns of packed numbers: of an anchor (doc_id, which of its unlike rows, place, occurrences in the chunk), and of a context (also its first place and its bits).
+_ANCHOR, _CONTEXT = (np.int64, np.int64, np.uint32, np.uint32), (np.int64, np.int64, np.uint32, np.uint8, np.uint32)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -122,43 +135,44 @@ def _least(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dest(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def _dest(doc: np.ndarray, which: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed((doc ^ which).astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
 def _blobs(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
 
 
+def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each hash, and the bytes that tell hashes of a part apart."""
+    return ((h >> np.uint64(8 * HASH_BYTES)) % np.uint64(parts)).astype(np.int32), h.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+
+
 def _sent_anchors(parts: int) -> Callable:
-    def flush(doc: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    def flush(doc: np.ndarray, which: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         order, starts = _groups(h)
         sizes = np.diff(np.append(starts, len(order)))
-        first = np.zeros(len(h), bool)
-        first[order[starts]] = True
-        twice = np.empty(len(h), bool)
-        twice[order] = np.repeat(sizes > 1, sizes)
+        send, count = order[starts], sizes.astype(np.uint32)
+        again = order[np.repeat(sizes > 1, sizes)]
+        part, raw = _dealt(h, parts)
         rows = []
-        send = np.flatnonzero(first)
-        raw = h.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-        for part, own in _split(((h[send] >> np.uint64(8 * HASH_BYTES)) % np.uint64(parts)).astype(np.int32)):
-            rows.append((part, 0, pack(doc[send[own]], at[send[own]]), raw[send[own]].tobytes()))
-        known = np.flatnonzero(twice)
-        for part, own in _split(_dest(doc[known], parts)):
-            rows.append((part, 1, pack(doc[known[own]], at[known[own]]), b""))
+        for p, own in _split(part[send]):
+            rows.append((p, 0, pack(doc[send[own]], which[send[own]], at[send[own]], count[own]), raw[send[own]].tobytes()))
+        for p, own in _split(_dest(doc[again], which[again], parts)):
+            rows.append((p, 1, pack(doc[again[own]], which[again[own]], at[again[own]]), b""))
         return _blobs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in batches:
             data, off = buffers(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "which"))
             for i, j in slices(off, BATCH_BYTES):
                 own = off[i : j + 1] - off[i]
                 at, h = anchors(data[off[i] : off[j]], own)
                 doc = np.searchsorted(own, at, "right") - 1
-                held.append((ids[i + doc].astype(np.int64), (at - own[doc]).astype(np.uint32), h))
+                held.append((ids[i + doc], rows[i + doc], (at - own[doc]).astype(np.uint32), h))
                 size += int(off[j] - off[i])
                 if size >= CHUNK_BYTES:
                     yield flush(*map(np.concatenate, zip(*held)))
@@ -169,46 +183,53 @@ def _sent_anchors(parts: int) -> Callable:
     return run
 
 
-def _flagged(parts: int) -> Callable:
+def _flagged(parts: int, hot: int) -> Callable:
+    """Rows of one part -> anchors that stand twice, by document; and (dest -1) the hashes of those that stand `hot` times."""
+
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         packed, raw = table.column("packed").to_pylist(), table.column("raw").to_pylist()
-        doc, at = _joined([p for p, k in zip(packed, kind) if k == 0], np.int64, np.uint32)
+        doc, which, at, count = _joined([p for p, k in zip(packed, kind) if k == 0], *_ANCHOR)
         h = np.zeros((len(doc), 8), np.uint8)
         h[:, :HASH_BYTES] = np.frombuffer(b"".join(r for r, k in zip(raw, kind) if k == 0), np.uint8).reshape(-1, HASH_BYTES)
-        order, starts = _groups(h.view(np.uint64).ravel())
+        h = h.view(np.uint64).ravel()
+        order, starts = _groups(h)
         sizes = np.diff(np.append(starts, len(order)))
+        # one that stands several times in a chunk is flagged there already
         found = order[np.repeat(sizes > 1, sizes)] if len(order) else order
-        known = _joined([p for p, k in zip(packed, kind) if k == 1], np.int64, np.uint32)
-        doc, at = np.concatenate([doc[found], known[0]]), np.concatenate([at[found], known[1]])
-        return _by_document(doc, parts, at)
+        often = h[order[starts]][np.add.reduceat(count[order].astype(np.int64), starts) >= hot] if len(order) else h
+        known = _joined([p for p, k in zip(packed, kind) if k == 1], *_ANCHOR[:3])
+        flags = _by_document(*[np.concatenate([c[found], k]) for c, k in zip((doc, which), known)], parts, np.concatenate([at[found], known[2]]))
+        part = table.column("part")[0].as_py() if len(table) else 0
+        listed = pa.table({"dest": pa.array([-1 - part], pa.int32()), "packed": pa.array([often.tobytes()], pa.binary())})
+        return pa.concat_tables([flags, listed]) if len(often) else flags
 
     return run
 
 
-def _by_document(doc: np.ndarray, parts: int, *columns: np.ndarray) -> pa.Table:
+def _by_document(doc: np.ndarray, which: np.ndarray, parts: int, *columns: np.ndarray) -> pa.Table:
     rows = []
-    for part, own in _split(_dest(doc, parts)):
-        own = own[np.lexsort((columns[0][own], doc[own]))]
-        rows.append((part, pack(doc[own], *[c[own] for c in columns])))
+    for part, own in _split(_dest(doc, which, parts)):
+        own = own[np.lexsort((columns[0][own], which[own], doc[own]))]
+        rows.append((part, pack(doc[own], which[own], *[c[own] for c in columns])))
     return pa.table({"dest": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _documents(*kinds: type) -> Callable:
-    """Rows of one dest -> a row for each document: doc_id, the places of anchors and, if there are any, their marks."""
+    """Rows of one dest -> a row for each document: doc_id, which, the places of anchors and, if there are any, their marks."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, *columns = _joined(table.column("packed").to_pylist(), np.int64, *kinds)
-        order = np.lexsort((columns[0], doc))
-        doc, columns = doc[order], [c[order] for c in columns]
-        new = np.append(True, (np.diff(doc) != 0) | (np.diff(columns[0].astype(np.int64)) != 0)) if len(doc) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
+        doc, which, *columns = _joined(table.column("packed").to_pylist(), np.int64, np.int64, *kinds)
+        order = np.lexsort((columns[0], which, doc))
+        doc, which, columns = doc[order], which[order], [c[order] for c in columns]
+        change = lambda a: np.append(True, a[1:] != a[:-1])[: len(a)]
+        starts = np.flatnonzero(change(doc) | change(which) | change(columns[0]))
         if len(columns) > 1 and len(starts):
             columns[1] = np.bitwise_or.reduceat(columns[1], starts)
-        doc, columns = doc[starts], [columns[0][starts], *columns[1:]]
-        bounds = np.flatnonzero(np.append(True, np.diff(doc) != 0)) if len(doc) else np.zeros(0, int)
+        doc, which, columns = doc[starts], which[starts], [columns[0][starts], *columns[1:]]
+        bounds = np.flatnonzero(change(doc) | change(which))
         ends = np.append(bounds[1:], len(doc))
-        out = {"doc_id": pa.array(doc[bounds], pa.int64())}
+        out = {"doc_id": pa.array(doc[bounds], pa.int64()), "which": pa.array(which[bounds], pa.int64())}
         for name, c in zip(("places", "marks"), columns):
             out[name] = pa.array([c[i:j].tobytes() for i, j in zip(bounds, ends)], pa.binary())
         return pa.table(out)
@@ -217,42 +238,72 @@ def _documents(*kinds: type) -> Callable:
 
 
 def contexts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """WIDTH bytes around each anchor (zero beyond its text), and the bits of the strings that lie within the text."""
+    """WIDTH symbols (a byte and one) around each anchor (zero beyond its text), and the bits of the strings that lie within the text."""
     index = at[:, None] + np.arange(-SIDE, GRAM + SIDE)
     inside = (index >= off[doc][:, None]) & (index < off[doc + 1][:, None])
-    text = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
+    text = (data[np.clip(index, 0, len(data) - 1)] + np.uint8(1)) * inside.astype(np.uint8)
     start, end = inside[:, :PLACES], inside[:, SPAN - 1 :]
     return text, ((start & end) * _BITS).sum(1, dtype=np.uint32)
 
 
 def _sums(text: np.ndarray) -> np.ndarray:
     out = np.zeros((len(text), WIDTH + 1), np.uint64)
-    np.cumsum(_VALUE[text] * _COLUMN_POWERS, axis=1, out=out[:, 1:])
+    np.cumsum(_VALUE[text - np.uint8(1)] * _COLUMN_POWERS, axis=1, out=out[:, 1:])
     return out
 
 
-def _hashes(text: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each anchor, and of each context with its bits."""
-    anchor, whole = np.empty(len(text), np.uint64), np.empty(len(text), np.uint64)
+def _hashes(text: np.ndarray, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of what the strings of each context share (an anchor's as in anchors()), and of each context with its bits."""
+    core, whole = np.empty(len(text), np.uint64), np.empty(len(text), np.uint64)
     for i in range(0, len(text), ROWS):
-        sums = _sums(text[i : i + ROWS])
-        anchor[i : i + ROWS] = mixed(sums[:, SIDE + GRAM] - sums[:, SIDE])
-        whole[i : i + ROWS] = mixed(sums[:, -1] + bits[i : i + ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return anchor, mixed(whole + anchor)
-
-
-def _sent_contexts(parts: int) -> Callable:
-    def flush(doc: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        anchor, whole = _hashes(text, bits)
+        sums, wide = _sums(text[i : i + ROWS]), first[i : i + ROWS] == WIDE
+        anchor, few = (sums[:, SIDE + GRAM] - sums[:, SIDE]) * _TO_FRONT[SIDE], sums[:, SPAN] - sums[:, FEW - 1]
+        core[i : i + ROWS] = mixed(np.where(wide, anchor, few)) | np.uint64(1)
+        whole[i : i + ROWS] = mixed(sums[:, -1] + (bits[i : i + ROWS].astype(np.uint64) << np.uint64(8) | first[i : i + ROWS]) * np.uint64(0x9E3779B97F4A7C15))
+    return core, mixed(whole + core)
+
+
+def narrowed(text: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Contexts of hot anchors as contexts for FEW places each: which rows, the first place, their symbols and bits."""
+    for first in range(0, PLACES, FEW):
+        own = (bits >> np.uint32(first)) & np.uint32((1 << FEW) - 1)
+        rows = np.flatnonzero(own)
+        few = np.zeros((len(rows), WIDTH), np.uint8)
+        few[:, : SPAN + FEW - 1] = text[rows, first : first + SPAN + FEW - 1]
+        yield rows, first, few, own[rows]
+
+
+def _sent_contexts(parts: int, hot: np.ndarray) -> Callable:
+    """hot: hashes of hot anchors as a sorted array of their last HASH_BYTES bytes and their part."""
+
+    def split(doc: np.ndarray, which: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+        first = np.full(len(doc), WIDE, np.uint8)
+        if not len(hot):
+            return [doc, which, at, first, bits, text]
+        part, low = _dealt(_hashes(text, first, bits)[0], parts)
+        own = np.zeros((len(doc), 8), np.uint8)
+        own[:, :HASH_BYTES] = low
+        often = np.isin(own.view(np.uint64).ravel() | part.astype(np.uint64) << np.uint64(8 * HASH_BYTES), hot)
+        cold, rows = np.flatnonzero(~often), np.flatnonzero(often)
+        out = [[doc[cold], which[cold], at[cold], first[cold], bits[cold], text[cold]]]
+        for r, place, few, few_bits in narrowed(text[rows], bits[rows]):
+            own = rows[r]
+            out.append([doc[own], which[own], at[own], np.full(len(own), place, np.uint8), few_bits, few])
+        return [np.concatenate(c) for c in zip(*out)]
+
+    def flush(*held: np.ndarray) -> pa.RecordBatch:
+        doc, which, at, first, bits, text = split(*held)
+        core, whole = _hashes(text, first, bits)
         later = doc > _least(whole, doc)
         send, known = np.flatnonzero(~later), np.flatnonzero(later)
-        send = send[np.argsort(anchor[send], kind="stable")]
+        send = send[np.argsort(core[send], kind="stable")]
         rows = []
-        for part, own in _split((anchor[send] % np.uint64(parts)).astype(np.int32)):
+        for part, own in _split((core[send] % np.uint64(parts)).astype(np.int32)):
             own = send[own]
-            rows.append((part, 0, pack(doc[own], at[own], bits[own]), zlib.compress(text[own].tobytes(), 1)))
-        for part, own in _split(_dest(doc[known], parts)):
-            rows.append((part, 1, pack(doc[known[own]], at[known[own]], bits[known[own]]), b""))
+            rows.append((part, 0, pack(doc[own], which[own], at[own], first[own], bits[own]), zlib.compress(text[own].tobytes(), 1)))
+        for part, own in _split(_dest(doc[known], which[known], parts)):
+            own = known[own]
+            rows.append((part, 1, pack(doc[own], which[own], at[own], _placed(bits[own], first[own])), b""))
         return _blobs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +311,18 @@ def _sent_contexts(parts: int) -> Callable:
         size = 0
         for b in batches:
             data, off = buffers(b.column("text"))
-            ids, places = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("places").to_pylist()
+            ids, variants = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "which"))
+            places = b.column("places").to_pylist()
             for i, j in slices(off, BATCH_BYTES):
                 own = [np.frombuffer(p, np.uint32) for p in places[i:j]]
                 doc = np.repeat(np.arange(i, j), [len(p) for p in own])
                 rel = np.concatenate(own)
                 fits = off[doc] + rel + GRAM <= off[doc + 1]
                 doc, rel = doc[fits], rel[fits]
-                for k in range(0, len(doc), 4 * ROWS):
-                    d, r = doc[k : k + 4 * ROWS], rel[k : k + 4 * ROWS]
+                for k in range(0, len(doc), ROWS):
+                    d, r = doc[k : k + ROWS], rel[k : k + ROWS]
                     text, bits = contexts(data, off, d, off[d] + r)
-                    held.append((ids[d].astype(np.int64), r, text, bits))
+                    held.append((ids[d], variants[d], r, text, bits))
                     size += text.nbytes
                     if size >= CHUNK_BYTES:
                         yield flush(*map(np.concatenate, zip(*held)))
@@ -281,32 +333,53 @@ def _sent_contexts(parts: int) -> Callable:
     return run
 
 
-def marked(doc: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """For each context, the bits of its strings that a context of a smaller doc_id has at the same place of the same anchor."""
-    anchor, whole = _hashes(text, bits)
-    out = np.where(doc > _least(whole, doc), bits, np.uint32(0))
+def _placed(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bits of the places of an anchor, of bits from a first place on."""
+    return bits << np.where(first == WIDE, 0, first).astype(np.uint32)
+
+
+def _indexed(doc: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each context of a block, the bits of its strings that a context of a smaller doc_id has."""
+    order = np.argsort(doc, kind="stable")
+    doc, text, bits = doc[order], text[order], bits[order]
+    # to the left: what stands before a text's beginning goes
+    begin = (text != 0).argmax(1)
+    length = (text != 0).sum(1)
+    at = begin[:, None] + np.arange(WIDTH)
+    symbols = np.where(at < WIDTH, np.take_along_axis(text, np.minimum(at, WIDTH - 1), 1), 0).astype(np.uint8)
+    _, least = RunIndex(symbols, length, doc, SPAN).matches(symbols, length)
+    out = np.zeros(len(doc), np.uint32)
+    for place in range(PLACES):
+        rows = np.flatnonzero(bits & _BITS[place])
+        earlier = least[rows, place - begin[rows]] < doc[rows]
+        out[rows[earlier]] |= _BITS[place]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def marked(doc: np.ndarray, first: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each context, the bits of its strings that a context of a smaller doc_id has."""
+    core, whole = _hashes(text, first, bits)
+    least = _least(whole, doc)
+    out = np.where(doc > least, bits, np.uint32(0))
     if not len(doc):
         return out
-    # the strings of the first of each class are compared, and what is found holds for the others in its document
+    # equal contexts are one string of the smallest doc_id, and what is found holds for its rows
     ordered = np.lexsort((doc, whole))
-    starts = np.flatnonzero(np.append(True, np.diff(whole[ordered]) != 0))
-    first = np.empty(len(doc), np.int64)
-    first[ordered] = np.repeat(ordered[starts], np.diff(np.append(starts, len(doc))))
+    starts = np.flatnonzero(np.append(True, whole[ordered][1:] != whole[ordered][:-1]))
+    one = np.empty(len(doc), np.int64)
+    one[ordered] = np.repeat(ordered[starts], np.diff(np.append(starts, len(doc))))
     rows = ordered[starts]
-    order, starts = _groups(anchor[rows])
+    order, starts = _groups(core[rows])
     sizes = np.diff(np.append(starts, len(order)))
-    rows = rows[order[np.repeat(sizes > 1, sizes)]] if len(order) else rows[:0]
-    strings = np.empty((PLACES, len(rows)), np.uint64)
-    for i in range(0, len(rows), ROWS):
-        sums = _sums(text[rows[i : i + ROWS]])
-        strings[:, i : i + ROWS] = (sums[:, SPAN : SPAN + PLACES] - sums[:, :PLACES]).T
-    for place in range(PLACES):
-        valid = np.flatnonzero(bits[rows] & _BITS[place])
-        own = rows[valid]
-        smaller = doc[own] > _least(mixed(strings[place, valid] + anchor[own]), doc[own])
-        out[own[smaller]] |= _BITS[place]
-    beside = np.flatnonzero(doc == doc[first])
-    out[beside] |= out[first[beside]]
+    rows, sizes = rows[order[np.repeat(sizes > 1, sizes)]], sizes[sizes > 1]
+    block = np.repeat((np.cumsum(sizes) - sizes) // INDEXED, sizes)
+    for _, own in _split(block):
+        own = rows[own]
+        out[own] |= _indexed(doc[own], text[own], bits[own])
+    beside = np.flatnonzero(doc == doc[one])
+    out[beside] |= out[one[beside]]
     return out
 
 
@@ -314,12 +387,13 @@ def _marked(parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         packed, raw = table.column("packed").to_pylist(), table.column("raw").to_pylist()
-        doc, at, bits = _joined([p for p, k in zip(packed, kind) if k == 0], np.int64, np.uint32, np.uint32)
+        doc, which, at, first, bits = _joined([p for p, k in zip(packed, kind) if k == 0], *_CONTEXT)
         text = np.frombuffer(b"".join(zlib.decompress(r) for r, k in zip(raw, kind) if k == 0), np.uint8).reshape(-1, WIDTH)
-        marks = marked(doc, text, bits)
-        known = _joined([p for p, k in zip(packed, kind) if k == 1], np.int64, np.uint32, np.uint32)
+        marks = _placed(marked(doc, first, text, bits), first)
+        known = _joined([p for p, k in zip(packed, kind) if k == 1], np.int64, np.int64, np.uint32, np.uint32)
         some = marks > 0
-        return _by_document(*[np.concatenate([doc[some], known[0]]), parts, np.concatenate([at[some], known[1]]), np.concatenate([marks[some], known[2]])])
+        both = [np.concatenate([c[some], k]) for c, k in zip((doc, which, at, marks), known)]
+        return _by_document(both[0], both[1], parts, *both[2:])
 
     return run
 
@@ -339,7 +413,7 @@ def removed_bytes(off: np.ndarray, doc: np.ndarray, at: np.ndarray, marks: np.nd
 def _cut(batches: Iterator[pa.RecordBatch], give: Callable) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = buffers(b.column("text"))
-        places, marks = b.column("__places").to_pylist(), b.column("__marks").to_pylist()
+        places, marks = b.column("places").to_pylist(), b.column("marks").to_pylist()
         for i, j in slices(off, BATCH_BYTES):
             at = [np.frombuffer(p or b"", np.uint32) for p in places[i:j]]
             bits = np.concatenate([np.frombuffer(m or b"", np.uint32) for m in marks[i:j]])
@@ -363,37 +437,56 @@ def _texts(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, gone: np.nda
     kept, kept_off = data[~gone], np.concatenate([[0], np.cumsum(~gone)])[off]
     # a removed run may end within a character; what is left of it goes too
     texts = [kept[p:q].tobytes().decode("utf-8", "ignore") for p, q in zip(kept_off[:-1], kept_off[1:])]
-    columns = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars" else rows.column(c) for c in rows.schema.names]
-    return pa.RecordBatch.from_arrays(columns, names=rows.schema.names).drop_columns(["__places", "__marks"])
+    return pa.record_batch([rows.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and which: 0, or the hash of the text where one doc_id has unlike texts."""
+    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
+    hashed = F.xxhash64("text")
+    unlike = rows.groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).filter("low <> high").select(F.col("doc_id").alias("of"))
+    told = rows.join(small_side(staged(unlike, "repeats-unlike"), 8), rows["doc_id"] == F.col("of"), "left")
+    return told.select("doc_id", F.when(F.col("of").isNull(), 0).otherwise(hashed).cast("long").alias("which"), "text")
 
 
 def repeat_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, places, marks of the documents of which something repeats an earlier one; staged."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
+    """doc_id, which, places, marks of the documents of which something repeats an earlier one; staged."""
+    rows = _numbered(docs)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(12, -(-size // PART_BYTES))
+    hot = max(HOT, size * 2 // (PLACES + 1) // MOST_HOT)
     sent = rows.mapInArrow(_sent_anchors(parts), _BLOB_DDL)
-    flags = sent.groupBy("part").applyInArrow(_flagged(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32), "doc_id long, places binary")
-    flags = staged(flags, "repeats-anchors")
-    flagged = rows.join(flags.withColumnRenamed("doc_id", "of"), rows["doc_id"] == F.col("of")).select("doc_id", "text", "places")
-    around = flagged.mapInArrow(_sent_contexts(parts), _BLOB_DDL)
-    marks = around.groupBy("part").applyInArrow(_marked(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32, np.uint32), "doc_id long, places binary, marks binary")
+    flags = staged(sent.groupBy("part").applyInArrow(_flagged(parts, hot), "dest int, packed binary"), "repeats-anchors")
+    # MOST_HOT numbers of 8 bytes at most
+    often = [np.frombuffer(r.packed, np.uint64) | np.uint64((-1 - r.dest) << 8 * HASH_BYTES) for r in flags.filter("dest < 0").collect()]
+    hot_anchors = np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)
+    places = flags.filter("dest >= 0").groupBy("dest").applyInArrow(_documents(np.uint32), "doc_id long, which long, places binary").toDF("of", "variant", "places")
+    flagged = rows.join(places, (rows["doc_id"] == F.col("of")) & (rows["which"] == F.col("variant"))).select("doc_id", "which", "text", "places")
+    around = flagged.mapInArrow(_sent_contexts(parts, hot_anchors), _BLOB_DDL)
+    marks = around.groupBy("part").applyInArrow(_marked(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32, np.uint32), "doc_id long, which long, places binary, marks binary")
     return staged(marks, "repeats-marks")
 
 
-def _with_marks(docs: DataFrame, *columns: str) -> DataFrame:
-    marks = repeat_marks(docs).toDF("__of", "__places", "__marks")
-    return docs.join(marks, docs["doc_id"].cast("long") == F.col("__of"), "left").select(*[docs[c] for c in columns], "__places", "__marks")
+def _with_marks(docs: DataFrame, row) -> DataFrame:
+    """row, doc_id, text of docs, with their places and marks."""
+    marks = repeat_marks(docs).toDF("of", "which", "places", "marks")
+    rows = docs.select(row, quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
+    own = (rows["doc_id"] == F.col("of")) & ((F.col("which") == 0) | (F.col("which") == F.xxhash64(rows["text"])))
+    return rows.join(marks, own, "left").select("row", "doc_id", "text", "places", "marks")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_marks(docs, "doc_id", "text")
+    rows = _with_marks(docs, F.lit(None).cast("int").alias("row"))
     return rows.mapInArrow(lambda batches: _cut(batches, _digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what is left of each text, and its length as n_chars if docs has that column."""
-    rows = _with_marks(docs, *docs.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(lambda batches: _cut(batches, _texts), schema)
+    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = _with_marks(docs, boxed(docs, columns))
+    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("n_chars", LongType())])
+    cut = rows.mapInArrow(lambda batches: _cut(batches, _texts), schema)
+    given = {"text": F.col("text"), "n_chars": F.col("n_chars").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    kept = dict(zip(columns, unboxed(columns)))
+    return cut.select(*[(given[c] if c in given else kept[c]).alias(c) for c in docs.columns])

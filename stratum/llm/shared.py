@@ -45,6 +45,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of df as one struct named row, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[quoted(c) for c in columns or df.columns]).alias("row")
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def small_side(df: DataFrame, size: Column | int) -> DataFrame:
     """df, marked for broadcast if its rows take BROADCAST_BYTES at most together; size: bytes of a row. Give a staged df: it is read for this."""
     n = df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
@@ -105,16 +119,21 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
+#: Powers that a worker keeps at most; those of a longer text are made for it alone.
+KEPT_POWERS = (1 << 20) + (1 << 16)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps))
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= KEPT_POWERS:
         _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+    return made[0], made[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -67,6 +67,29 @@ def test_many_batches_and_parts(spark, monkeypatch):
     check(spark, corpus())
 
 
+def test_hot_anchors_by_narrow_contexts(spark, monkeypatch):
+    for name, value in (("HOT", 3), ("CHUNK_BYTES", 3000), ("PART_BYTES", 2000), ("INDEXED", 16)):
+        monkeypatch.setattr(r, name, value)
+    line = "This line stands at the head of very many of the documents, as notices do."
+    data = corpus()
+    check(spark, data + [(1000 + i, line + words(20)) for i in range(40)])
+
+
+def test_unlike_rows_of_one_doc_id(spark):
+    p, x, a, b = ("".join(R.choices("abcdefgh ", k=120)) for _ in range(4))
+    check(spark, [(1, p + x), (2, a + p), (2, b), (3, b), (3, b + a), (3, a), (2, b)])
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "a.b", "row", "of", "which", "places", "marks", "__of", "__marks", "`odd`"]
+    text = "The same passage of more than fifty bytes stands in both documents."
+    quoted = [f"`{n.replace('`', '``')}`" for n in names]
+    df = spark.createDataFrame([(1, text, *"cdefghijk"), (2, "x" + text, *"cdefghijk")], ", ".join(f"{q} {'long' if n == 'doc_id' else 'string'}" for n, q in zip(names, quoted)))
+    got = r.without_repeats(df)
+    assert got.columns == names and {x[1] for x in got.collect()} == {text, "x"} and {tuple(x)[2:] for x in got.collect()} == {tuple("cdefghijk")}
+    assert {x.n_removed for x in r.repeated_bytes(df).collect()} == {0, len(text)}
+
+
 def test_anchors_of_long_texts_in_segments(monkeypatch):
     data = np.frombuffer(words(2000).encode(), np.uint8)
     off = np.array([0, len(data)])
@@ -82,3 +105,11 @@ def test_texts_and_empty(spark):
     long = "ä" * 70 + "one"
     got = r.without_repeats(spark.createDataFrame([(1, long, "x", "s", 9, "m"), (2, "two" + long[1:], "y", "s", 9, "m")], "doc_id long, text string, lang string, source string, n_chars long, other string")).orderBy("doc_id").collect()
     assert [(x.text, x.n_chars, x.lang, x.other) for x in got] == [(long, 73, "x", "m"), ("two", 3, "y", "m")]
+
+
+def test_the_hash_of_an_anchor_is_that_of_its_context():
+    data = np.frombuffer(words(200).encode(), np.uint8)
+    off = np.array([0, len(data)])
+    at, h = r.anchors(data, off)
+    text, bits = r.contexts(data, off, np.zeros(len(at), int), at)
+    assert np.array_equal(r._hashes(text, np.full(len(at), r.WIDE, np.uint8), bits)[0], h)
