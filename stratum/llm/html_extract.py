@@ -17,15 +17,17 @@ table gives no rows. Copies of a page have one main text, so that they make no t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import quoted, staged
 
 #: A subtree is part of the template if pages of at least so many main texts, and of this share of the host's, hold it.
 MIN_PAGES, MIN_SHARE = 4, 0.01
@@ -51,15 +53,23 @@ MARKED = _set(
     "comment comments commentlist respond replies disqus footer share sharing social search searchbox login form"
 )
 OUTSIDE = _set("header head")
+MAIN = _set("article main")
+LISTED = frozenset().union(CLOSES, *CLOSES.values(), *HOLDS.values())
+NOTHING = np.zeros(0, np.int64)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marked", "within")
+    """block and listed: the nearest block (or button), and the nearest part of a list or table, from the element itself upward."""
+
+    __slots__ = ("tag", "parent", "children", "marked", "within", "holds", "block", "listed")
 
     def __init__(self, tag: str, parent: Node | None, marked: bool):
         self.tag, self.parent, self.children, self.marked = tag, parent, [], marked
-        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+        self.within = parent is not None and (parent.within or parent.tag in MAIN)
+        self.holds = False  # an article or main part below
+        self.block = self if parent is None or tag in BLOCK or tag == "button" else parent.block
+        self.listed = self if parent is None or tag in LISTED else parent.listed
 
 
 def _marks(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> bool:
@@ -80,50 +90,79 @@ def _marks(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> bool:
 
 
 class Tree(HTMLParser):
-    """The elements of a page; script and style are read over."""
+    """The elements of a page; script and style are read over. Each tag costs what it opens or ends, however deep it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.open: Counter[str] = Counter()
+
+    def _leave(self, node: Node) -> None:
+        """Ends what is open, up to and with node."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
-            self._end_within("p", ("button",))
-        if tag in CLOSES:
-            node = self.at
+        if tag in BLOCK and self.open["p"] and self.at.block.tag == "p":
+            self._leave(self.at.block)
+        if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
+            node, last = self.at.listed, None
             while node.parent is not None and node.tag not in HOLDS[tag]:
-                if node.tag in CLOSES[tag]:
-                    self.at = node.parent
-                node = node.parent
-        node = Node(tag, self.at, _marks(tag, attrs, self.at.within or self.at.tag in ("article", "main")))
+                last = node if node.tag in CLOSES[tag] else last
+                node = node.parent.listed
+            if last is not None:
+                self._leave(last)
+        node = Node(tag, self.at, _marks(tag, attrs, self.at.within or self.at.tag in MAIN))
+        if tag in MAIN:
+            above = self.at
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
-    def _end_within(self, tag: str, bounds: tuple[str, ...]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in bounds:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if node.tag in BLOCK:
-                return
-            node = node.parent
-
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._leave(node)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    # A page is fed whole, so that what the parser calls incomplete is never ended: as in browsers, it goes on to the page's end.
+    def _or_end(self, at: int) -> int:
+        return at if at >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        return self._or_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._or_end(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._or_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_end(super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            at = super().parse_html_declaration(i)
+        except AssertionError:  # one that HTML doesn't have is a comment
+            at = -1
+        if at < 0 and not self.rawdata.startswith("<!--", i):
+            at = self.parse_bogus_comment(i)
+        return self._or_end(at)
+
 
 def parse(html: str | None) -> Node:
     tree = Tree()
@@ -143,7 +182,7 @@ def subtree_hashes(root: Node, host: str) -> dict[int, int]:
             stack.append((node, True))
             stack += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
-        digest, length, article = blake2b(node.tag.encode(), digest_size=16), 0, node.tag in ("article", "main")
+        digest, length, article = blake2b(node.tag.encode(), digest_size=16), 0, node.tag in MAIN
         for c in node.children:
             if isinstance(c, Node):
                 d, n, holds = done.pop(id(c))
@@ -176,20 +215,16 @@ def _main(root: Node) -> list[Node]:
     return [root]
 
 
-def _holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in ("article", "main") and not (x is node):
-            return True
-        stack += [c for c in x.children if isinstance(c, Node)]
-    return False
+def _among(hashes: dict[int, int], templates: np.ndarray) -> set[int]:
+    own = np.fromiter(hashes.values(), np.int64, len(hashes))
+    at = np.minimum(np.searchsorted(templates, own), len(templates) - 1)
+    return {i for i, known in zip(hashes, templates[at] == own) if known}
 
 
-def extract(html: str | None, host: str = "", templates=frozenset()) -> str:
-    """The main text; templates: hashes of the host's repeated subtrees. A page that is all template keeps its text."""
+def extract(html: str | None, host: str = "", templates: np.ndarray = NOTHING) -> str:
+    """The main text; templates: sorted hashes of the host's repeated subtrees. A page that is all template keeps its text."""
     root = parse(html)
-    repeated = {i for i, h in subtree_hashes(root, host).items() if h in templates} if host and len(templates) else set()
+    repeated = _among(subtree_hashes(root, host), templates) if host and len(templates) else set()
     return _text(root, repeated) or (_text(root, set()) if repeated else "")
 
 
@@ -210,7 +245,7 @@ def _text(root: Node, repeated: set[int]) -> str:
                 end()
             elif isinstance(x, str):
                 run.append(x)
-            elif x is start or not (x.marked and not (x.tag == "div" and _holds_article(x)) or id(x) in repeated):
+            elif x is start or not (x.marked and not (x.tag == "div" and x.holds) or id(x) in repeated):
                 if x.tag == "br":
                     run.append(" ")
                 if x.tag in BLOCK:
@@ -236,18 +271,31 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["page_id", "site", "h", "content"])
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
+def hosted(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, html."""
+    return pages.select(quoted("page_id").cast("long").alias("page_id"), quoted("url").cast("string").alias("url"), host_of("url").alias("host"), quoted("html").cast("string").alias("html"))
+
+
+def _hashes(rows: DataFrame) -> DataFrame:
     with_host = rows.filter("host <> ''").withColumn("site", F.xxhash64("host"))
-    hashes = with_host.select("page_id", "site", "host", "html").mapInArrow(_hashed, "page_id long, site long, h long, content long")
-    counted = staged(hashes.groupBy("site", "h").agg(F.countDistinct("content").alias("n")).filter(F.col("h").isNull() | (F.col("n") >= MIN_PAGES)), "html-counts")
+    return with_host.select("page_id", "site", "host", "html").mapInArrow(_hashed, "page_id long, site long, h long, content long")
+
+
+def templates_of(rows: DataFrame) -> DataFrame:
+    """h: the hashes (with their host) of subtrees that recur with many main texts of a host; rows as of hosted(). Staged."""
+    counted = staged(_hashes(rows).groupBy("site", "h").agg(F.countDistinct("content").alias("n")).filter(F.col("h").isNull() | (F.col("n") >= MIN_PAGES)), "html-counts")
     sizes = counted.filter("h IS NULL").select("site", F.col("n").alias("all"))
-    templates = staged(counted.filter("h IS NOT NULL").join(sizes, "site").filter(F.col("n") >= F.col("all") * MIN_SHARE).select("h"), "html-templates")
+    return staged(counted.filter("h IS NOT NULL").join(sizes, "site").filter(F.col("n") >= F.col("all") * MIN_SHARE).select("h"), "html-templates")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text."""
+    rows = hosted(pages)
+    templates = templates_of(rows)
     schema = "page_id long, url string, text string"
     if templates.count() <= SENT:
         # SENT numbers of 8 bytes at most
-        sent = rows.sparkSession.sparkContext.broadcast(frozenset(templates.toPandas()["h"].tolist()))
+        sent = rows.sparkSession.sparkContext.broadcast(np.unique(templates.toPandas()["h"].to_numpy(np.int64)))
 
         def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -255,11 +303,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
         return rows.mapInArrow(extracted, schema)
-    own = hashes.join(templates, "h").groupBy(F.col("page_id").alias("of")).agg(F.collect_set("h").alias("own"))
+    own = _hashes(rows).join(templates, "h").groupBy(F.col("page_id").alias("of")).agg(F.collect_set("h").alias("own"))
 
     def extracted_by_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(html, host, frozenset(own or ())) for host, html, own in zip(*[b.column(c).to_pylist() for c in ("host", "html", "own")])]
+            texts = [extract(html, host, np.unique(np.array(own or [], np.int64))) for host, html, own in zip(*[b.column(c).to_pylist() for c in ("host", "html", "own")])]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.join(own, rows["page_id"].eqNullSafe(F.col("of")), "left").select("page_id", "url", "host", "html", "own").mapInArrow(extracted_by_own, schema)

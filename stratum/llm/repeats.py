@@ -49,7 +49,7 @@ BATCH_BYTES, CHUNK_BYTES, PART_BYTES = 1 << 20, 4 << 20, 16 << 20
 HASH_BYTES = 5
 ROWS = 1 << 14
 #: Strings of an index, about: a block takes whole anchors.
-INDEXED = 1 << 13
+INDEXED = 1 << 12
 #: Occurrences from which an anchor is hot, hot anchors at most, places of a hot anchor's contexts, and what stands for no such narrowing.
 HOT, MOST_HOT, FEW, WIDE = 1 << 15, 1 << 18, 4, 255
 
@@ -358,6 +358,22 @@ def _indexed(doc: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return back
 
 
+def _may_match(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which contexts share the bytes that all strings of a quarter of their places hold with another: the others match nothing."""
+    keep = np.zeros(len(text), bool)
+    wide = np.flatnonzero(first == WIDE)
+    keep[first != WIDE] = True
+    for begin in range(0, PLACES, PLACES // 4):
+        h = np.empty(len(wide), np.uint64)
+        for i in range(0, len(wide), ROWS):
+            sums = _sums(text[wide[i : i + ROWS]])
+            h[i : i + ROWS] = sums[:, begin + SPAN] - sums[:, begin + PLACES // 4 - 1]
+        order, starts = _groups(h)
+        sizes = np.diff(np.append(starts, len(order)))
+        keep[wide[order[np.repeat(sizes > 1, sizes)]]] = True
+    return keep
+
+
 def marked(doc: np.ndarray, first: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """For each context, the bits of its strings that a context of a smaller doc_id has."""
     core, whole = _hashes(text, first, bits)
@@ -371,6 +387,7 @@ def marked(doc: np.ndarray, first: np.ndarray, text: np.ndarray, bits: np.ndarra
     one = np.empty(len(doc), np.int64)
     one[ordered] = np.repeat(ordered[starts], np.diff(np.append(starts, len(doc))))
     rows = ordered[starts]
+    rows = rows[_may_match(text[rows], first[rows])]
     order, starts = _groups(core[rows])
     sizes = np.diff(np.append(starts, len(order)))
     rows, sizes = rows[order[np.repeat(sizes > 1, sizes)]], sizes[sizes > 1]

@@ -26,13 +26,14 @@ def _ahead(a: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks from 1; equal keys share one."""
-    order = np.argsort(keys)
-    s = keys[order]
-    out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(np.append(True, s[1:] != s[:-1]))[: len(s)]
-    return out
+def _ordered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, equal ones by place, and the keys in it; places are packed behind the keys if they fit."""
+    room = np.uint64(len(keys).bit_length())
+    if bits + int(room) > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    packed = np.sort(keys << room | np.arange(len(keys), dtype=np.uint64))
+    return (packed & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64), packed >> room
 
 
 class RunIndex:
@@ -64,25 +65,37 @@ class RunIndex:
         self.goes = np.empty(len(self.starts), np.int64)
         self.goes[by_symbol] = np.cumsum(self.sizes[by_symbol]) - self.sizes[by_symbol]
         self.order = self.symbol[by_symbol] * len(self.starts) + by_symbol
+        self.bounds = np.searchsorted(self.order, np.arange(257) * len(self.starts))
+        # the run where each run's first row goes; its other rows go to that run or to one soon after
+        self.into = np.searchsorted(self.starts, self.goes, "right") - 1
+        self.until = np.append(self.starts[1:], len(suffixes))
 
     def _sorted(self, text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order, and a number for each place that is equal where span symbols are."""
-        key = text.astype(np.uint64)
-        for k in (1, 2, 4):
-            key = key << np.uint64(8 * k) | _ahead(key, k)
-        rank, known = np.zeros_like(key), 8
-        rank.ravel()[places] = _dense(key.ravel()[places])
-        half, of_half = rank, known
-        while known < self.stride:
-            key = rank << np.uint64(32) | _ahead(rank, known)
-            rank = np.zeros_like(key)
-            rank.ravel()[places] = _dense(key.ravel()[places])
-            known *= 2
+        """Suffixes in order, equal ones by place (that is by string), and a number for each place that is equal where span symbols are."""
+        used = np.flatnonzero(np.bincount(self.text, minlength=256)[1:]) + 1
+        code = np.zeros(256, np.uint64)
+        code[used] = np.arange(1, len(used) + 1)
+        each, room = len(used).bit_length() or 1, len(places).bit_length()
+        symbols = code[text]
+        known, key = max(1, min((64 - room) // each, self.span, self.stride)), np.zeros_like(symbols)
+        for k in range(known):
+            key = key << np.uint64(each) | _ahead(symbols, k)
+        bits, whole = known * each, len(places) == text.size
+        half = of_half = None
+        while True:
+            order, keys = _ordered(key.ravel() if whole else key.ravel()[places], bits)
+            rank = np.zeros(text.size, np.uint64)
+            rank[order if whole else places[order]] = np.cumsum(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            rank = rank.reshape(text.shape)
             if known <= self.span:
                 half, of_half = rank, known
-        # equal suffixes by place, that is by string
-        order = np.argsort(rank.ravel()[places] << np.uint64(32) | places.astype(np.uint64))
-        return places[order], (half << np.uint64(32) | _ahead(half, self.span - of_half)).ravel()
+            if known >= self.stride:
+                break
+            key = rank << np.uint64(room) | _ahead(rank, known)
+            known, bits = 2 * known, 2 * room
+        # the longest ranked length is above half of span, so that two ranks cover it
+        same = half << np.uint64(32) | _ahead(half, self.span - of_half)
+        return places[order], same.ravel()
 
     def _common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """How many symbols from places a and b on are equal, up to limit."""
@@ -106,28 +119,34 @@ class RunIndex:
         runs = len(self.starts)
         for k in range(width - 1, -1, -1):
             own = np.flatnonzero(lengths > k)
-            c, r = symbols[own, k].astype(np.int64), run[own]
+            whole = len(own) == m
+            take = lambda a: a if whole else a[own]  # noqa: E731, B023
+            c, r = take(symbols[:, k]).astype(np.int64), take(run)
             fits = self.symbol[r] == c
-            at = np.where(fits, self.goes[r] + row[own] - self.starts[r], 0)
-            p, s = place[own] - 1, size[own] + 1
+            to, at, p, s = r.copy(), take(row) - self.starts[r], take(place) - 1, take(size) + 1
             if (jump := np.flatnonzero(~fits)).size:
-                want = c[jump] * runs
-                after = np.searchsorted(self.order, want + r[jump])
-                begin, end = np.searchsorted(self.order, want), np.searchsorted(self.order, want + runs)
-                has_up, has_down = after > begin, after < end
-                up = self.order[np.maximum(after - 1, 0)] % runs
-                down = self.order[np.minimum(after, runs - 1)] % runs
-                base, limit = place[own[jump]], size[own[jump]]
+                want, base, limit = c[jump], take(place)[jump], take(size)[jump]
+                after = np.searchsorted(self.order, want * runs + r[jump])
+                has_up, has_down = after > self.bounds[want], after < self.bounds[want + 1]
+                up, down = self.order[np.maximum(after - 1, 0)] % runs, self.order[np.minimum(after, runs - 1)] % runs
                 of_up = np.where(has_up, self._common(base, self.last[up], np.where(has_up, limit, 0)), -1)
                 of_down = np.where(has_down, self._common(base, self.first[down], np.where(has_down, limit, 0)), -1)
-                above = of_up >= of_down
-                to, best = np.where(above, up, down), np.maximum(of_up, of_down)
-                at[jump] = np.where(best < 0, 0, self.goes[to] + np.where(above, self.sizes[to] - 1, 0))
-                p[jump] = np.where(best < 0, self.first[0], np.where(above, self.last[to], self.first[to]) - 1)
-                s[jump] = best + 1
-            row[own], place[own], size[own] = at, p, s
-            run[own] = r = np.searchsorted(self.starts, at, "right") - 1
+                above, best = of_up >= of_down, np.maximum(of_up, of_down)
+                to[jump] = np.where(above, up, down)
+                at[jump] = np.where(above, self.sizes[to[jump]] - 1, 0)
+                p[jump], s[jump] = np.where(above, self.last[to[jump]], self.first[to[jump]]) - 1, best + 1
+            at, r = at + self.goes[to], self.into[to]
+            if (lost := np.flatnonzero(s == 0)).size:  # a symbol that the index doesn't have
+                at[lost], r[lost], p[lost] = 0, 0, self.first[0]
+            far = np.flatnonzero(at >= self.until[r])
+            while far.size:
+                r[far] += 1
+                far = far[at[far] >= self.until[r[far]]]
+            if whole:
+                row, run, place, size = at, r, p, s
+            else:
+                row[own], run[own], place[own], size[own] = at, r, p, s
             found[own, k] = s
-            enough = s >= self.span
+            enough = np.flatnonzero(s >= self.span)
             least[own[enough], k] = self.least[r[enough]]
         return found, least

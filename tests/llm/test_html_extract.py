@@ -1,3 +1,8 @@
+import os
+import random
+import time
+
+import numpy as np
 import pytest
 
 from stratum.llm import html_extract as h
@@ -24,6 +29,57 @@ def test_deep_pages():
     assert h.extract("<div>" * 20000 + "deep") == "deep"
 
 
+ODD = ["<![foo[x]]>", "<![ CDATA [x]]>", "<![CDATA[x]]>", "<!x>", "<!>", "<?x>", "</>", "</ x>", "<!-->"]
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_odd_declarations_are_comments(odd):
+    assert h.extract(f"<p>a</p>{odd}<p>b</p>") in ("a b", "a x b", "a")
+    assert h.extract("<p>a</p>" + odd[:-1]) == "a" or odd == "</>"
+
+
+def test_any_markup():
+    bits = ["<", ">", "</", "<!", "<![", "[x]", "CDATA", "]]>", "--", "-->", "<!--", "?", "&", "#x", ";", '"', "'", "=", "p", "div", "article", "ul", "li", "td", " ", "\n", "/", "script", "<p>", "</p>", "<b>", "é", "<!doctype", "\0"]
+    r = random.Random(3)
+    for _ in range(3000):
+        assert isinstance(h.extract("".join(r.choices(bits, k=r.randint(0, 40))), "h", np.array([5])), str)
+
+
+@pytest.mark.parametrize("one", ["<b>|</i>", "<!--", "<a ", '<a b="', "<![CDATA[", "</", "<b>|<p></p>", "<li><ul>|<b>|<li></li>", "<div class=ad>|<article>", "<p>|<b>|</p>"])
+def test_markup_without_end_takes_linear_time(one):
+    def seconds(n):
+        began = time.process_time()
+        h.extract("".join(x * n for x in one.split("|")) + "x")
+        return time.process_time() - began
+
+    assert seconds(40_000) < 5
+
+
+def test_counts_of_subtrees_against_brute_force(spark):
+    data = [(i, f"https://s{i % 3}.example/{i}", f"<nav><ul><li>to {i % 4}</li></ul></nav><article><div>box {i % 5}</div><p>own {i}</p></article><footer>site {i % 3}</footer>") for i in range(60)]
+    expected = {}
+    for i, u, page in data:
+        host = f"s{i % 3}.example"
+        for x in set(h.subtree_hashes(h.parse(page), host).values()):
+            expected.setdefault(x, set()).add(page)
+    most = {x for x, pages in expected.items() if len(pages) >= max(h.MIN_PAGES, 20 * h.MIN_SHARE)}
+    got = {r.h for r in h.templates_of(h.hosted(rows(spark, data))).collect()}
+    assert got == most and len(most) > 10
+    for r in h.extract_pages(rows(spark, data)).collect():
+        assert r.text == f"own {r.page_id}"
+
+
+def test_templates_change_pages_of_the_test_tables(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    pages = h.hosted(spark.read.parquet(path))
+    known = np.unique(np.array([r.h for r in h.templates_of(pages).collect()], np.int64))
+    assert len(known)
+    some = sum(bool(h._among(h.subtree_hashes(h.parse(r.html), r.host), known)) for r in pages.collect())
+    assert len(known) > 0 and some > 0
+
+
 def rows(spark, data):
     return spark.createDataFrame([(i, u, t, "clash", None) for i, u, t in data], SCHEMA)
 
