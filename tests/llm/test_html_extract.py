@@ -70,8 +70,8 @@ def test_counts_of_subtrees_against_brute_force(spark):
 
 
 def test_templates_change_pages_of_the_test_tables(spark):
-    path = "/root/testdata/sf0.01/pages.parquet"
-    if not os.path.isfile(path):
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
         pytest.skip("no test tables here")
     pages = h.hosted(spark.read.parquet(path))
     known = np.unique(np.array([r.h for r in h.templates_of(pages).collect()], np.int64))
