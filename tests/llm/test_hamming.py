@@ -38,13 +38,26 @@ def test_against_brute_force(spark, k):
     assert {tuple(r) for r in got} == brute(data, k) and len(got) == len(brute(data, k))
 
 
-def test_scan_of_all(spark, monkeypatch):
-    monkeypatch.setattr(h, "QUERY_BLOCK", 3)
+def test_segments_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(h, "TOGETHER", 0)
+    monkeypatch.setattr(h, "PROBE_ROWS", 8)
     data = vectors()
-    monkeypatch.setattr(h, "_cost", lambda bounds, radius: 1 << 60)
     assert {tuple(r) for r in h.every_hundredth(spark.createDataFrame(data, SCHEMA), 7).collect()} == brute(data, 7)
 
 
+def test_distances_that_steps_cover():
+    for segments in (2, 3, 5):
+        bounds, radii, covered = h._bounds(segments), [-1] * segments, []
+        for group, radius, near in h._steps([(a // 4, b // 4) for a, b in bounds]):
+            for s, *_ in group:
+                assert radii[s] == radius - 1
+                radii[s] = radius
+            covered.append(near)
+            # the nearest code that no probe meets differs in one bit more than each segment was probed to
+            assert near == h.BITS or near == sum(r + 1 for r in radii) - 1
+        assert covered == sorted(covered) and covered[-1] == h.BITS
+
+
 def test_few_and_empty(spark):
     few = [(100 * i, [float(i)] * h.BITS, 1, None, None) for i in range(3)]
     assert {tuple(r) for r in h.every_hundredth(spark.createDataFrame(few, SCHEMA)).collect()} == brute(few, 10)
