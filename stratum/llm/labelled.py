@@ -1,12 +1,16 @@
-"""Bounded samples of labelled documents, and a small logistic model for calibration."""
+"""Bounded samples of labelled documents, scores of texts beside their rows, and a small logistic model for calibration."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import heldout_mod, staged
+from .shared import boxed, heldout_mod, quoted, staged
 
 #: Labelled documents that a model is fitted on at most: those of the smallest hashes.
 SAMPLE = 20_000
@@ -19,7 +23,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: i
     few = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(hashed, "doc_id").limit(size)
     few = staged(few.select("doc_id", "y", (hashed.bitwiseAND(F.lit(3)) == 0).cast("int").alias("half")), "labelled-ids")
     # at most `size` rows of three numbers
-    return staged(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y", "half"), "labelled")
+    rows = docs.select(quoted("doc_id").alias("doc_id"), quoted("text").cast("string").alias("text"))
+    return staged(rows.join(F.broadcast(few), "doc_id").select("text", "y", "half"), "labelled")
+
+
+def scored(docs: DataFrame, columns: list[str], scores: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """row (a struct of those columns of docs) and score, which `scores` gives for a batch of texts."""
+    rows = docs.select(boxed(docs, columns), quoted("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("row"), pa.array(scores(b.column("text")), pa.float64())], names=["row", "score"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+
+
+def classified(rows: DataFrame, mod: int, held_out: int, threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted, from scored rows of doc_id."""
+    told = rows.select(F.col("row").getField("doc_id").alias("doc_id"), "score")
+    return told.select("doc_id", (heldout_mod("doc_id", mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 class Logistic:

@@ -8,7 +8,8 @@ expectation by the extreme-value law of such scores, K n exp(-lambda S), so that
 segments add up, and a logistic fit on the other half of the sample turns the sums into a probability.
 
 Defined results: a null, empty or unscored text gets the score of a text without toxic words; repeated rows score alike;
-without labels, or with labels of one kind, all documents get the smoothed share of that kind; an empty table gives none.
+without labels, or with labels of one kind, all documents get the smoothed share of that kind; other columns may have any
+name; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE, Logistic, sample
-from .shared import heldout_mod
+from .labelled import SAMPLE, Logistic, classified, sample, scored
+from .shared import unboxed
 
 MOD, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Strength of the prior in documents, and what each entry gets beside its share.
 PRIOR, EVEN = 10.0, 0.5
-MIN_Z, MIN_COUNT, MIN_ODDS, MAX_LEXICON = 3.1, 4, 2.0, 20_000
+MIN_Z, MIN_COUNT, MIN_ODDS = 3.1, 4, 2.0
 #: Lengths of beginnings; they are written with a star.
 STEMS = (4, 5, 6, 7)
 K = 0.1
@@ -38,24 +39,26 @@ PATTERN = r"[\p{L}\p{M}\p{N}]+"
 def segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a text whose words cost `cost` each but for the hits.
 
-    The candidates kept are those that the next hit may still join; each is left at most once, so that this is linear.
+    Of a candidate's predecessors only the nearest with a smaller sum before it matters, and candidates link to theirs: a
+    search follows links, passes a candidate at most once before another one's link hides it, and so all are linear.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
     total, at = 0.0, -1
     for i, weight in hits:
         total -= cost * (i - at - 1)
-        new = [i, i, total, total + weight]
-        total, at = total + weight, i
+        first, low, high = i, total, total + weight
+        total, at = high, i
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+            while j >= 0 and found[j][2] >= low:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= high:
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            first, _, low, _, link = found[j]
             del found[j:]
-        found.append(new)
-    return [(int(a), int(b), high - low) for a, b, low, high in found]
+            j = link
+        found.append((first, i, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 class Model:
@@ -88,8 +91,8 @@ class Model:
         unlike = {w for a, b, *_ in significant for w in words[a : b + 1] if w[:4] in self.heads and self.weight(w) is not None}
         return max((-x[3] for x in significant), default=0.0) ** 0.5, float(np.log1p(sum(-x[3] for x in significant))), float(np.log1p(len(unlike)))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return self.calibration(np.array([self.features(t) for t in texts], float).reshape(-1, 3))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.calibration(np.array([self.features(t) for t in texts.to_pylist()], float).reshape(-1, 3))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
@@ -103,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     odds = F.log((F.col("y1") + prior) / (d1 + PRIOR)) - F.log((F.col("y0") + prior) / (d0 + PRIOR))
     z = odds / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
     toxic = counts.select("word", "y1", ((F.col("y0") + prior) / (d0 + PRIOR)).alias("p0"), odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("y1") >= MIN_COUNT) & (F.col("odds") >= MIN_ODDS))
-    found = toxic.orderBy(F.desc("z"), "word").limit(MAX_LEXICON).collect()
+    # of the sample's words and beginnings those in MIN_COUNT toxic documents at least, so that the sample's size bounds them
+    found = toxic.orderBy("word").collect()
     lexicon = {r.word: float(r.odds) for r in found}
     # what a word that isn't in the lexicon says: each hit counts once, by its shortest entry
     roots = [r for r in found if not any(r.word[:k] + "*" in lexicon for k in STEMS if len(r.word.rstrip("*")) > k)]
@@ -131,25 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """columns of docs (text is read) and __score."""
+    """row (a struct of those columns of docs) and score."""
     bound = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", `__score` double"
-    kept = list(columns)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            result = bound.value.scores(b.column("__text").to_pylist())
-            yield pa.record_batch([*[b.column(c) for c in kept], pa.array(result, pa.float64())], names=[*kept, "__score"])
-
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(scored, schema)
+    return scored(docs, list(columns), lambda texts: bound.value.scores(texts))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = score(docs, fit(docs, labels), "doc_id")
-    return scored.select("doc_id", (heldout_mod("doc_id", MOD) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return classified(score(docs, fit(docs, labels), "doc_id"), MOD, HELD_OUT, THRESHOLD)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic."""
-    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("__score") < THRESHOLD).drop("__score")
+    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("score") < THRESHOLD).select(*unboxed(docs.columns))

@@ -1,5 +1,7 @@
 import itertools
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,53 @@ def test_segments_against_brute_force():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_of_falling_sums_take_linear_time():
+    def seconds(n):
+        hits = [(3 * i, 1.0) for i in range(n)]
+        began = time.process_time()
+        assert len(tx.segments(hits, 0.7)) == n
+        return time.process_time() - began
+
+    assert seconds(200_000) < 5
+
+
+def test_windows_of_lines(monkeypatch):
+    texts = ["a b\nc\nd e f\n\nLine again\nLine again", "", "x\n\n", None, "one line only", "\n" * 9]
+    data, off = qc.buffers(pa.array(texts))
+    whole, size, counts = qc.line_features(data, off)
+    lines = qc.Lines(data, off)
+    field = qc.Field(whole.mean(0), whole.std(0) + 1e-6)
+    field.w = np.random.default_rng(2).normal(size=len(field.w))
+    y = np.array([1, 0, 1, 0, 1, 0])
+    expected = field.gradients(lines, y)
+    model = qc.Model(field)
+    features = model.features(pa.array(texts))
+    monkeypatch.setattr(qc, "WINDOW", 2)
+    assert np.allclose(np.concatenate([lines.features(a, b) for a, b in lines.windows()]), whole)
+    assert np.allclose(field.gradients(lines, y), expected) and np.allclose(model.features(pa.array(texts)), features)
+
+
+def test_a_text_of_line_ends_fits_in_memory():
+    field = qc.Field(np.zeros(45), np.ones(45))
+    field.w = np.zeros(len(qc.line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0][0]) + 1)
+    field.mean, field.scale = np.zeros(len(field.w) - 1), np.ones(len(field.w) - 1)
+    tracemalloc.start()
+    assert qc.Model(field).features(pa.array(["\n" * 300_000])).shape == (1, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "a.b", "row", "score", "__text", "__score", "y", "half"]
+    schema = ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names)
+    docs, labels = corpus(spark)
+    rows = spark.createDataFrame([(r.doc_id, r.text, *"cdefghi") for r in docs.select("doc_id", "text").collect()], schema)
+    kept = tx.without_toxic(rows, labels)
+    assert kept.columns == names and {tuple(r)[2:] for r in kept.collect()} == {tuple("cdefghi")}
+    assert qc.classify(rows, labels).count() == rows.count()
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     counts = np.array([1, 4, 3, 6, 1])
