@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hamming, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, toxicity
-from .shared import table
+from . import chat_format, hamming, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, shared, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
+    return shared.table(spark, sf_dir, name)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

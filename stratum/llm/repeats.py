@@ -45,7 +45,7 @@ PLACES = SPAN - GRAM + 1
 SIDE = PLACES - 1
 WIDTH = GRAM + 2 * SIDE
 #: Bytes that arrays are made of at once; text of which a task settles what it can before it sends; text for each part of the hashes.
-BATCH_BYTES, CHUNK_BYTES, PART_BYTES = 1 << 20, 4 << 20, 16 << 20
+BATCH_BYTES, CHUNK_BYTES, PART_BYTES = 1 << 19, 4 << 20, 6 << 20
 HASH_BYTES = 5
 ROWS = 1 << 14
 #: Strings of an index, about: a block takes whole anchors.
@@ -68,15 +68,23 @@ def pack(*columns: np.ndarray) -> bytes:
     return len(columns[0]).to_bytes(8, "little") + zlib.compress(b"".join(parts), 1)
 
 
-def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    n, data, at, out = int.from_bytes(blob[:8], "little"), zlib.decompress(blob[8:]), 0, []
+def unpack(blob: bytes | pa.Buffer, *kinds: type) -> list[np.ndarray]:
+    view = memoryview(blob)
+    n, data, at, out = int.from_bytes(view[:8], "little"), zlib.decompress(view[8:]), 0, []
     for kind in kinds:
         out.append(np.cumsum(np.frombuffer(data, kind, n, at), dtype=kind))
         at += n * np.dtype(kind).itemsize
     return out
 
 
-def _joined(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
+def _cells(table: pa.Table, name: str, kind: int | None = None) -> Iterator[pa.Buffer]:
+    """A binary column's values (of the rows of a kind), where they stand."""
+    kinds = table.column("kind").to_numpy() if kind is not None else np.zeros(len(table))
+    values = (v for chunk in table.column(name).chunks for v in chunk)
+    return (v.as_buffer() for v, k in zip(values, kinds) if kind is None or k == kind)
+
+
+def _joined(blobs: Iterator[pa.Buffer], *kinds: type) -> list[np.ndarray]:
     parts = [unpack(b, *kinds) for b in blobs]
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
@@ -187,18 +195,16 @@ def _flagged(parts: int, hot: int) -> Callable:
     """Rows of one part -> anchors that stand twice, by document; and (dest -1) the hashes of those that stand `hot` times."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        packed, raw = table.column("packed").to_pylist(), table.column("raw").to_pylist()
-        doc, which, at, count = _joined([p for p, k in zip(packed, kind) if k == 0], *_ANCHOR)
+        doc, which, at, count = _joined(_cells(table, "packed", 0), *_ANCHOR)
         h = np.zeros((len(doc), 8), np.uint8)
-        h[:, :HASH_BYTES] = np.frombuffer(b"".join(r for r, k in zip(raw, kind) if k == 0), np.uint8).reshape(-1, HASH_BYTES)
+        h[:, :HASH_BYTES] = np.frombuffer(b"".join(_cells(table, "raw", 0)), np.uint8).reshape(-1, HASH_BYTES)
         h = h.view(np.uint64).ravel()
         order, starts = _groups(h)
         sizes = np.diff(np.append(starts, len(order)))
         # one that stands several times in a chunk is flagged there already
         found = order[np.repeat(sizes > 1, sizes)] if len(order) else order
         often = h[order[starts]][np.add.reduceat(count[order].astype(np.int64), starts) >= hot] if len(order) else h
-        known = _joined([p for p, k in zip(packed, kind) if k == 1], *_ANCHOR[:3])
+        known = _joined(_cells(table, "packed", 1), *_ANCHOR[:3])
         flags = _by_document(*[np.concatenate([c[found], k]) for c, k in zip((doc, which), known)], parts, np.concatenate([at[found], known[2]]))
         part = table.column("part")[0].as_py() if len(table) else 0
         listed = pa.table({"dest": pa.array([-1 - part], pa.int32()), "packed": pa.array([often.tobytes()], pa.binary())})
@@ -219,7 +225,7 @@ def _documents(*kinds: type) -> Callable:
     """Rows of one dest -> a row for each document: doc_id, which, the places of anchors and, if there are any, their marks."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, which, *columns = _joined(table.column("packed").to_pylist(), np.int64, np.int64, *kinds)
+        doc, which, *columns = _joined(_cells(table, "packed"), np.int64, np.int64, *kinds)
         order = np.lexsort((columns[0], which, doc))
         doc, which, columns = doc[order], which[order], [c[order] for c in columns]
         change = lambda a: np.append(True, a[1:] != a[:-1])[: len(a)]
@@ -402,12 +408,10 @@ def marked(doc: np.ndarray, first: np.ndarray, text: np.ndarray, bits: np.ndarra
 
 def _marked(parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        packed, raw = table.column("packed").to_pylist(), table.column("raw").to_pylist()
-        doc, which, at, first, bits = _joined([p for p, k in zip(packed, kind) if k == 0], *_CONTEXT)
-        text = np.frombuffer(b"".join(zlib.decompress(r) for r, k in zip(raw, kind) if k == 0), np.uint8).reshape(-1, WIDTH)
+        doc, which, at, first, bits = _joined(_cells(table, "packed", 0), *_CONTEXT)
+        text = np.frombuffer(b"".join(map(zlib.decompress, _cells(table, "raw", 0))), np.uint8).reshape(-1, WIDTH)
         marks = _placed(marked(doc, first, text, bits), first)
-        known = _joined([p for p, k in zip(packed, kind) if k == 1], np.int64, np.int64, np.uint32, np.uint32)
+        known = _joined(_cells(table, "packed", 1), np.int64, np.int64, np.uint32, np.uint32)
         some = marks > 0
         both = [np.concatenate([c[some], k]) for c, k in zip((doc, which, at, marks), known)]
         return _by_document(both[0], both[1], parts, *both[2:])

@@ -16,15 +16,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
-#: Rows of a batch that Python gets at most: texts of a few KB make a few MB, and a task holds few batches at a time.
-BATCH_ROWS = 1000
-_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch that Python gets at most: a task holds few batches at a time, in the JVM and in Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session sends Python small batches. Entry points call this; operators leave the session as it is."""
+    for name, most in BATCHES.items():
+        now = spark.conf.get(name, "0").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name; from here on the session sends Python small batches."""
-    if not 0 < int(spark.conf.get(_ROWS_PER_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS_PER_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
