@@ -23,7 +23,7 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.exec
 def small_batches(spark: SparkSession) -> None:
     """From here on the session sends Python small batches. Entry points call this; operators leave the session as it is."""
     for name, most in BATCHES.items():
-        now = spark.conf.get(name, "0").rstrip("bB")
+        now = spark.conf.get(name).rstrip("bB")
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(name, str(most))
 
