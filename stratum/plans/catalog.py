@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, ladders, reports, retrieval
+from . import documents, ladders, normalised, reports, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES}
