@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers
+from .shared import buffers, tidy
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: A conversation of more bytes than this is given in several pieces, in order.
@@ -126,7 +126,7 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation, or per piece of a very long one: FORMATTED. Pieces of a conversation follow each other in a partition."""
     rows = df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatted, FORMATTED)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(tidy(_formatted), FORMATTED)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -162,4 +162,4 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the turns and of what is under the loss mask, from the output of format_chat alone."""
-    return formatted.mapInArrow(_read_back, READ_BACK)
+    return formatted.mapInArrow(tidy(_read_back), READ_BACK)

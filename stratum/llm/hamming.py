@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import quoted, staged
+from .shared import quoted, staged, tidy
 
 BITS, TOP = 64, 10
 QUERY_EVERY = 100
@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, id: str = "vec_i
 def _met(index: DataFrame, queries: DataFrame, bounds: list[tuple[int, int]], group: list[tuple[int, int, int]], radius: int) -> DataFrame:
     """q, vec_id, distance of all codes that the step's probes meet and no earlier probe has met."""
     values = index.select("code", "ids", F.inline(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("code"), a, b).alias("v")) for s, a, b in group])))
-    probed = queries.mapInArrow(_probes(group, radius), "q long, bound int, s2 int, v2 long")
+    probed = queries.mapInArrow(tidy(_probes(group, radius)), "q long, bound int, s2 int, v2 long")
     differ = F.col("code").bitwiseXOR(F.col("q"))
     first = F.lit(True)
     for s, (a, b) in enumerate(bounds):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import quoted, staged
+from .shared import quoted, staged, tidy
 
 #: A subtree is part of the template if pages of at least so many main texts, and of this share of the host's, hold it.
 MIN_PAGES, MIN_SHARE = 4, 0.01
@@ -278,7 +278,7 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 def _hashes(rows: DataFrame) -> DataFrame:
     with_host = rows.filter("host <> ''").withColumn("site", F.xxhash64("host"))
-    return with_host.select("page_id", "site", "host", "html").mapInArrow(_hashed, "page_id long, site long, h long, content long")
+    return with_host.select("page_id", "site", "host", "html").mapInArrow(tidy(_hashed), "page_id long, site long, h long, content long")
 
 
 def templates_of(rows: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [extract(html, host, sent.value) for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist())]
                 yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-        return rows.mapInArrow(extracted, schema)
+        return rows.mapInArrow(tidy(extracted), schema)
     own = _hashes(rows).join(templates, "h").groupBy(F.col("page_id").alias("of")).agg(F.collect_set("h").alias("own"))
 
     def extracted_by_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,4 +310,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(html, host, np.unique(np.array(own or [], np.int64))) for host, html, own in zip(*[b.column(c).to_pylist() for c in ("host", "html", "own")])]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.join(own, rows["page_id"].eqNullSafe(F.col("of")), "left").select("page_id", "url", "host", "html", "own").mapInArrow(extracted_by_own, schema)
+    return rows.join(own, rows["page_id"].eqNullSafe(F.col("of")), "left").select("page_id", "url", "host", "html", "own").mapInArrow(tidy(extracted_by_own), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import boxed, heldout_mod, quoted, staged
+from .shared import boxed, heldout_mod, quoted, staged, tidy
 
 #: Labelled documents that a model is fitted on at most: those of the smallest hashes.
 SAMPLE = 20_000
@@ -35,7 +35,7 @@ def scored(docs: DataFrame, columns: list[str], scores: Callable[[pa.Array], np.
         for b in batches:
             yield pa.record_batch([b.column("row"), pa.array(scores(b.column("text")), pa.float64())], names=["row", "score"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def classified(rows: DataFrame, mod: int, held_out: int, threshold: float) -> DataFrame:
@@ -49,6 +49,7 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40):
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        self.rows = len(x)
         z = self._with_one(x)
         self.w = np.zeros(z.shape[1])
         share = (y.sum() + 0.5) / (len(y) + 1)

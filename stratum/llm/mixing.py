@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, small_side, staged
+from .shared import WORD, boxed, small_side, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -96,7 +96,7 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The mix itself: a row of docs for each pass that takes it; of the document at a source's cut, the last row has its first words."""
     rows = staged(sized(docs), "mix-sizes")
     cut = staged(cuts(rows, **how), "mix-cut")
-    taken = with_taken(sized(docs, *[F.struct(*docs.columns).alias("row")]), cut)
+    taken = with_taken(sized(docs, *[boxed(docs)]), cut)
     passes = F.flatten(F.array(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("more") > 0, F.array("more")).otherwise(F.array().cast("array<bigint>"))))
     # a document without words costs nothing and goes once
     passes = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(passes)
@@ -105,7 +105,7 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(spaced, F.lit(1), F.col("words").cast("int")), ""))
     rows = rows.select("row", text.alias("text"), (F.col("words") < F.col("size")).alias("part"))
     given = {"text": F.col("text"), "n_chars": F.when(F.col("part"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return rows.select(*[given.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return rows.select(*[given.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""

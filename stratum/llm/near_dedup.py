@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Substrings, buffers, mixed, slices, small_side, staged, word_bounds
+from .shared import Substrings, buffers, mixed, quoted, slices, small_side, staged, tidy, word_bounds
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 BANDS, ROWS = 32, 4
@@ -236,7 +236,7 @@ def _across(mixed_up: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = members.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"))
     placed = staged(_in_blocks(members.join(sizes, F.col("root") == F.col("of")), "root", "component", "sketch"), "near-families")
     texts = docs.join(small_side(placed, 48 + BITS // 8), docs["doc_id"] == F.col("id")).select("root", "one", "two", "block", "id", "component", "sketch", "text")
-    return staged(_dealt(texts, "root").mapInArrow(_linked, "a long, b long").distinct(), "near-across")
+    return staged(_dealt(texts, "root").mapInArrow(tidy(_linked), "a long, b long").distinct(), "near-across")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,19 +266,19 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = small_side(staged(members.unionByName(centers), "near-wanted"), 24)
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == F.col("id")).select("center", "salt", "member", "doc_id", "text")
     ordered = texts.repartition("center", "salt").sortWithinPartitions("center", "salt", "member")
-    return staged(ordered.mapInArrow(_confirmed, "a long, b long").distinct(), "near-links")
+    return staged(ordered.mapInArrow(tidy(_confirmed), "a long, b long").distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "near-signed")
+    docs = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
+    signed = staged(docs.mapInArrow(tidy(_signed), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "near-signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(some.groupBy("digest").agg(F.min("doc_id").alias("id")), "near-classes")
     firsts = some.join(classes.select(F.col("id"), F.col("digest").alias("d")), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d"))).select("id", "bands", "sketch")
     members = firsts.select("id", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     buckets = staged(members.join(firsts.select("id", "sketch"), "id"), "near-buckets")
-    pairs = staged(_dealt(_in_blocks(buckets, "key", "sketch"), "key").mapInArrow(_pairs, "a long, b long").distinct(), "near-pairs")
+    pairs = staged(_dealt(_in_blocks(buckets, "key", "sketch"), "key").mapInArrow(tidy(_pairs), "a long, b long").distinct(), "near-pairs")
     links = confirm(pairs, docs)
     found = components(links)
     rooted = lambda rows: rows.join(found, rows["id"] == found["node"], "left").withColumn("component", F.coalesce("root", "id")).drop("node", "root")
@@ -295,5 +295,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without those that aren't the first of their group."""
-    gone = staged(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(small_side(gone, 8), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = staged(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    return docs.join(small_side(gone, 8), docs["doc_id"] == gone["gone"], "left_anti")

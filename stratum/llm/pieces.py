@@ -6,8 +6,9 @@ loses. Only the few parts of a text that lose least can differ in its N best seg
 from the part's end with the forward scores, which are exact, as its heuristic, so that complete paths leave the queue best
 first.
 
-The forward and backward passes run in numpy over all unlike parts of a batch that have the same length; parts are kept
-between batches, up to CACHE. Pieces come from the vocabulary's file; a merge vocabulary ranks pieces instead of giving
+The forward and backward passes run in numpy over all unlike parts of a batch that have the same length; a part of more
+than LONG characters (a text without spaces is one part) goes alone, in time and memory (some 200 bytes a character) that
+grow with its length. Parts are kept between batches, up to CACHE. Pieces come from the vocabulary's file; a merge vocabulary ranks pieces instead of giving
 their probabilities, so that the log-probability of rank r is by Zipf's and Mandelbrot's law. Characters without a piece,
 and the space mark itself where a text has it, become byte pieces, so that decoding gives every text back.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import buffers, slices
+from .shared import boxed, buffers, quoted, slices, tidy, unboxed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-CACHE = 300_000
+#: Parts, and their characters, that a task keeps; above LONG characters, a part goes through its lattice alone.
+CACHE, CACHE_CHARS, LONG = 300_000, 8 << 20, 64
 BATCH_BYTES = 4 << 20
 MARK = "▁"
 PARTS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -59,6 +63,12 @@ class Vocabulary:
         self.score[plain] = [-math.log(r + ZIPF_SHIFT) - total for r in range(len(plain))]
         self.of_byte = float(self.score[plain].min()) - BYTE_COST
         self.longest = max(map(len, self.ids))
+        self.value = self.score.tolist()
+        lengths: dict[str, set[int]] = {}
+        for text in self.ids:
+            lengths.setdefault(text[-1], set()).add(len(text))
+        #: Of each character, the lengths of the pieces that end with it, the longest first.
+        self.ending = {c: sorted(k, reverse=True) for c, k in lengths.items()}
         self.bytes = [b""] * n
         for text, i in self.ids.items():
             self.bytes[i] = text.encode()
@@ -81,16 +91,16 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.of_key[at], self.none)
 
-    def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end in the part: (start, score, pieces) of what ends there."""
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[]]
-        for j in range(1, len(part) + 1):
-            here = [(i, float(self.score[p]), (p,)) for i in range(max(0, j - self.longest), j) if (p := self.ids.get(part[i:j])) is not None]
-            if part[j - 1] not in self.ids:
-                raw = part[j - 1].encode()
-                here.append((j - 1, self.of_byte * len(raw), tuple(self.byte[b] for b in raw)))
-            out.append(here)
-        return out
+    def into(self, part: str, j: int) -> list[tuple[int, float, int]]:
+        """(start, score, piece) of what ends at j in the part, the longest first; a character without a piece is `none`."""
+        found = [(j - k, self.value[p], p) for k in self.ending.get(part[j - 1], ()) if k <= j and (p := self.ids.get(part[j - k : j])) is not None]
+        if part[j - 1] not in self.ids:
+            found.append((j - 1, self.of_byte * len(part[j - 1].encode("utf-8", "surrogatepass")), self.none))
+        return found
+
+    def spelled(self, part: str, at: int, piece: int) -> tuple[int, ...]:
+        """A piece, or the byte pieces of the character before `at`."""
+        return (piece,) if piece != self.none else tuple(self.byte[b] for b in part[at - 1].encode("utf-8", "surrogatepass"))
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -104,25 +114,72 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Lattice:
+    """The forward Viterbi pass over a part of any length: a score and the best last piece for each place, no edges are kept."""
+
+    def __init__(self, vocab: Vocabulary, part: str):
+        self.vocab, self.part = vocab, part
+        self.forward, self.back, self.piece = array("d", [0.0]), array("i", [0]), array("i", [0])
+        forward = self.forward
+        for j in range(1, len(part) + 1):
+            best, start, last = -math.inf, 0, 0
+            for i, s, p in vocab.into(part, j):
+                # of equal scores the longest last piece counts
+                if (total := forward[i] + s) > best + 1e-9:
+                    best, start, last = total, i, p
+            forward.append(best)
+            self.back.append(start)
+            self.piece.append(last)
+
+    def best(self) -> list[int]:
+        ids, at = [], len(self.part)
+        while at:
+            ids += reversed(self.vocab.spelled(self.part, at, self.piece[at]))
+            at = self.back[at]
+        return ids[::-1]
+
+    def losses(self, at: int) -> list[tuple[float, int, int]]:
+        """(loss, start, piece) of all last pieces of what ends at `at`, against the best."""
+        return [(self.forward[at] - self.forward[i] - s, i, p) for i, s, p in self.vocab.into(self.part, at)]
+
+    def least(self, n: int) -> list[float]:
+        """The n least losses of leaving the best segmentation once: each is that of another segmentation."""
+        at, found = len(self.part), []
+        while at:
+            found += [x for x, i, _ in self.losses(at) if i != self.back[at]]
+            if len(found) > 64 * n:
+                found = heapq.nsmallest(n, found)
+            at = self.back[at]
+        return heapq.nsmallest(n, found)
+
+    def nbest(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations, by backward A*: what is left before a place costs what the forward pass says.
+
+        No path above the bound that leaving the best one sets is followed, and paths share their ends.
+        """
+        least = self.least(n - 1) if n > 1 else []
+        bound = max(least, default=0.0) + 1e-9 if len(least) == n - 1 else math.inf
+        steps: list[tuple[int, int, int]] = [(-1, 0, 0)]  # what follows, place, piece
+        queue: list[tuple[float, int, int]] = [(0.0, len(self.part), 0)]
+        found = []
+        while queue and len(found) < n:
+            lost, at, last = heapq.heappop(queue)
+            if at == 0:
+                ids: list[int] = []
+                while last:
+                    last, place, piece = steps[last]
+                    ids += self.vocab.spelled(self.part, place, piece)
+                found.append((self.forward[-1] - lost, tuple(ids)))
+                continue
+            for x, i, p in self.losses(at):
+                if lost + x <= bound:
+                    steps.append((last, at, p))
+                    heapq.heappush(queue, (round(lost + x, 9), i, len(steps) - 1))
+        return found
+
+
 def nbest_part(vocab: Vocabulary, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a part, by backward A*."""
-    edges = vocab.edges(part)
-    forward = [0.0] + [-math.inf] * len(part)
-    for j in range(1, len(part) + 1):
-        forward[j] = max((forward[i] + s for i, s, _ in edges[j]), default=-math.inf)
-    # of equal scores the longest last pieces go first, as in the forward pass
-    queue: list[tuple[float, tuple[int, ...], float, tuple[int, ...]]] = [(-forward[-1], (len(part),), 0.0, ())]
-    found = []
-    while queue and len(found) < n:
-        _, path, done, pieces = heapq.heappop(queue)
-        at = path[-1]
-        if at == 0:
-            found.append((done, pieces))
-            continue
-        for i, s, own in edges[at]:
-            if forward[i] > -math.inf:
-                heapq.heappush(queue, (-round(forward[i] + s + done, 9), path + (i,), s + done, own + pieces))
-    return found
+    return Lattice(vocab, part).nbest(n)
 
 
 class Parts:
@@ -134,13 +191,14 @@ class Parts:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
+        self.size = 0  # characters
         self.words: list[str] = []
         self.alternatives: dict[int, list[tuple[float, tuple[int, ...]]]] = {}  # by code, of parts that were asked for
         self.ids, self.starts, self.score, self.loss = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
         """The codes of the parts of each text; new parts are segmented."""
-        if len(self.code) > CACHE:
+        if len(self.code) > CACHE or self.size > CACHE_CHARS:
             self.clear()
         code, known = self.code, len(self.code)
         out = [np.array([code.setdefault(p, len(code)) for p in PARTS.findall(" " + t)] if t else [], np.int64) for t in texts]
@@ -153,7 +211,12 @@ class Parts:
         pieces: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         counts, score, loss = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
         lengths = np.array([len(w) for w in words])
-        for length in np.unique(lengths):
+        self.size += int(lengths.sum())
+        for k in np.flatnonzero(lengths > LONG):
+            lattice = Lattice(self.vocab, words[k])
+            pieces[k] = np.array(lattice.best(), np.int32)
+            counts[k], score[k], loss[k] = len(pieces[k]), lattice.forward[-1], max(0.0, (lattice.least(1) or [math.inf])[0])
+        for length in np.unique(lengths[lengths <= LONG]):
             rows = np.flatnonzero(lengths == length)
             step = max(1, 200_000 // int(length * min(length, self.vocab.longest)))
             for k in range(0, len(rows), step):
@@ -263,52 +326,54 @@ def nbest(parts: Parts, codes: np.ndarray, begin: np.ndarray, n: int) -> list[di
     return out
 
 
-def encode(docs: DataFrame, *columns: str, model: str = MODEL, n: int = NBEST) -> DataFrame:
-    """columns of docs (text is read), ids, and nbest (NBEST_DDL), the best first."""
-    kept = list(columns)
-    fields = docs.select(*kept).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + f"__ids array<int>, __nbest {NBEST_DDL}"
+def encode(docs: DataFrame, *columns: str, model: str = MODEL, n: int = NBEST, back: bool = False) -> DataFrame:
+    """row (a struct of those columns of docs), ids, and nbest (NBEST_DDL), the best first; with back, decoded too: the text that ids stand for.
+
+    model: path of the vocabulary's file, which each executor reads.
+    """
+    rows = docs.select(boxed(docs, list(columns)), quoted("text").cast("string").alias("text"))
+    own = StructType.fromDDL(f"ids array<int>, nbest {NBEST_DDL}" + (", decoded string" if back else ""))
     changes = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(changes))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(vocabulary(model))
+        vocab = vocabulary(model)
+        parts = Parts(vocab)
         for b in batches:
-            _, off = buffers(b.column("__text"))
+            _, off = buffers(b.column("text"))
             for i, j in slices(off, BATCH_BYTES):
-                codes = parts.codes([t or "" for t in b.column("__text").slice(i, j - i).to_pylist()])
+                codes = parts.codes([t or "" for t in b.column("text").slice(i, j - i).to_pylist()])
                 ids, best = [], []
                 for c in codes:
                     own, begin = parts.pieces(c)
                     ids.append(own)
                     best.append(nbest(parts, c, begin, n))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.record_batch([*[b.column(c).slice(i, j - i) for c in kept], lists, pa.array(best, kind)], names=[*kept, "__ids", "__nbest"])
+                told = [b.column("row").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(best, kind)]
+                if back:
+                    told.append(pa.array([vocab.decode(x).decode() for x in ids], pa.string()))
+                yield pa.record_batch(told, names=["row", "ids", "nbest", "decoded"][: len(told)])
 
-    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], *own.fields]))
 
 
 def decode(rows: DataFrame, ids: str, *columns: str, model: str = MODEL) -> DataFrame:
-    """columns of rows, and the text that the pieces in column ids stand for as __decoded."""
-    kept = list(columns)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*kept).schema) + "__decoded string"
+    """row (a struct of those columns of rows), and decoded: the text that the pieces in column ids stand for."""
+    boxes = rows.select(boxed(rows, list(columns)), quoted(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for b in batches:
-            lists = b.column("__ids")
+            lists = b.column("ids")
             flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
             texts = [vocab.decode(flat[p:q]).decode() for p, q in zip(off[:-1], off[1:])]
-            yield pa.record_batch([*[b.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, "__decoded"])
+            yield pa.record_batch([b.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
-    return rows.select(*kept, F.col(ids).alias("__ids")).mapInArrow(run, schema)
+    return boxes.mapInArrow(tidy(run), StructType([boxes.schema["row"], StructField("decoded", StringType())]))
 
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the pieces as text, comma-separated), nbest_scores, decoded_sha256."""
-    coded = encode(docs, "doc_id", model=model)
-    told = coded.select("doc_id", "__ids", F.size("__ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("__ids", ",").cast("binary"), 256).alias("ids_sha256"), F.transform("__nbest", lambda x: F.round(x["score"], 6)).alias("nbest_scores"))
-    kept = ("doc_id", "n_pieces", "ids_sha256", "nbest_scores")
-    return decode(told, "__ids", *kept, model=model).select(*kept, F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode(docs, "doc_id", model=model, back=True)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select(*unboxed(["doc_id"]), F.size("ids").cast("long").alias("n_pieces"), digest(F.array_join("ids", ",")).alias("ids_sha256"), F.transform("nbest", lambda x: F.round(x["score"], 6)).alias("nbest_scores"), digest(F.col("decoded")).alias("decoded_sha256"))

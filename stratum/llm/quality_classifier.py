@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, Logistic, classified, sample, scored
-from .shared import Substrings, buffers, slices, word_bounds
+from .shared import Substrings, buffers, slices, tidy, word_bounds
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.7
 BATCH_BYTES = 1 << 20
@@ -231,7 +231,7 @@ def _summed(rows: DataFrame, sums: Callable[[Lines, np.ndarray], np.ndarray]) ->
         if isinstance(total, np.ndarray):
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    found = [np.frombuffer(r.sums, float) for r in rows.mapInArrow(run, "sums binary").collect()]
+    found = [np.frombuffer(r.sums, float) for r in rows.mapInArrow(tidy(run), "sums binary").collect()]
     return np.sum(found, axis=0) if found else np.zeros(0)
 
 
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             yield pa.record_batch([b.column("y"), *[pa.array(f[:, i]) for i in range(4)]], names=["y", "f0", "f1", "f2", "f3"])
 
     # at most `size` rows of five numbers
-    table = second.mapInArrow(aggregated, "y int, f0 double, f1 double, f2 double, f3 double").toPandas()
+    table = second.mapInArrow(tidy(aggregated), "y int, f0 double, f1 double, f2 double, f3 double").toPandas()
     model.calibration = Logistic(table[["f0", "f1", "f2", "f3"]].to_numpy(float), table["y"].to_numpy(float))
     return model
 

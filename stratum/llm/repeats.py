@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .run_index import RunIndex
-from .shared import _BASE, _VALUE, Substrings, boxed, buffers, mixed, quoted, slices, small_side, staged, unboxed
+from .shared import _BASE, _VALUE, Substrings, boxed, buffers, mixed, quoted, slices, small_side, staged, tidy, tidy_group, unboxed
 
 SPAN, GRAM = 50, 19
 #: Places of an anchor in a string, and the bytes on each side of one in a context.
@@ -476,15 +476,15 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(12, -(-size // PART_BYTES))
     hot = max(HOT, size * 2 // (PLACES + 1) // MOST_HOT)
-    sent = rows.mapInArrow(_sent_anchors(parts), _BLOB_DDL)
-    flags = staged(sent.groupBy("part").applyInArrow(_flagged(parts, hot), "dest int, packed binary"), "repeats-anchors")
+    sent = rows.mapInArrow(tidy(_sent_anchors(parts)), _BLOB_DDL)
+    flags = staged(sent.groupBy("part").applyInArrow(tidy_group(_flagged(parts, hot)), "dest int, packed binary"), "repeats-anchors")
     # MOST_HOT numbers of 8 bytes at most
     often = [np.frombuffer(r.packed, np.uint64) | np.uint64((-1 - r.dest) << 8 * HASH_BYTES) for r in flags.filter("dest < 0").collect()]
     hot_anchors = np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)
-    places = flags.filter("dest >= 0").groupBy("dest").applyInArrow(_documents(np.uint32), "doc_id long, which long, places binary").toDF("of", "variant", "places")
+    places = flags.filter("dest >= 0").groupBy("dest").applyInArrow(tidy_group(_documents(np.uint32)), "doc_id long, which long, places binary").toDF("of", "variant", "places")
     flagged = rows.join(places, (rows["doc_id"] == F.col("of")) & (rows["which"] == F.col("variant"))).select("doc_id", "which", "text", "places")
-    around = flagged.mapInArrow(_sent_contexts(parts, hot_anchors), _BLOB_DDL)
-    marks = around.groupBy("part").applyInArrow(_marked(parts), "dest int, packed binary").groupBy("dest").applyInArrow(_documents(np.uint32, np.uint32), "doc_id long, which long, places binary, marks binary")
+    around = flagged.mapInArrow(tidy(_sent_contexts(parts, hot_anchors)), _BLOB_DDL)
+    marks = around.groupBy("part").applyInArrow(tidy_group(_marked(parts)), "dest int, packed binary").groupBy("dest").applyInArrow(tidy_group(_documents(np.uint32, np.uint32)), "doc_id long, which long, places binary, marks binary")
     return staged(marks, "repeats-marks")
 
 
@@ -499,7 +499,7 @@ def _with_marks(docs: DataFrame, row) -> DataFrame:
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = _with_marks(docs, F.lit(None).cast("int").alias("row"))
-    return rows.mapInArrow(lambda batches: _cut(batches, _digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(lambda batches: _cut(batches, _digests)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -507,7 +507,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = _with_marks(docs, boxed(docs, columns))
     schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("n_chars", LongType())])
-    cut = rows.mapInArrow(lambda batches: _cut(batches, _texts), schema)
+    cut = rows.mapInArrow(tidy(lambda batches: _cut(batches, _texts)), schema)
     given = {"text": F.col("text"), "n_chars": F.col("n_chars").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     kept = dict(zip(columns, unboxed(columns)))
     return cut.select(*[(given[c] if c in given else kept[c]).alias(c) for c in docs.columns])

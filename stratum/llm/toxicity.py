@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, Logistic, classified, sample, scored
-from .shared import unboxed
+from .shared import tidy, unboxed
 
 MOD, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Strength of the prior in documents, and what each entry gets beside its share.
@@ -126,10 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([bound.value.features(t) for t in b.column("text").to_pylist()], float).reshape(-1, 3)
-            yield pa.record_batch([b.column("y"), *[pa.array(f[:, i]) for i in range(3)]], names=["y", "f0", "f1", "f2"])
+            yield pa.record_batch([b.column("y"), b.column("half"), *[pa.array(f[:, i]) for i in range(3)]], names=["y", "half", "f0", "f1", "f2"])
 
     # at most `size` rows of four numbers
-    table = rows.filter("half = 1").select("text", "y").mapInArrow(measured, "y int, f0 double, f1 double, f2 double").toPandas()
+    told = rows.select("text", "y", "half").mapInArrow(tidy(measured), "y int, half int, f0 double, f1 double, f2 double").toPandas()
+    table = told[told["half"] == 1] if (told["half"] == 1).any() else told
     model.calibration = Logistic(table[["f0", "f1", "f2"]].to_numpy(float), table["y"].to_numpy(float))
     return model
 
@@ -146,5 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that are predicted toxic."""
-    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("score") < THRESHOLD).select(*unboxed(docs.columns))
+    """docs without those that are predicted toxic; without labels none is."""
+    model = fit(docs, labels)
+    rows = score(docs, model, *docs.columns)
+    return (rows.filter(F.col("score") < THRESHOLD) if model.calibration.rows else rows).select(*unboxed(docs.columns))

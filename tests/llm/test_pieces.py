@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,40 @@ def test_parts_against_enumeration():
         assert got[0][1] == ids
 
 
+def test_long_parts_as_short_ones(monkeypatch):
+    vocab = s.vocabulary(s.MODEL)
+    words = list(dict.fromkeys(w for w in PARTS + ["".join(R.choices("abcdeiouthrné日", k=R.randint(1, 60))) for _ in range(80)] if w))
+    short, long = s.Parts(vocab), s.Parts(vocab)
+    short._add(words)
+    monkeypatch.setattr(s, "LONG", 0)
+    long._add(words)
+    assert np.array_equal(short.ids, long.ids) and np.allclose(short.score, long.score) and np.allclose(short.loss, long.loss)
+
+
+def test_a_text_without_spaces_takes_linear_time():
+    vocab = s.vocabulary(s.MODEL)
+
+    def seconds(text, n=4):
+        began = time.process_time()
+        parts = s.Parts(vocab)
+        (codes,) = parts.codes([text])
+        ids, begin = parts.pieces(codes)
+        assert vocab.decode(ids).decode() == text and len(s.nbest(parts, codes, begin, 4)) == n
+        return time.process_time() - began
+
+    base = "".join(R.choices("ABCDEFGHabcdefgh0123456789+/", k=100_000))
+    assert seconds(base) < 10 and seconds("日本語の文章" * 10_000, 1) < 10 and seconds("a" * 50_000) < 10
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "a.b", "row", "ids", "nbest", "decoded", "__ids"]
+    df = spark.createDataFrame([(1, "some text", *"cdefgh")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    (r,) = s.encode(df, *names, back=True).collect()
+    assert tuple(r.row) == (1, "some text", *"cdefgh") and r.decoded == "some text"
+    assert s.encoded_documents(df).count() == 1
+    assert s.decode(s.encode(df, *names), "ids", "row").first().decoded == "some text"
+
+
 def test_texts_against_enumeration():
     vocab = s.vocabulary(s.MODEL)
     for _ in range(25):
