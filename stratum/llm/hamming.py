@@ -9,7 +9,7 @@ distance is within that; its steps end, and nothing else ends them.
 
 A pair of codes is met once: in the step of the least distance that a segment of theirs has, in the first such segment.
 Candidates farther than a query's kth distance so far are dropped where they are met. Segments get longer as codes get more,
-so that a probed value stands for about one code. Probes are made in tasks from the queries' codes, a step at a time, and
+so that a probed value stands for a few codes. Probes are made in tasks from the queries' codes, a step at a time, and
 meet the codes in a join by segment and value; equal query codes are searched once.
 
 Defined results: a null vector, or one of another length, has no code and is in no result; ids tie-break equal distances;
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +99,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, id: str = "vec_i
     index = staged(ranked.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "hamming-codes")
     size = index.count()
     asked = staged(coded(queries).select(F.col("id").alias("query_id"), F.col("code").alias("q")), "hamming-queries")
-    bounds = _bounds(max(2, min(BITS // 4, round(BITS / max(4.0, log2(max(2, size)))))))
+    bounds = _bounds(max(2, min(BITS // 4, ceil(BITS / max(4.0, log2(max(2, size)))))))
     open_ = staged(asked.select("q", F.lit(BITS).alias("bound")).distinct(), "hamming-open")
     best = vectors.sparkSession.createDataFrame([], "q long, vec_id long, distance int, rank int, bound int")
     done = best

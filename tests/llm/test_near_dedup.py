@@ -86,3 +86,18 @@ def test_sketches_estimate_similarity():
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert nd.without_near_duplicates(spark.createDataFrame([(1, "a", None, None, None)] * 2, SCHEMA)).count() == 2
+
+
+def test_recall_near_the_threshold():
+    """Of 1,500 pairs at a similarity of 0.75 to 0.77, those that share a band and pass the sketch bound."""
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(1500):
+        both = int(rng.integers(90, 600))
+        other = int(both / rng.uniform(0.75, 0.77)) - both
+        h = rng.integers(0, 1 << 63, both + other, dtype=np.uint64)
+        cut = int(rng.integers(0, other + 1))
+        low = np.stack([nd.samples(np.concatenate([h[:both], h[both : both + cut]])), nd.samples(np.concatenate([h[:both], h[both + cut :]]))])
+        keys, sketches = nd.bands(low), nd.odd_sketches(low).view(np.uint64)
+        found += bool((keys[0] == keys[1]).any()) and int(nd._differing(sketches[0], sketches[1:])[0]) <= nd.MOST_BITS
+    assert found >= 1499
