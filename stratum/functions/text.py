@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a token is a run of Hangul syllables, or of ASCII letters, digits, dots, dashes and underscores.
 TOKEN = r"[가-힣]+|[A-Za-z0-9_.-]+"
+LOWER_TOKEN = r"[가-힣]+|[a-z0-9_.-]+"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens in order, lower-cased after they are cut (lower-casing may turn other characters into ASCII ones)."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.lower(x))
+    """Tokens in order, in lower case: the Kelvin sign and the dotted capital I, which alone would become ASCII letters, part tokens."""
+    return F.regexp_extract_all(F.lower(F.translate(text, "\u212a\u0130", "  ")), F.lit(LOWER_TOKEN), F.lit(0))
 
 
 def collapse_spaces(text: Column) -> Column:

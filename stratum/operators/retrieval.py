@@ -1,11 +1,12 @@
 """Lexical, vector and fused retrieval over batches of queries.
 
-A table of queries is the small side; it is broadcast only up to QUERY_ROWS rows, beyond that joins shuffle. Ranks are
+A table of queries is the small side; it is broadcast only up to QUERY_ROWS rows and BROADCAST_BYTES, beyond that joins shuffle. Ranks are
 partitioned by query, so that no query's hits pass through another's task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,19 @@ from stratum.functions.text import cosine, tokens
 K1, B = 1.5, 0.75
 RRF_K = 60
 QUERY_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
+#: Asked terms up to which a row's tokens are filtered inside the row.
+FEW_TERMS = 32
 DIGITS = 6
 #: Queries that are compared with a batch of vectors at once.
 QUERY_BLOCK = 256
 
 
 def bounded(queries: DataFrame) -> DataFrame:
-    """queries, marked for broadcast if they are few."""
-    return F.broadcast(queries) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else queries
+    """queries, marked for broadcast if they are few and take BROADCAST_BYTES at most as text."""
+    size = F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))
+    n, taken = queries.limit(QUERY_ROWS + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(queries) if n <= QUERY_ROWS and taken <= BROADCAST_BYTES else queries
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
@@ -41,21 +47,48 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank. queries: query_id, terms (array).
 
-    Only tokens that some query asks for leave the scan: lengths and term frequencies are made in the same pass.
+    The texts are cut into tokens once: of each document its length and how often each asked term stands in it leave the
+    scan. Where few terms are asked, other tokens are dropped inside the row, before anything is exploded.
     """
-    asked = bounded(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).distinct())
-    wanted = asked.select("term").distinct()
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).filter(F.col("term").isNotNull()).distinct()
+    terms = asked.select("term").distinct()
+    few = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
     scanned = docs.select("doc_id", tokens(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("n"), "all")
-    totals = scanned.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean"))
-    tf = scanned.select("doc_id", "n", F.explode("all").alias("term")).join(wanted, "term").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    if len(few) <= FEW_TERMS:
+        wanted = F.array(*[F.lit(t) for t in few]).cast("array<string>")
+        own = scanned.select("doc_id", "n", F.filter("all", lambda x: F.array_contains(wanted, x)).alias("all"))
+        counts = F.transform(F.array_distinct("all"), lambda t: F.struct(t.alias("term"), F.size(F.filter("all", lambda x: x == t)).cast("long").alias("tf")))
+        found = own.select("doc_id", "n", F.explode_outer(counts).alias("c")).select("doc_id", "n", "c.term", "c.tf")
+    else:
+        own = scanned.select("doc_id", "n", F.explode_outer("all").alias("term")).join(bounded(terms.withColumn("hit", F.lit(True))), "term", "left")
+        found = own.groupBy("doc_id", "n", F.when(F.col("hit"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+        # a row without a term keeps the document's length
+        found = found.select("doc_id", "n", "term", F.when(F.col("term").isNotNull(), F.col("tf")).alias("tf"))
+    found = kept(found, "bm25")
+    totals = found.groupBy("doc_id").agg(F.first("n").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean"))
+    tf = found.filter(F.col("term").isNotNull())
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").join(F.broadcast(totals))  # totals: one row
+    weighted = tf.join(bounded(df), "term").join(F.broadcast(totals))  # totals: one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.greatest("mean", F.lit(1.0))))
-    scored = weighted.select("term", "doc_id", part.alias("part")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    scored = weighted.select("term", "doc_id", part.alias("part")).join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     return top(scored.filter("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names, read back: it is made once, and a lost executor loses none of it.
+
+    Without such a folder (as in local tests) one is taken in local mode only; elsewhere df stays as it is.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", "") or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else "")
+    if not root:
+        return df
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def top(hits: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
     """The first k of each query, with their rank."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
@@ -128,6 +161,7 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int, noise: Column | None
 
 def fuse(lists: dict[str, tuple[DataFrame, float]], books: DataFrame, k: int, both: float = 1.1) -> DataFrame:
     """Reciprocal ranks, raised for books that several lists have among their first ten. books: doc_id, book."""
+    lists = {name: (kept(hits, "hits"), weight) for name, (hits, weight) in lists.items()}
     ranked = None
     for name, (hits, _) in lists.items():
         own = hits.filter("rank <= 10").select("query_id", "doc_id", F.lit(name).alias("origin"))
