@@ -2,7 +2,8 @@
 
 Each document gets a hash-random key. Within each source documents are ordered by key in ranges of the key; the words of
 each range are summed, prefix sums over the ranges find the one where the source's budget ends, and only that range is
-sorted to find the very document. A source whose budget is above its size begins again with its first document (another
+sorted to find the very document. There are about as many ranges as rows in one, so that each window sees some square root
+of a source's rows. A source whose budget is above its size begins again with its first document (another
 epoch). What comes of it is a few numbers a source, so that neither texts nor a hot source meet in one task.
 
 Defined results: a null text has size 0; a null source is a source and comes last; sizes of 0 are taken 0 times; rows
@@ -11,6 +12,8 @@ of one doc_id (or with none) share a key, and share evenly what is left for them
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
-#: Rows that a range of keys holds, about.
-RANGE_ROWS = 20_000
 
 
 def word_count(text: str) -> Column:
@@ -54,9 +55,8 @@ def cuts(sized: DataFrame, **how: object) -> DataFrame:
 
     sized: staged rows of source, size, key.
     """
-    digits = 1
-    while digits < 7 and sized.count() > RANGE_ROWS * 16**digits / 4:
-        digits += 1
+    # about as many ranges as rows in one: both windows below see some root of the rows of a source
+    digits = max(1, min(7, round(log(max(1, sized.count()), 16) / 2)))
     sized = sized.withColumn("range", F.substring("key", 1, digits))
     ranges = staged(sized.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     sources = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), **how)
