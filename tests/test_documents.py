@@ -1,4 +1,5 @@
 import json
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,6 +19,43 @@ def test_packing_by_hand():
     assert chunks.packed(["", "  "]) == [] and chunks.packed(["a b"]) == ["a b"]
 
 
+def brute_packed(blocks, size, overlap):
+    """By definition, with lists and sums made anew at each block."""
+    out, held, fresh = [], [], False
+    for b in blocks:
+        words = b.split()
+        for i in range(0, len(words), size):
+            unit = words[i : i + size] if len(words) > size else b.split()
+            if held and sum(map(len, held)) + len(unit) > size:
+                if fresh:
+                    out.append([w for u in held for w in u])
+                tail = []
+                while held and sum(map(len, tail)) < overlap:
+                    tail.insert(0, held.pop())
+                held = tail if overlap and sum(map(len, tail)) + len(unit) <= size else []
+            held.append(unit)
+            fresh = True
+    return out + [[w for u in held for w in u]] if held else out
+
+
+def test_packing_against_brute_force(spark):
+    r = random.Random(4)
+    for _ in range(200):
+        blocks = [WORDS(r.randint(0, 30)) for _ in range(r.randint(0, 12))]
+        size, overlap = r.randint(1, 25), r.randint(0, 9)
+        assert [len(c.split()) for c in chunks.packed(blocks, size, overlap)] == [len(c) for c in brute_packed(blocks, size, overlap)]
+    text = "one two\n\n[CODE]\na\n\nb\n[/CODE]\nthree"
+    got = chunks.chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), size=5, overlap=0).orderBy("ordinal").collect()
+    assert [x.text for x in got] == ["one two", "[CODE]\na\n\nb\n[/CODE]\nthree"]
+
+
+def test_pieces_of_a_text():
+    assert chunks.pieces_of("short", 10) == ["short"] and chunks.pieces_of("", 3) == [""]
+    assert chunks.pieces_of("aaaa bbbb\ncccc dddd", 12) == ["aaaa bbbb", "cccc dddd"]
+    assert chunks.pieces_of("aaaabbbbcccc", 5) == ["aaaab", "bbbcc", "cc"]
+    assert chunks.pieces_of("aaaa bbbb cccc", 9) == ["aaaa bbbb", "cccc"]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("A > b > 1.2.3. Logging", " a\t b\n"), ("1.2", "x")], "p string, s string")
     got = df.select(t.strip_section_prefix(F.col("p")), t.collapse_spaces(F.col("s"))).collect()
