@@ -48,8 +48,8 @@ def name_based_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    new = docs.filter("doc_id % 13 <> 2").withColumn("n_chars", F.when(F.col("doc_id") % 4 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    diff = upserts.snapshot_diff(docs.filter("doc_id % 17 <> 1"), new, ["doc_id"], ["lang", "source", "n_chars"])
+    new = docs.join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.when(F.col("toxic") == 1, "xx").otherwise(F.col("lang")).alias("lang"), "source", (F.col("n_chars") + F.coalesce("quality", F.lit(0))).alias("n_chars"))
+    diff = upserts.snapshot_diff(docs, new, ["doc_id"], ["lang", "source", "n_chars"])
     return diff.select("doc_id", "change", F.concat_ws(",", "fields").alias("fields"))
 
 
@@ -73,7 +73,7 @@ ORACLES = {
     "token_stats": r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_tokens, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_collapsed FROM documents",
     "section_prefix_strip": "SELECT p_partkey, p_name AS section, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part",
     "quantities": "SELECT p_partkey, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1e-3 WHEN 2 THEN 1e-6 ELSE 1000 END, 9) AS millicores, round(p_size * CASE p_partkey % 5 WHEN 0 THEN 1 / 1024e0 WHEN 1 THEN 1 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 ELSE 1 / 1048576e0 END, 9) AS mib FROM part",
-    "snapshot_fields": "WITH a AS (SELECT * FROM documents WHERE doc_id % 17 <> 1), b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 13 <> 2) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN a.n_chars <> b.n_chars THEN 'n_chars' ELSE '' END AS fields FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.n_chars IS DISTINCT FROM b.n_chars",
+    "snapshot_fields": "WITH b AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'xx' ELSE lang END AS lang, n_chars + coalesce(quality, 0) AS n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT d.doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN b.doc_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN d.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN d.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END) END AS fields FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id WHERE b.doc_id IS NULL OR d.lang IS DISTINCT FROM b.lang OR d.n_chars IS DISTINCT FROM b.n_chars",
     "missing_values": "SELECT count(*) AS n_rows, count(*) FILTER (coalesce(trim(text), '') = '' OR coalesce(trim(lang), '') = '' OR coalesce(trim(source), '') = '') AS rows_missing_any, count(*) FILTER (coalesce(trim(text), '') = '') AS missing_text, count(*) FILTER (coalesce(trim(lang), '') = '') AS missing_lang, count(*) FILTER (coalesce(trim(source), '') = '') AS missing_source FROM documents",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }

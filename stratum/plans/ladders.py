@@ -33,7 +33,7 @@ PLANS: dict[str, str] = {
         SELECT source, n, n_full, CASE WHEN n_langs >= 4 AND n_full * 4 >= n * 3 THEN 'promoted' WHEN n_full * 2 >= n THEN 'ready' WHEN n_full > 0 THEN 'partial' ELSE 'empty' END AS readiness FROM b""",
     # Before, after and difference of two runs
     "run_delta": """
-        WITH a AS (SELECT source, count(*) AS n FROM {documents} WHERE doc_id % 4 < 3 GROUP BY source), b AS (SELECT source, count(*) AS n FROM {documents} WHERE doc_id % 5 > 0 AND source <> 'src7' GROUP BY source)
+        WITH a AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source), b AS (SELECT source, count(*) AS n FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source)
         SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS before_n, coalesce(b.n, 0) AS after_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.source = b.source""",
     # Counts that two reports should share
     "drift_counts": """
@@ -73,7 +73,7 @@ PLANS: dict[str, str] = {
         SELECT a.lang, count(*) AS n, $join(source) AS shared FROM a JOIN b USING (lang, source) GROUP BY a.lang""",
     # U8: upsert by a key of several columns
     "identity_upsert": """
-        WITH old AS (SELECT source, lang, count(*) AS n FROM {documents} WHERE doc_id % 2 = 0 GROUP BY source, lang), new AS (SELECT source, lang, count(*) * 100 AS n FROM {documents} WHERE doc_id % 23 = 0 GROUP BY source, lang)
+        WITH old AS (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang), new AS (SELECT source, lang, count(*) * 100 AS n FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source, lang)
         SELECT source, lang, n FROM old LEFT ANTI JOIN new USING (source, lang) UNION ALL SELECT source, lang, n FROM new""",
     # Rows of some classes are kept, the others built anew
     "retain_by_class": """
@@ -146,16 +146,17 @@ PLANS: dict[str, str] = {
         SELECT source, lang = 'en' AS official, min(doc_id) AS doc_id FROM {documents} GROUP BY source, lang = 'en'""",
     # Additive link score, direct ones first
     "related_sections": """
-        WITH p AS (SELECT a.doc_id AS src, b.doc_id AS dst, CASE WHEN a.source = b.source THEN 300 ELSE 0 END + CASE WHEN a.lang = b.lang THEN 120 ELSE 0 END + 15 * (least(a.n_chars, b.n_chars) % 5) AS score FROM {documents} a JOIN {documents} b ON a.doc_id % 50 = b.doc_id % 50 AND a.doc_id <> b.doc_id WHERE a.doc_id < 50)
+        WITH n AS (SELECT doc_id, lead(doc_id, 1) OVER w AS d1, lead(doc_id, 2) OVER w AS d2, lead(doc_id, 3) OVER w AS d3, lead(doc_id, 4) OVER w AS d4, lang, lead(lang, 1) OVER w AS l1, lead(lang, 2) OVER w AS l2, lead(lang, 3) OVER w AS l3, lead(lang, 4) OVER w AS l4, n_chars FROM {documents} WINDOW w AS (PARTITION BY source, n_chars % 97 ORDER BY n_chars, doc_id)),
+        p AS (SELECT doc_id AS src, dst, 300 + CASE WHEN lang = other THEN 120 ELSE 0 END + 15 * (n_chars % 5) - k AS score FROM (SELECT doc_id, d1 AS dst, lang, l1 AS other, n_chars, 1 AS k FROM n UNION ALL SELECT doc_id, d2, lang, l2, n_chars, 2 FROM n UNION ALL SELECT doc_id, d3, lang, l3, n_chars, 3 FROM n UNION ALL SELECT doc_id, d4, lang, l4, n_chars, 4 FROM n) AS c WHERE dst IS NOT NULL)
         SELECT src, dst, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM p) AS x WHERE rank <= 3""",
     # G1: rows of one table win, the other fills what is absent
     "book_index": """
         WITH p AS (SELECT source AS slug, min(lang) AS title FROM {documents} WHERE doc_id % 29 = 0 GROUP BY source), c AS (SELECT source AS slug, max(lang) AS title, count(*) AS n FROM {documents} GROUP BY source)
-        SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS from_playbook FROM c LEFT JOIN p ON c.slug = p.slug""",
+        SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS listed FROM c LEFT JOIN p ON c.slug = p.slug""",
     # the same over all rows: labelled books are the one table, all books the other
     "book_index_all": """
         WITH p AS (SELECT source AS slug, min(lang) AS title FROM {labels} JOIN {documents} USING (doc_id) GROUP BY source), c AS (SELECT source AS slug, max(lang) AS title, count(*) AS n FROM {documents} GROUP BY source)
-        SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS from_playbook FROM c LEFT JOIN p ON c.slug = p.slug""",
+        SELECT c.slug, coalesce(p.title, c.title) AS title, c.n, p.slug IS NOT NULL AS listed FROM c LEFT JOIN p ON c.slug = p.slug""",
     # One row for each kind of an edge
     "edge_unpivot": """
         SELECT least(a.source, b.source) AS x, greatest(a.source, b.source) AS y, a.lang AS kind, count(*) AS weight FROM {documents} a JOIN {documents} b ON a.doc_id = b.doc_id + 1 WHERE a.source <> b.source GROUP BY 1, 2, 3""",
@@ -180,7 +181,7 @@ PLANS: dict[str, str] = {
         SELECT event_type, max_by(user_id, event_id) AS last_user, count(*) AS n FROM {events} GROUP BY event_type""",
     # JN15, DQ6: how often a key stands on each side
     "runtime_truth": """
-        WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey), b AS (SELECT c_custkey AS k, count(*) AS n FROM {customer} WHERE c_custkey % 7 <> 0 GROUP BY c_custkey)
+        WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey), b AS (SELECT c_custkey AS k, count(*) AS n FROM {customer} GROUP BY c_custkey)
         SELECT CASE WHEN b.n IS NULL THEN 'orphan' WHEN a.n IS NULL THEN 'unused' WHEN a.n > 20 THEN 'heavy' ELSE 'ok' END AS state, count(*) AS n FROM a FULL OUTER JOIN b ON a.k = b.k GROUP BY 1""",
     # DQ8: fail-closed reasons, in order
     "read_boundary": """
@@ -200,5 +201,6 @@ PLANS: dict[str, str] = {
         SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'system') AS n_system FROM {conversations} GROUP BY conv_id""",
 }
 
+PLANS |= {name.removesuffix("_all"): text for name, text in PLANS.items() if name.endswith("_all")}
 QUERIES = {name: query_of(text) for name, text in PLANS.items()}
 ORACLES = {name: check_of(text) for name, text in PLANS.items()}

@@ -74,8 +74,8 @@ PLANS: dict[str, str] = {
         SELECT source, lang, n, n_short, lane, CASE lane WHEN 'rewrite' THEN 1 WHEN 'translation' THEN 2 ELSE 9 END AS priority, row_number() OVER (PARTITION BY lane ORDER BY n DESC, source, lang) AS position FROM lanes""",
     # JN7, U4: added, removed and changed rows between two snapshots
     "manifest_diff": """
-        WITH a AS (SELECT doc_id, lang, n_chars FROM {documents} WHERE doc_id % 10 <> 1),
-        b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 8 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM {documents} WHERE doc_id % 10 <> 2)
+        WITH a AS (SELECT doc_id, lang, n_chars FROM {documents}),
+        b AS (SELECT vec_id AS doc_id, CASE WHEN label % 2 = 0 THEN 'en' ELSE 'de' END AS lang, vec_id * 7 AS n_chars FROM {embeddings})
         SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.lang IS DISTINCT FROM b.lang AS lang_differs, a.n_chars IS DISTINCT FROM b.n_chars AS size_differs
         FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id WHERE a.lang IS DISTINCT FROM b.lang OR a.n_chars IS DISTINCT FROM b.n_chars""",
     # JN8, U5: ids of one table that another lacks, both ways
@@ -180,7 +180,7 @@ PLANS: dict[str, str] = {
         SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_role FROM {conversations}""",
     # The last topic that was set holds on
     "context_carry": """
-        WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 12) END AS topic FROM {conversations})
+        WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS topic FROM {conversations})
         SELECT conv_id, turn, $last(topic) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM t""",
     # One row a session
     "session_summaries": """
@@ -201,7 +201,7 @@ PLANS: dict[str, str] = {
         SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM {orders} o LEFT ANTI JOIN new n ON o.o_orderkey = n.o_orderkey UNION ALL SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) FROM new""",
     # A group is replaced as a whole
     "group_replace": """
-        SELECT doc_id, source, n_chars FROM {documents} WHERE source <> 'src1' UNION ALL SELECT doc_id, 'src1', n_chars * 10 FROM {documents} WHERE doc_id % 100 = 0""",
+        SELECT doc_id, source, n_chars FROM {documents} WHERE source <> 'src1' UNION ALL SELECT doc_id, 'src1', CAST(quality + 2 * toxic AS BIGINT) FROM {labels}""",
     # Merged registry: largest count, any flag, first title that isn't blank
     "registry_upsert": """
         WITH r AS (SELECT source AS slug, n_chars AS n, doc_id % 7 = 0 AS active, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title, doc_id FROM {documents})
@@ -217,7 +217,7 @@ PLANS: dict[str, str] = {
         SELECT doc_id, h.source, round(CAST(score AS DOUBLE) * CAST(coalesce(factor, 1) AS DOUBLE) * CAST(coalesce(boost, 1) AS DOUBLE), 8) AS score FROM hits h LEFT JOIN rules r ON h.lang = r.lang LEFT JOIN b ON h.source = b.source""",
     # what may be shown
     "latest_only_filter": """
-        SELECT doc_id, source FROM {documents} WHERE NOT $matches(trim(text), '^[A-Z]{{40,}}') AND (doc_id % 3 = 0 OR source NOT IN (SELECT CONCAT('src', CAST(s_suppkey AS $str)) FROM {supplier} WHERE s_suppkey < 5) OR lang = 'en')""",
+        SELECT doc_id, source FROM {documents} WHERE NOT $matches(trim(text), '^[A-Z]{{40,}}') AND (n_chars > 500 OR source NOT IN (SELECT CONCAT('src', CAST(s_nationkey AS $str)) FROM {supplier}) OR lang = 'en')""",
     # whether the first hit is confident and whether books compete
     "confidence_flags": """
         WITH h AS (SELECT lang AS q, source, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM {documents})
@@ -288,5 +288,7 @@ def check_of(text: str) -> str:
     return text.format(**{t: t for t in _tables(text)})
 
 
+# the names of queries that began on parts of their tables stand for all rows too
+PLANS |= {name.removesuffix("_all"): text for name, text in PLANS.items() if name.endswith("_all")}
 QUERIES = {name: query_of(text) for name, text in PLANS.items()}
 ORACLES = {name: check_of(text) for name, text in PLANS.items()}

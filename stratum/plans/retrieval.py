@@ -17,17 +17,12 @@ def _literal_query(spark: SparkSession, terms: list[str] = TERMS) -> DataFrame:
     return spark.createDataFrame([(1, terms)], "query_id long, terms array<string>")
 
 
-def _item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 6).alias("terms"))
-
-
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25(read(spark, sf_dir, "documents"), _literal_query(spark), 50).select("doc_id", "score", "rank")
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25(read(spark, sf_dir, "documents"), _item_queries(spark, sf_dir), 10)
+    return bm25_batch_all(spark, sf_dir)
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +38,7 @@ def _vector_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.cosine_top(read(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir, 10), 20)
+    return _stated_vectors(spark, sf_dir, 20)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, float]]:
@@ -151,10 +146,8 @@ _ALL = (bm25_batch_all, cosine_topk_all, rrf_merge_all, hybrid_fusion_weighted_a
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, bm25_term_stats, bm25_doc_len, cosine_topk, rrf_merge, hybrid_fusion_weighted, diversify_cap_per_source, *_ALL)}
 ORACLES = {
     "bm25_topk": f"WITH {_LISTS.replace('QUERIES', _LITERAL)} SELECT doc_id, score, rank FROM words WHERE rank <= 50",
-    "bm25_batch": f"WITH {_LISTS.replace('QUERIES', 'SELECT DISTINCT item_id, unnest(terms) FROM (SELECT item_id, list_slice(list_reverse(list_reduce(list_prepend([]::VARCHAR[], list_transform(ts, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_prepend(b[1], a) END)), 1, 6) AS terms FROM (SELECT item_id, ' + TOKENS_SQL.format('text') + ' AS ts FROM benchmark))')} SELECT query_id, doc_id, score, rank FROM words WHERE rank <= 10",
     "bm25_term_stats": f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "bm25_doc_len": f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, len(list_distinct(ts))::BIGINT AS n_terms FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS ts FROM documents)",
-    "cosine_topk": f"WITH {_VECTORS} SELECT query_id, doc_id, score, rank FROM vectors WHERE rank <= 20",
     "rrf_merge": f"WITH {_BOTH}, merged AS (SELECT doc_id, round(sum(part), 8) AS score, count(DISTINCT origin) AS n_sources FROM each WHERE NOT doc_id % 7 = 3 GROUP BY doc_id) SELECT doc_id, score, n_sources, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= 30",
     "hybrid_fusion_weighted": f"WITH {_FUSED} SELECT doc_id, book, score, row_number() OVER (ORDER BY score DESC, book, doc_id) AS rank FROM fused QUALIFY rank <= 25",
     "diversify_cap_per_source": f"WITH {_FUSED}, capped AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY book ORDER BY score DESC, doc_id) <= 2) SELECT doc_id, book, score, row_number() OVER (ORDER BY score DESC, book, doc_id) AS rank FROM capped QUALIFY rank <= 20",
@@ -162,3 +155,4 @@ ORACLES = {
     "cosine_topk_all": f"WITH {_VECTORS_ALL} SELECT query_id, doc_id, score, rank FROM vectors WHERE rank <= 20",
     "rrf_merge_all": f"WITH {_BOTH_ALL}, merged AS (SELECT query_id, doc_id, round(sum(part), 8) AS score, count(DISTINCT origin) AS n_sources FROM each WHERE NOT doc_id % 7 = 3 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= 30",
 }
+ORACLES |= {name: ORACLES[name + "_all"] for name in ("bm25_batch", "cosine_topk")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,22 @@ def overwrite_groups(df: DataFrame, path: str, group: str) -> None:
 def envelope(entries: DataFrame, *distinct: str) -> DataFrame:
     """One row: the count and the distinct values of some columns of a manifest."""
     return entries.agg(F.count("*").alias("count"), *[F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in distinct])
+
+
+def write_targets(df: DataFrame, *paths: str) -> None:
+    """The same rows as JSON lines in several places: computed once, then copied from the first."""
+    first, *others = paths
+    df.write.mode("overwrite").json(first)
+    for path in others:
+        df.sparkSession.read.text(first).write.mode("overwrite").text(path)
+
+
+def replace_all(df: DataFrame, path: str, group: str) -> None:
+    """Each group of df as a folder; folders of groups that df hasn't go."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(group).parquet(path)
+
+
+def delete_groups(spark: SparkSession, path: str, group: str, gone: DataFrame, to: str) -> None:
+    """What is left of the table at path without the groups of gone, as a table at another place."""
+    rows = spark.read.parquet(path)
+    rows.join(gone.select(group).distinct(), group, "left_anti").write.mode("overwrite").partitionBy(group).parquet(to)

@@ -32,3 +32,25 @@ def json_documents(spark: SparkSession, folder: str, schema: StructType) -> Data
 def exploded_entries(manifest: DataFrame, column: str = "entries") -> DataFrame:
     """The rows inside an envelope's array of structs."""
     return manifest.select(F.inline(column))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 of each file below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def text_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """path, text of each text file of a folder, whole."""
+    return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def last_rows(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The last n rows in an order: the end of a log."""
+    return rows.orderBy(*[F.desc(c) for c in by]).limit(n)
+
+
+def first_usable(candidates: DataFrame, key: str, priority: str, usable: str) -> DataFrame:
+    """Of each key's candidate sources the one of least priority that is usable, as its row; keys without one are left out."""
+    best = candidates.filter(F.col(usable)).groupBy(key).agg(F.min(F.struct(F.col(priority), F.struct("*"))).alias("best"))
+    return best.select("best.col2.*")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import uuid
@@ -89,3 +90,28 @@ def test_tolerant_json_and_grouped_overwrite(spark, tmp_path):
     sinks.overwrite_groups(spark.createDataFrame([("y", 3)], "g string, v int"), out, "g")
     assert sorted((r.g, r.v) for r in spark.read.parquet(out).collect()) == [("x", 1), ("y", 3)]
     assert sinks.envelope(spark.createDataFrame([("x", 1), ("x", 2)], "g string, v int"), "g").first().asDict() == {"count": 2, "gs": ["x"]}
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "g string, v int")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    sinks.write_targets(df, one, two)
+    for path in (one, two):
+        assert sorted((r.g, r.v) for r in spark.read.json(path).collect()) == [("x", 1), ("y", 2)]
+    table = str(tmp_path / "table")
+    sinks.replace_all(df, table, "g")
+    sinks.replace_all(df.filter("g = 'y'"), table, "g")
+    assert [(r.g, r.v) for r in spark.read.parquet(table).collect()] == [("y", 2)]
+    sinks.replace_all(df, table, "g")
+    sinks.delete_groups(spark, table, "g", df.filter("g = 'x'"), str(tmp_path / "left"))
+    assert [(r.g, r.v) for r in spark.read.parquet(str(tmp_path / "left")).collect()] == [("y", 2)]
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# A\ntext\n")
+    (row,) = tables.text_documents(spark, str(docs)).collect()
+    assert row.text == "# A\ntext\n" and row.path.endswith("a.md")
+    (row,) = tables.file_digests(spark, str(docs)).collect()
+    assert row.sha256 == hashlib.sha256(b"# A\ntext\n").hexdigest() and row.bytes == 9
+    log = spark.createDataFrame([(i, i % 2) for i in range(9)], "at int, ok int").withColumn("ok", F.col("ok") == 1)
+    assert sorted(r["at"] for r in tables.last_rows(log, 2, "at").collect()) == [7, 8]
+    assert [r["at"] for r in tables.first_usable(log.withColumn("k", F.lit("k")), "k", "at", "ok").collect()] == [1]

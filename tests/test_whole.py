@@ -32,7 +32,7 @@ def test_all_documents_count(spark, folder):
     assert {r.doc_id for r in rows(spark, folder, "graph_boost_all")} == set(range(300))
     assert {r.source: r.n for r in rows(spark, folder, "citation_truth_all")} == of
     assert {r.source: (r.n_docs, r.n_labels) for r in rows(spark, folder, "corpus_dashboard_full_outer_all")} == {s: (n, n) for s, n in of.items()}
-    assert {r.slug: (r.n, r.from_playbook) for r in rows(spark, folder, "book_index_all")} == {s: (n, True) for s, n in of.items()}
+    assert {r.slug: (r.n, r.listed) for r in rows(spark, folder, "book_index_all")} == {s: (n, True) for s, n in of.items()}
 
 
 def test_siblings_outside_a_filter_are_found(spark, folder):
