@@ -109,12 +109,27 @@ def family_verdict(winners: DataFrame, share: float = 0.6, margin: float = 0.01)
     return best.select("book", "family", "n_won", "mean_score", F.round("share", 6).alias("share"), ((F.col("share") >= share) & (F.col("margin") >= margin)).alias("ready"))
 
 
-def quality_gate(issues: DataFrame, axes: Sequence[str], weights: Mapping[str, int], least: int = 80) -> DataFrame:
-    """issues (book, axis, severity, fails) -> book, a score for each axis (100 less its issues' weights, 0 if one fails the gate), score (the least), verdict."""
-    weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
-    loss = lambda a: F.sum(F.when(F.col("axis") == a, F.coalesce(weight[F.col("severity")], F.lit(0))).otherwise(0))
-    fails = lambda a: F.max(F.when((F.col("axis") == a) & F.col("fails"), 1).otherwise(0)) == 1
-    score = lambda a: F.when(fails(a), 0).otherwise(F.greatest(F.lit(0), 100 - loss(a))).cast("int").alias(a)
+#: What an issue of each severity takes off its axis, and from which total on a verdict is given.
+SEVERITIES = {"low": 1, "medium": 3, "high": 6, "critical": 10}
+VERDICTS = (("gold", 90), ("silver", 78), ("bronze", 60))
+
+
+def quality_gate(issues: DataFrame, axes: Mapping[str, int], severities: Mapping[str, int] = SEVERITIES) -> DataFrame:
+    """issues (book, axis, severity, fails) -> book, a score for each axis, total and verdict.
+
+    An axis has 100 less what its issues take, and 0 if one of them fails the gate; the total weighs the axes (axis -> weight).
+    A book with an issue that fails the gate is blocked, whatever its total.
+    """
+    loss = F.create_map(*[x for k, v in severities.items() for x in (F.lit(k), F.lit(v))])
+
+    def score(axis: str) -> Column:
+        own = F.col("axis") == axis
+        fails = F.max(F.when(own & F.col("fails"), 1).otherwise(0)) == 1
+        return F.when(fails, 0).otherwise(F.greatest(F.lit(0), 100 - F.sum(F.when(own, F.coalesce(loss[F.col("severity")], F.lit(0))).otherwise(0)))).cast("int").alias(axis)
+
     told = issues.groupBy("book").agg(*[score(a) for a in axes], F.max(F.col("fails").cast("int")).alias("failed"))
-    lowest = F.least(*axes) if len(axes) > 1 else F.col(axes[0])
-    return told.withColumn("score", lowest).withColumn("verdict", F.when(F.col("failed") == 1, "blocked").when(F.col("score") >= least, "ready").otherwise("review")).drop("failed")
+    total = reduce(Column.__add__, [F.col(a) * w for a, w in axes.items()]) / sum(axes.values())
+    verdict = F.when(F.col("failed") == 1, "blocked")
+    for name, least in VERDICTS:
+        verdict = verdict.when(F.col("total") >= least, name)
+    return told.withColumn("total", F.round(total, 4)).withColumn("verdict", verdict.otherwise("review")).drop("failed")

@@ -53,7 +53,7 @@ def family_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.family_verdict(winners, share=0.4)
 
 
-AXES, WEIGHTS = ("click", "view", "purchase"), {"low": 1, "medium": 3, "high": 6, "critical": 10}
+AXES = {"click": 25, "view": 20, "purchase": 15}
 
 
 def quality_gate_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def quality_gate_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     severity = F.when(value < 10, "low").when(value < 50, "medium").when(value < 100, "high").otherwise("critical")
     issues = read(spark, sf_dir, "events").select(F.col("user_id").alias("book"), F.col("event_type").alias("axis"), severity.alias("severity"), (F.col("event_id") % 97 == 0).alias("fails"))
-    return reconcile.quality_gate(issues, AXES, WEIGHTS)
+    return reconcile.quality_gate(issues, AXES)
 
 
 def citations_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +97,8 @@ SELECT DISTINCT entity, doc_id FROM e JOIN d ON contains(said, ' ' || lower(enti
 SELECT figure, f.user_id, anchor FROM f ASOF LEFT JOIN s ON f.user_id = s.user_id AND f.ts >= s.ts""",
     "family_verdicts": """WITH w AS (SELECT l_suppkey AS book, l_returnflag AS family, count(*) AS n_won, round(avg(l_quantity), 6) AS mean_score, avg(l_tax) AS margin FROM lineitem GROUP BY ALL), s AS (SELECT *, n_won / sum(n_won) OVER (PARTITION BY book) AS share FROM w)
 SELECT book, family, n_won, mean_score, round(share, 6) AS share, share >= 0.4e0 AND margin >= 0.01e0 AS ready FROM s QUALIFY row_number() OVER (PARTITION BY book ORDER BY n_won DESC, mean_score DESC, family) = 1""",
-    "quality_gate_by_severity": f"""WITH g AS (SELECT user_id AS book, {', '.join(_AXIS.format(a) + ' AS ' + a for a in AXES)}, bool_or(event_id % 97 = 0) AS failed FROM events GROUP BY user_id)
-SELECT book, {', '.join(AXES)}, least({', '.join(AXES)}) AS score, CASE WHEN failed THEN 'blocked' WHEN least({', '.join(AXES)}) >= 80 THEN 'ready' ELSE 'review' END AS verdict FROM g""",
+    "quality_gate_by_severity": f"""SELECT * EXCLUDE (failed) FROM (WITH g AS (SELECT user_id AS book, {', '.join(_AXIS.format(a) + ' AS ' + a for a in AXES)}, bool_or(event_id % 97 = 0) AS failed FROM events GROUP BY user_id)
+SELECT *, CASE WHEN failed THEN 'blocked' WHEN total >= 90 THEN 'gold' WHEN total >= 78 THEN 'silver' WHEN total >= 60 THEN 'bronze' ELSE 'review' END AS verdict FROM (SELECT *, round((25 * click + 20 * view + 15 * purchase) / 60, 4) AS total FROM g))""",
     "citations_of_hits": f"""WITH h AS (SELECT {_PLACE}, max(l_extendedprice) AS score, max({{'s': l_extendedprice, 'd': l_partkey}}) AS best FROM lineitem WHERE l_quantity > 10 GROUP BY ALL), c AS (SELECT {_PLACE}, l_linenumber AS number FROM lineitem)
 SELECT c.query_id, number, c.book, c.identity, best.d AS doc_id, score FROM c LEFT JOIN h ON c.query_id = h.query_id AND c.book = h.book AND c.identity = h.identity""",
     "answers_by_terms": f"""WITH s AS (SELECT doc_id, source, {_SAID} AS said FROM documents), t AS (SELECT *, concat_ws(',', CASE WHEN NOT contains(said, 'the') THEN 'the' END, CASE WHEN NOT contains(said, 'and a') THEN 'And  a' END, CASE WHEN NOT contains(said, 'der') THEN 'der' END) AS missing, concat_ws(',', CASE WHEN contains(said, 'zz') THEN 'zz' END, CASE WHEN contains(said, 'qu') THEN 'qu' END) AS forbidden FROM s)
