@@ -1,4 +1,4 @@
-"""Pages and texts as sections, blocks, playbooks and search rows.
+"""Pages and texts as sections, blocks, manuals and search rows.
 
 A page's content part is marked up by built-in functions: code and tables between marks, headings as marked lines. Marked
 texts are cut at headings, paths are windows over one document's headings, and all further shapes are projections. No step
@@ -165,20 +165,20 @@ def section_rows(rows: DataFrame, parts: DataFrame, id: str) -> DataFrame:
     return told.select(*rows.columns, kinds.alias("block_kinds"), F.array_join(F.transform("own", lambda b: b["flat"]), "\n\n").alias("flat_text"), role.alias("semantic_role"))
 
 
-def playbooks(rows: DataFrame, id: str) -> DataFrame:
+def manuals(rows: DataFrame, id: str) -> DataFrame:
     """id, section_count, anchor_map, sections (nested, in order): one row for each document."""
     own = F.array_sort(F.collect_list(F.struct("ordinal", "level", "heading", "anchor", "section_path", "semantic_role", "block_kinds", "flat_text")))
     nested = rows.groupBy(id).agg(own.alias("sections"))
     return nested.select(id, F.size("sections").alias("section_count"), F.map_from_entries(F.transform("sections", lambda s: F.struct(s["anchor"], s["heading"]))).alias("anchor_map"), "sections")
 
 
-def playbook_sections(books: DataFrame, id: str) -> DataFrame:
-    """The inverse of playbooks()."""
+def manual_sections(books: DataFrame, id: str) -> DataFrame:
+    """The inverse of manuals()."""
     return books.select(id, F.inline("sections"))
 
 
 def derived_sections(books: DataFrame, id: str, slug: Column, base: str) -> DataFrame:
-    """Playbooks under another slug: each section's viewer path leads to the derived book."""
+    """Manuals under another slug: each section's viewer path leads to the derived book."""
     to = lambda s: s.withField("viewer_path", F.concat(F.lit(base.rstrip("/") + "/"), slug, F.lit("#"), s["anchor"]))
     return books.select(id, slug.alias("slug"), F.transform("sections", to).alias("sections"))
 

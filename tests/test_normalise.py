@@ -136,10 +136,10 @@ def test_sections_of_a_page_and_what_follows(spark):
     assert parts.filter("kind = 'table'").first().cells == [["k", "v"], ["1", "2"]]
     flat = s.section_rows(rows, parts, "page_id")
     assert [(r.semantic_role, r.block_kinds) for r in flat.orderBy("ordinal").collect()] == [("unknown", ["paragraph"]), ("procedure", ["paragraph", "code"]), ("procedure", ["table"]), ("procedure", ["paragraph"])]
-    books = s.playbooks(flat, "page_id")
+    books = s.manuals(flat, "page_id")
     (book,) = books.collect()
     assert book.section_count == 4 and book.anchor_map["install-2"] == "Install"
-    assert {(r.anchor, r.flat_text) for r in s.playbook_sections(books, "page_id").collect()} == {(r.anchor, r.flat_text) for r in flat.collect()}
+    assert {(r.anchor, r.flat_text) for r in s.manual_sections(books, "page_id").collect()} == {(r.anchor, r.flat_text) for r in flat.collect()}
     assert s.derived_sections(books, "page_id", F.lit("d"), "/v/").first().sections[0].viewer_path == "/v/d#overview"
     assert [r.chunk_type for r in s.search_rows(flat, "page_id").orderBy("chunk_id").collect()] == ["reference", "command", "procedure", "procedure"]
 
