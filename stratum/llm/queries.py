@@ -1,4 +1,4 @@
-"""The queries of this subpackage, one for each of its ten operators, and their SQL."""
+"""The queries of this subpackage, one for each of its thirteen operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hamming, html_extract, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, shared, toxicity
+from . import chat_format, hamming, hard_negatives, html_extract, importance, mixing, near_dedup, ngram_join, pieces, quality_classifier, quality_rules, repeats, shared, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -61,6 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_pieces": op2_pieces,
@@ -72,5 +84,8 @@ QUERIES: dict[str, Query] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_html_extract": op9_html_extract,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_importance": op12_importance,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL, "op8_hamming_top_k": hamming.SQL}
+ORACLES: dict[str, str] = {"op4_source_mix": mixing.SQL, "op7_quality_rules": quality_rules.SQL, "op8_hamming_top_k": hamming.SQL, "op12_importance": importance.SQL, "op13_hard_negatives": hard_negatives.SQL}
