@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, ladders, normalised, reconciled, reports, retrieval
+from . import documents, ladders, normalised, reconciled, reports, retrieval, searches
 
-QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES, **searches.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES, **searches.ORACLES}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import tokens
 from stratum.operators import retrieval as r
+from stratum.operators import search
 from stratum.sources.tables import read
 
 TERMS = ["the", "ention", "der"]
@@ -89,7 +90,8 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists_all(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, float]]:
     """The n-th stated vector asks with the words of item n; a query without words, or without a vector, has one list."""
-    words = r.bm25(read(spark, sf_dir, "documents"), _all_item_queries(spark, sf_dir, QUERY_EVERY), 40)
+    items = _all_item_queries(spark, sf_dir, QUERY_EVERY).withColumn("sub", F.lit(0).cast("long"))
+    words = search.search(search.index(read(spark, sf_dir, "documents")), items, 40).drop("sub")
     return {"bm25": (words, 1.0), "vector": (_stated_vectors(spark, sf_dir, 40), 1.15)}
 
 
