@@ -294,7 +294,7 @@ def _across(starred: DataFrame, docs: DataFrame, sizes: DataFrame, component: Da
     meets = inside.filter("id_in <> hub_in")
     if meets.isEmpty():
         return None
-    mixed_keys = meets.select(F.col("key").alias("mixed")).distinct()
+    mixed_keys = small_side(staged(meets.select(F.col("key").alias("mixed")).distinct(), "ngram-keys"), 8)
     rows = staged(inside.join(mixed_keys, F.col("key") == F.col("mixed"), "left_semi"), "ngram-mixed")
     families = components(meets.select(F.col("id_in").alias("a"), F.col("hub_in").alias("b")).distinct())
     members = rows.select("id", F.col("id_in").alias("component")).unionByName(rows.select(F.col("hub").alias("id"), F.col("hub_in").alias("component"))).distinct()
