@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import cosine, tokens
@@ -75,16 +75,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored.filter("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine in local mode only; elsewhere none ('')."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else "")
+    return root.rstrip("/")
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names, read back: it is made once, and a lost executor loses none of it.
 
     Without such a folder (as in local tests) one is taken in local mode only; elsewhere df stays as it is.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else "")
+    root = shared_folder(spark)
     if not root:
         return df
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -97,7 +97,7 @@ def units(books: DataFrame, id: str) -> DataFrame:
 
 def translated(books: DataFrame, translations: DataFrame, id: str, polish: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """books with the texts of translations (id, unit_id, text) in their places; polish is laid on every text. Columns beside id, title, sections stay."""
-    given = translations.groupBy(F.col(id).alias("of"), "unit_id").agg(F.max("text").alias("text")).filter(r"text RLIKE '\\S'")
+    given = translations.groupBy(F.col(id).alias("of"), "unit_id").agg(F.max("text").alias("text")).filter(r"unit_id IS NOT NULL AND text RLIKE '\\S'")
     given = given.withColumn("at", F.coalesce(F.regexp_extract("unit_id", r"^s(\d+)\.", 1).try_cast("int"), F.lit(-1)))
     # one section's translations
     maps = given.groupBy("of", "at").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", F.regexp_replace("text", r"^\s+|\s+$", "")))).alias("known"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, ladders, nested, normalised, reconciled, reports, retrieval, searches, walks
+from . import documents, ladders, lines, nested, normalised, reconciled, reports, retrieval, searches, walks
 
-QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES, **searches.QUERIES, **walks.QUERIES, **nested.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES, **searches.ORACLES, **walks.ORACLES, **nested.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES, **searches.QUERIES, **walks.QUERIES, **nested.QUERIES, **lines.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES, **searches.ORACLES, **walks.ORACLES, **nested.ORACLES, **lines.ORACLES}
