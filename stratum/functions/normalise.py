@@ -65,7 +65,7 @@ def clean_code(code: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), step)
 
     ended = F.transform(lines, lambda x: F.regexp_replace(widened(x), r"\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(F.array_join(ended, "\n"), r"^(?:[ ]*\n)+", ""), r"\n+$", "")
+    return F.regexp_replace(F.regexp_replace(F.array_join(ended, "\n"), r"^(?:[ ]*\n)++", ""), r"\n+$", "")
 
 
 def sentences(text: Column) -> Column:
@@ -118,7 +118,7 @@ def prose_around_fences(text: Column) -> Column:
 
 def trim_leading(text: Column, patterns: Sequence[str]) -> Column:
     """Without what the patterns match at the beginning, as often as they do."""
-    return F.trim(F.regexp_replace(F.trim(text_of(text)), r"\A(?:(?:" + "|".join(patterns) + r")\s*)+", ""))
+    return F.trim(F.regexp_replace(F.trim(text_of(text)), r"\A(?:(?:" + "|".join(patterns) + r")\s*)++", ""))
 
 
 def code_marker(code: Column, language: Column | None = None, caption: Column | None = None) -> Column:
@@ -131,7 +131,7 @@ def code_marker(code: Column, language: Column | None = None, caption: Column |
 
 def marker_attributes(mark: Column) -> Column:
     """key="value" pairs of a mark as a map; the last of equal keys counts."""
-    pairs = F.regexp_extract_all(text_of(mark), F.lit(r'([a-z_]+="(?:[^"\\]|\\.)*")'), F.lit(1))
+    pairs = F.regexp_extract_all(text_of(mark), F.lit(r'([a-z_]+="(?:[^"\\]++|\\.)*+")'), F.lit(1))
     entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.trim(F.regexp_extract(p, r'(?s)^[a-z_]+="(.*)"$', 1)).alias("v")))
     last = F.filter(entries, lambda e: e == F.element_at(F.filter(entries, lambda o: o["k"] == e["k"]), -1))
     return F.map_from_entries(F.array_distinct(last))
@@ -230,7 +230,7 @@ def excerpt(text: Column, length: int = LONG_EXCERPT) -> Column:
 
 
 def section_core(section: Column) -> Column:
-    return F.regexp_replace(F.lower(spaced(section)), r"^\d+(?:\.\d+)*\.?\s*", "")
+    return F.regexp_replace(F.lower(spaced(section)), r"^\d+(?:\.\d+)*+\.?\s*", "")
 
 
 def anchor_root(anchor: Column) -> Column:
@@ -251,7 +251,7 @@ def renumbered(answer: Column, identities: Column) -> Column:
     # numbers are marked while they are set, so that none is set twice
     marked = F.aggregate(used, text_of(answer), lambda a, n: F.replace(a, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.concat(F.lit("[\u0001"), number(n).cast("string"), F.lit("]"))))
     known = F.translate(F.regexp_replace(marked, r"\[\d{1,9}\]", ""), "\u0001", "")
-    single = F.regexp_replace(known, r"(\[\d+\])(?:\s*\1)+", "$1")
+    single = F.regexp_replace(known, r"(\[\d+\])(?:\s*\1)++", "$1")
     return F.when(F.size(used) == 0, F.struct(text_of(answer).alias("text"), F.array().cast("array<int>").alias("kept"))).otherwise(F.struct(F.trim(F.regexp_replace(single, r"[ \t]+", " ")).alias("text"), kept.alias("kept")))
 
 
@@ -260,7 +260,7 @@ def renumbered(answer: Column, identities: Column) -> Column:
 
 def clean_command(text: Column) -> Column:
     """Without the prompt before it."""
-    return F.trim(F.regexp_replace(F.trim(text_of(text)), r"^(?:[$#]\s*)+", ""))
+    return F.trim(F.regexp_replace(F.trim(text_of(text)), r"^(?:[$#]\s*)++", ""))
 
 
 def signal(value: Column) -> Column:

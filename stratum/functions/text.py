@@ -26,7 +26,7 @@ def token_count(text: Column) -> Column:
 def strip_section_prefix(path: Column) -> Column:
     """The last part of 'a > b > 1.2. c' without its number; the part itself if nothing is left."""
     last = F.trim(F.element_at(F.split(path, ">"), -1))
-    bare = F.trim(F.regexp_replace(last, r"^[0-9]+([.][0-9]+)*[.]?", ""))
+    bare = F.trim(F.regexp_replace(last, r"^[0-9]+([.][0-9]+)*+[.]?", ""))
     return F.when(bare == "", last).otherwise(bare)
 
 

@@ -76,7 +76,7 @@ def marked_markdown(text: Column) -> Column:
     """A Markdown text in the same form: fences become [CODE] parts, tables [TABLE] parts, # lines headings outside of fences."""
     x = F.translate(F.regexp_replace(n.text_of(text), r"\r\n?", "\n"), _HEAD + _TITLE + _BODY, "")
     x = F.regexp_replace(x, r"(?sm)^[ ]{0,3}(```|~~~)([^\n]*)\n(.*?)^[ ]{0,3}\1[`~]*[ ]*$", "\n\n[CODE]\n$3[/CODE]\n\n")
-    x = F.regexp_replace(x, r"(?m)((?:^\|.*\|[ ]*$\n?)+)", "\n\n[TABLE]\n$1\n[/TABLE]\n\n")
+    x = F.regexp_replace(x, r"(?m)((?:^\|.*\|[ ]*$\n?)++)", "\n\n[TABLE]\n$1\n[/TABLE]\n\n")
     parts = F.transform(n.fence_parts(x), lambda p: F.when(n.is_fenced(p), F.concat(F.lit("\n\n"), _rows(p), F.lit("\n\n"))).otherwise(F.regexp_replace(p, r"(?m)^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", f"\n\n{_HEAD}$1{_TITLE}$2{_BODY}\n\n")))
     return F.array_join(parts, "")
 

@@ -117,7 +117,7 @@ PLANS: dict[str, str] = {
         SELECT c_custkey, c_acctbal > 0 AND n_name IS NOT NULL AND c_mktsegment <> 'MACHINERY' AS eligible, CASE WHEN n_name IS NULL THEN 'no_scope' WHEN c_mktsegment = 'MACHINERY' THEN 'blocked_class' WHEN c_acctbal <= 0 THEN 'not_approved' ELSE '' END AS reason FROM e""",
     # titles that look wrong
     "title_checks": """
-        SELECT page_id, length(html) - length(replace(html, '?', '')) >= 2 AS many_marks, $matches(substr(html, 1, 200), '[A-Za-z]') AND NOT $matches(html, '[가-힣]') AS latin_only FROM {pages}""",
+        SELECT page_id, length(regexp_extract(html, '<title>([^<]*)', 1)) - length(replace(regexp_extract(html, '<title>([^<]*)', 1), '?', '')) >= 2 AS many_marks, $matches(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]') AND NOT $matches(regexp_extract(html, '<title>([^<]*)', 1), '[가-힣]') AS latin_only FROM {pages}""",
     # Kinds of lines
     "line_kinds": """
         WITH l AS (SELECT doc_id, $lines(text) AS line FROM {documents}),

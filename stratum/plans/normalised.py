@@ -125,7 +125,7 @@ def citation_renumbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", n.rewritten(F.col("text"), ("conversation", F.col("conv_id").cast("string"))).alias("query"), F.size(n.sub_queries(F.col("text"))).alias("n_queries"), F.md5(n.excerpt(F.col("text"), n.SHORT_EXCERPT).cast("binary")).alias("excerpt_md5"), n.section_core(F.substring("text", 1, 1000)).alias("core"))
+    return turns.select("conv_id", "turn", n.rewritten(F.col("text"), ("conversation", F.col("conv_id").cast("string"))).alias("query"), F.size(n.sub_queries(F.col("text"))).alias("n_queries"), F.md5(n.excerpt(F.col("text"), n.SHORT_EXCERPT).cast("binary")).alias("excerpt_md5"), n.section_core(F.col("text")).alias("core"))
 
 
 # checks: SQL of their own
@@ -219,5 +219,5 @@ SELECT l_orderkey, answer, kept FROM a JOIN k USING (l_orderkey)""",
 p AS (SELECT *, list_filter(list_transform(string_split_regex(s, '[?？]'), lambda x: trim(x)), lambda x: contains(x, ' ')) AS qs FROM t),
 c AS (SELECT *, list_filter(list_transform(flatten(list_transform(qs, lambda q: string_split_regex(q, '\s(그리고|and then|and also)\s'))), lambda x: trim(x)), lambda x: contains(x, ' ')) AS cs FROM p)
 SELECT conv_id, turn, s || ' | conversation ' || conv_id AS query, len(list_distinct(list_filter(list_transform(list_concat([s], CASE WHEN len(qs) > 1 OR len(cs) > len(qs) THEN list_concat(qs, cs) ELSE [] END), lambda x: lower(x)), lambda x: x <> '')))::INT AS n_queries, md5(s[:240]) AS excerpt_md5,
-  regexp_replace(lower({_SPACED.format("coalesce(text[:1000], '')")}), '^\d+(\.\d+)*\.?\s*', '') AS core FROM c""",
+  regexp_replace(lower(s), '^\d+(\.\d+)*\.?\s*', '') AS core FROM c""",
 }

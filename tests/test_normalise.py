@@ -158,3 +158,17 @@ def test_markdown_and_asciidoc(spark):
 def test_signals_of_a_text(spark):
     row = values(spark, ["$ oc get pods\nThe Node has ImagePullBackOff; the Etcd Operator\noc get pods"], *s.operational_signals(T, s.SIGNALS))[0]
     assert row == (["oc get pods"], ["ImagePullBackOff"], ["Node"], ["Etcd Operator"])
+
+
+def test_long_texts_do_not_end_the_jvm(spark):
+    """Repeated groups of a pattern recurse in Java unless they are possessive."""
+    from stratum.operators import sections
+
+    table = "| a | b |\n| - | - |\n" + "| 1 | 2 |\n" * 100_000
+    df = spark.createDataFrame([("x" * 1_000_000, "\n" * 1_000_000 + "end", table, "1.2" * 50_000 + ". x", "$ " * 200_000 + "oc get", "[1] " * 100_000)], "value string, blank string, rows string, path string, command string, marks string")
+    mark = F.concat(F.lit('language="'), "value", F.lit('" caption="b\\"c"'))
+    out = df.select(
+        n.marker_attributes(mark).alias("m"), n.clean_code(F.col("blank")).alias("c"), F.length(sections.marked_markdown(F.col("rows"))).alias("t"), F.length(n.section_core(F.col("path"))).alias("p"), n.clean_command(F.col("command")).alias("o"),
+        n.trim_leading(F.concat(F.repeat(F.lit("Legal "), 100_000), F.lit("rest")), ["Legal"]).alias("l"), n.renumbered(F.col("marks"), F.array(F.lit("a")))["text"].alias("r"),
+    ).first()
+    assert len(out.m["language"]) == 1_000_000 and out.m["caption"] == 'b\\"c' and out.c == "end" and out.t > 500_000 and out.o == "oc get" and out.l == "rest" and out.r == "[1]"
