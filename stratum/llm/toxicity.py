@@ -14,12 +14,12 @@ name; an empty table gives none.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, Logistic, classified, sample, scored
@@ -32,8 +32,9 @@ MIN_Z, MIN_COUNT, MIN_ODDS = 3.1, 4, 2.0
 #: Lengths of beginnings; they are written with a star.
 STEMS = (4, 5, 6, 7)
 K = 0.1
-WORDS = re.compile(r"[^\W_]+")
+#: Letters with their marks, and digits: the same when a lexicon is fitted and when texts are scored.
 PATTERN = r"[\p{L}\p{M}\p{N}]+"
+WORDS = regex.compile(PATTERN)
 
 
 def segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
@@ -95,11 +96,16 @@ class Model:
         return self.calibration(np.array([self.features(t) for t in texts.to_pylist()], float).reshape(-1, 3))
 
 
+def _beginnings(words: str, k: int) -> Column:
+    """The first k letters of longer words, with a star. A lambda of two parameters would be given an index as its second."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     rows = sample(docs, labels, "toxic", MOD, HELD_OUT, size)
     one = rows.filter("half = 0").select("y", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PATTERN), F.lit(0))).alias("words"))
     d1, d0, length = (float(x or 0) for x in one.agg(F.sum("y"), F.sum(1 - F.col("y")), F.avg(F.size("words"))).first())
-    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    stems = [_beginnings("words", k) for k in STEMS]
     entries = one.select("y", F.explode(F.array_distinct(F.concat("words", *stems))).alias("word"))
     counts = entries.groupBy("word").agg(F.sum("y").alias("y1"), F.sum(1 - F.col("y")).alias("y0"))
     prior = (F.col("y1") + F.col("y0")) / max(1.0, d1 + d0) * PRIOR + EVEN
