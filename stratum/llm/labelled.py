@@ -24,7 +24,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: i
     few = staged(few.select("doc_id", "y", (hashed.bitwiseAND(F.lit(3)) == 0).cast("int").alias("half")), "labelled-ids")
     # at most `size` rows of three numbers
     rows = docs.select(quoted("doc_id").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    return staged(rows.join(F.broadcast(few), "doc_id").select("text", "y", "half"), "labelled")
+    # one row an id, however often it stands: the one with the least text
+    one = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "y", "half")).alias("of"))
+    return staged(one.select("of.text", "of.y", "of.half"), "labelled")
 
 
 def scored(docs: DataFrame, columns: list[str], scores: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -157,3 +157,30 @@ def test_no_labels_and_no_documents(spark, model):
     docs, labels = corpus(spark)
     assert model.classify(docs.limit(5), labels.limit(0)).count() == 5
     assert model.classify(docs.limit(0), labels).count() == 0
+
+
+def test_beginnings_of_words_are_in_the_lexicon(spark):
+    """Forms that no labelled text has are told by their beginning."""
+    calm = [f"quiet words {R.randrange(90)} about nothing" for _ in range(300)]
+    rude = [f"some words {R.randrange(90)} and a {R.choice(['blorgan', 'blorgish', 'blorgle'])} here" for _ in range(60)]
+    rows = [(k, t, None, None, None, None) for k, t in enumerate(calm + rude)] + [(9000, "you blorgidiot there", None, None, None, None), (9001, "you there", None, None, None, None)]
+    labels = spark.createDataFrame([(k, None, int(k >= 300)) for k in range(360)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = tx.fit(docs, labels)
+    assert {"blor*", "blorg*"} <= set(model.lexicon) and all(len(w) in (5, 6, 7, 8) for w in model.lexicon if w.endswith("*"))
+    score = {r.doc_id: r.score for r in tx.classify(docs, labels).collect()}
+    assert score[9000] > score[9001]
+
+
+def test_words_with_marks_are_cut_alike(spark):
+    text = "हिन्दी cafe\u0301 x_y Été 12"
+    words = spark.createDataFrame([(text,)], "t string").selectExpr(f"regexp_extract_all(lower(t), r'{tx.PATTERN}', 0) AS w").first().w
+    assert list(words) == tx.WORDS.findall(text.lower()) == ["हिन्दी", "cafe\u0301", "x", "y", "été", "12"]
+
+
+def test_a_doc_id_that_stands_often_is_one_of_the_sample(spark):
+    from stratum.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {tuple(r)[:2] for r in labelled.sample(docs, labels, "toxic", 1000, 999, 10).collect()} == {("text 0", 1), (None, 1)}
