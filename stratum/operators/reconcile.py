@@ -58,8 +58,9 @@ def corpus_counters(chunks: DataFrame, id: str, text: str, required: Sequence[st
     """One row: rows, ids, repeated ids and texts, empty texts, blank values of required columns, and ids that are in one store only."""
     blank = lambda c: F.sum((n.text_of(F.col(c).cast("string")).rlike(r"^\s*$")).cast("long"))
     counts = chunks.agg(F.count("*").alias("n_rows"), *[F.coalesce(blank(c), F.lit(0)).alias(f"blank_{c}") for c in required])
-    again = lambda c, name: chunks.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") - 1)), F.lit(0)).cast("long").alias(name))
-    parts = [counts, again(id, "repeated_ids"), again(text, "repeated_texts")]
+    again = lambda c, name: chunks.select(c.alias("again")).filter("again IS NOT NULL").groupBy("again").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") - 1)), F.lit(0)).cast("long").alias(name))
+    # digests, not texts, are shuffled
+    parts = [counts, again(F.col(id), "repeated_ids"), again(F.unhex(F.sha2(F.col(text).cast("string"), 256)), "repeated_texts")]
     for name, other in other_ids.items():
         ids, own = other.select(F.col(id)).distinct(), chunks.select(F.col(id)).distinct()
         parts += [own.join(ids, id, "left_anti").agg(F.count("*").alias(f"not_in_{name}")), ids.join(own, id, "left_anti").agg(F.count("*").alias(f"only_in_{name}"))]
@@ -86,11 +87,16 @@ def related_or_fallback(hits: DataFrame, relations: DataFrame, fallback: DataFra
 def entity_backlinks(pages: DataFrame, page: str, text: str, entities: DataFrame) -> DataFrame:
     """entity, page: which pages name each entity (entities: entity, one row each; words are matched whole, without regard to case).
 
-    Pages are cut into words once, and meet entities in a join by word; only entities of several words are then looked for whole.
+    Pages are cut into words once, and their words, without the text, meet entities in a join. A name of one word is found
+    by that; pages that have a longer name's first word are then looked through for the whole of it.
     """
-    words = pages.select(F.col(page), n.signal(F.col(text)).alias("said")).select(page, "said", F.explode(F.array_distinct(F.split("said", r"[^\p{L}\p{N}-]+"))).alias("word"))
+    words = pages.select(F.col(page), F.explode(F.array_distinct(F.split(n.signal(F.col(text)), r"[^\p{L}\p{N}-]+"))).alias("word"))
     named = entities.select("entity", n.signal(F.col("entity")).alias("name")).withColumn("word", F.element_at(F.split("name", " "), 1))
-    return words.join(named, "word").filter(F.concat(F.lit(" "), F.regexp_replace("said", r"[^\p{L}\p{N}-]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))).select("entity", page).distinct()
+    met = words.join(named, "word")
+    longer = met.filter("name <> word").select(F.col(page).alias("of"), "entity", "name").distinct()
+    said = F.concat(F.lit(" "), F.regexp_replace(n.signal(F.col(text)), r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
+    whole = pages.join(longer, F.col(page) == F.col("of")).filter(said.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
+    return met.filter("name = word").select("entity", page).unionByName(whole.select("entity", page)).distinct()
 
 
 def nearest_section(figures: DataFrame, sections: DataFrame, doc: str) -> DataFrame:

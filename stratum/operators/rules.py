@@ -83,9 +83,10 @@ def rebalanced(hits: DataFrame, pool: DataFrame, asked: DataFrame, rules: DataFr
     own = asked.join(hand_made(rules), "intent").select("query_id", "rule", "ordinal", "books", "reach", "rescue")
     listed = hits.select("query_id", "doc_id", "book", "score", "rank", F.lit(False).alias("rescued"))
     rest = pool.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    rest = rest.select("query_id", "doc_id", "book", "score", (F.lit(1 << 30) + F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "book", "doc_id"))).cast("int").alias("rank"), F.lit(True).alias("rescued"))
+    # what isn't listed stands behind, by score: only its best is looked for, so that it isn't numbered
+    rest = rest.select("query_id", "doc_id", "book", "score", F.lit(0).alias("rank"), F.lit(True).alias("rescued"))
     reached = listed.unionByName(rest).join(own, "query_id").filter(F.array_contains("books", F.col("book")) & F.when(F.col("rescued"), F.coalesce("rescue", F.lit(False))).otherwise(F.col("rank") <= F.col("reach")))
-    chosen = reached.groupBy("query_id").agg(F.min(F.struct("ordinal", "rank", "doc_id", "book", "score", "rule")).alias("to"))
+    chosen = reached.groupBy("query_id").agg(F.min(F.struct("ordinal", "rescued", "rank", (-F.col("score")).alias("behind"), "book", "doc_id", "score", "rule")).alias("to"))
     front = chosen.select("query_id", "to.doc_id", "to.book", "to.score", F.lit(0).alias("rank"))
     others = hits.select("query_id", "doc_id", "book", "score", "rank").join(front.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     placed = front.unionByName(others).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
