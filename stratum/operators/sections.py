@@ -33,7 +33,22 @@ LEVELS = 6
 
 
 def _element(html: Column, tag: str) -> Column:
-    return F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+    """What the elements of a tag hold, one after the other; what stands between two of them isn't theirs, nested ones are."""
+    one = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+    parts = F.split(html, rf"(?i)(?=</?{tag}\b)", -1)
+    after = lambda p: F.when(F.instr(p, ">") > 0, F.substring(p, F.instr(p, ">") + 1, F.lit(1 << 30))).otherwise("")
+    opens, ends = (lambda p: p.rlike(rf"(?i)^<{tag}\b")), (lambda p: p.rlike(rf"(?i)^</{tag}\b"))
+    none = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("held"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = F.when(opens(p), a["depth"] + 1).when(ends(p), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        own = F.when(opens(p) | ends(p), after(p)).otherwise(p)
+        # the end of one element parts what it holds from what the next one does
+        kept = F.when(depth > 0, F.concat(a["held"], F.array(own))).when(ends(p), F.concat(a["held"], F.array(F.lit("\n\n")))).otherwise(a["held"])
+        return F.struct(depth.alias("depth"), kept.alias("held"))
+
+    several = n.stripped(F.array_join(F.aggregate(parts, none, step, lambda a: a["held"]), ""))
+    return F.when(F.size(F.filter(parts, opens)) > 1, several).otherwise(one)
 
 
 def content_root(html: Column, roots: Sequence[str] = ROOTS) -> Column:
@@ -50,6 +65,12 @@ def page_title(html: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
+    """Character references as characters: those of NAMED, and all that are numbers."""
+    number = lambda r: F.coalesce(F.conv(F.regexp_extract(r, r"(?i)^&#x([0-9a-f]{1,6});$", 1), 16, 10).cast("int"), F.regexp_extract(r, r"^&#([0-9]{1,7});$", 1).try_cast("int"))
+    valid = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});)"), F.lit(1)))
+    put = lambda a, r: F.when(valid(number(r)), F.replace(a, r, F.decode(F.unhex(F.lpad(F.hex(number(r)), 8, "0")), "UTF-32"))).otherwise(a)
+    text = F.aggregate(found, text, put)
     for name, char in NAMED.items():
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

@@ -115,3 +115,19 @@ def test_sinks_and_sources(spark, tmp_path):
     log = spark.createDataFrame([(i, i % 2) for i in range(9)], "at int, ok int").withColumn("ok", F.col("ok") == 1)
     assert sorted(r["at"] for r in tables.last_rows(log, 2, "at").collect()) == [7, 8]
     assert [r["at"] for r in tables.first_usable(log.withColumn("k", F.lit("k")), "k", "at", "ok").collect()] == [1]
+
+
+def test_several_and_nested_articles_and_references(spark):
+    from stratum.operators import sections
+
+    pages = {
+        "<body><article>a</article><nav>n</nav><ARTICLE class=x>b</article>z</body>": "a\n\nb",
+        "<article>a<article>b</article>c</article><p>after</p>": "abc",
+        "<article>only</article>": "only", "<main>m</main><main>k": "m\n\nk", "<body>x</body>": "x", "none": "none",
+        "<articles>no</articles><article>y</article>": "y",
+    }
+    got = spark.createDataFrame([(k,) for k in pages], "h string").select(sections.content_root(F.col("h")).alias("r")).collect()
+    assert [r.r for r in got] == list(pages.values())
+    texts = {"caf&#233; &#x2014; &#X1F600; &lt;&amp;lt;": "café — 😀 <&lt;", "&#0; &#xD800; &#9999999; &#; &#x;": "&#0; &#xD800; &#9999999; &#; &#x;", None: None}
+    got = spark.createDataFrame([(k,) for k in texts], "t string").select(sections.unescaped(F.col("t")).alias("u")).collect()
+    assert [r.u for r in got] == list(texts.values())
