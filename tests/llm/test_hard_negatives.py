@@ -84,3 +84,24 @@ def test_brackets_hold_scores():
         low, high = tile.brackets(0)
         assert ((low <= x @ q) & (x @ q <= high)).all()
         assert (high - low).min() < 2 * most  # brackets say something
+
+
+def test_pivots_rule_out_other_clusters():
+    """Vectors in tight clusters: few rows are checked exactly. (Where all directions are alike, brackets rule out next to nothing.)"""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 200, (12, 24))
+    x = np.floor(centers[rng.integers(0, 12, 3000)] + rng.normal(0, 12, (3000, 24))).astype(np.int32)
+    most = float((x.astype(float) ** 2).sum(1).max())
+    points = hn.fit_pivots(x[:600].astype(float), most, 16)
+    batch = pa.record_batch([pa.array(np.arange(3000)), pa.array(np.zeros(3000, np.int64)), pa.array(list(x), pa.list_(pa.int32()))], names=["id", "label", "v"])
+    table = pa.Table.from_batches(list(hn._pivoted(24, most, points, 100)([batch])))
+    anchors = table.filter(pa.array([i % 100 == 0 for i in range(3000)]))
+    found = hn._positives(24, most, 5)(anchors, table).to_pylist()
+    share = sum(r["checked"] for r in found) / len(found) / 3000
+    assert len(found) == 150 and share < 0.3
+    exact = x.astype(int) @ x.astype(int).T
+    for r in found:
+        order = sorted((i for i in range(3000) if i != r["anchor_id"]), key=lambda i: (-exact[r["anchor_id"], i], i))[:5]
+        assert r["positive_id"] in order and r["positive_score"] == exact[r["anchor_id"], r["positive_id"]]
