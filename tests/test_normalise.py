@@ -134,7 +134,7 @@ def test_sections_of_a_page_and_what_follows(spark):
     parts = s.blocks(rows, "page_id", "ordinal")
     assert [(r.ordinal, r.kind) for r in parts.orderBy("ordinal", "block").collect()] == [(1, "paragraph"), (2, "paragraph"), (2, "code"), (3, "table"), (4, "paragraph")]
     assert parts.filter("kind = 'table'").first().cells == [["k", "v"], ["1", "2"]]
-    flat = s.section_rows(rows, parts, "page_id")
+    flat = s.section_rows(rows, parts, "page_id", [("overview", ["welcome"]), ("procedure", ["install"])])
     assert [(r.semantic_role, r.block_kinds) for r in flat.orderBy("ordinal").collect()] == [("unknown", ["paragraph"]), ("procedure", ["paragraph", "code"]), ("procedure", ["table"]), ("procedure", ["paragraph"])]
     books = s.manuals(flat, "page_id")
     (book,) = books.collect()
@@ -156,8 +156,9 @@ def test_markdown_and_asciidoc(spark):
 
 
 def test_signals_of_a_text(spark):
-    row = values(spark, ["$ oc get pods\nThe Node has ImagePullBackOff; the Etcd Operator\noc get pods"], *s.operational_signals(T, s.SIGNALS))[0]
-    assert row == (["oc get pods"], ["ImagePullBackOff"], ["Node"], ["Etcd Operator"])
+    patterns = {"commands": r"(?m)^[ ]*(?:[$#][ ]*)?git[ ][^\n]+", "errors": r"\b[A-Z][a-z]+Error\b"}
+    row = values(spark, ["$ git pull\nIt ended in a LockError, once more a LOCKError and LockError.\ngit pull"], *s.operational_signals(T, patterns))[0]
+    assert row == (["git pull"], ["LockError"])
 
 
 def test_long_texts_do_not_end_the_jvm(spark):
