@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, graphs, ladders, lines, nested, normalised, reconciled, reports, retrieval, runs, searches, walks
+from . import answers, documents, graphs, ladders, lines, nested, normalised, reconciled, reports, retrieval, runs, searches, walks
 
-QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES, **searches.QUERIES, **walks.QUERIES, **nested.QUERIES, **lines.QUERIES, **graphs.QUERIES, **runs.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES, **searches.ORACLES, **walks.ORACLES, **nested.ORACLES, **lines.ORACLES, **graphs.ORACLES, **runs.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **reports.QUERIES, **ladders.QUERIES, **documents.QUERIES, **normalised.QUERIES, **reconciled.QUERIES, **searches.QUERIES, **walks.QUERIES, **nested.QUERIES, **lines.QUERIES, **graphs.QUERIES, **runs.QUERIES, **answers.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **reports.ORACLES, **ladders.ORACLES, **documents.ORACLES, **normalised.ORACLES, **reconciled.ORACLES, **searches.ORACLES, **walks.ORACLES, **nested.ORACLES, **lines.ORACLES, **graphs.ORACLES, **runs.ORACLES, **answers.ORACLES}
