@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .run_index import RunIndex
-from .shared import _BASE, _VALUE, Substrings, boxed, buffers, mixed, quoted, slices, small_side, staged, tidy, tidy_group, unboxed
+from .shared import _BASE, _VALUE, Substrings, boxed, buffers, let_go, mixed, quoted, slices, small_side, staged, tidy, tidy_group, unboxed
 
 SPAN, GRAM = 50, 19
 #: Places of an anchor in a string, and the bytes on each side of one in a context.
@@ -478,6 +478,7 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     hot = max(HOT, size * 2 // (PLACES + 1) // MOST_HOT)
     sent = rows.mapInArrow(tidy(_sent_anchors(parts)), _BLOB_DDL)
     flags = staged(sent.groupBy("part").applyInArrow(tidy_group(_flagged(parts, hot)), "dest int, packed binary"), "repeats-anchors")
+    let_go(docs.sparkSession)
     # MOST_HOT numbers of 8 bytes at most
     often = [np.frombuffer(r.packed, np.uint64) | np.uint64((-1 - r.dest) << 8 * HASH_BYTES) for r in flags.filter("dest < 0").collect()]
     hot_anchors = np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)
@@ -485,7 +486,9 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     flagged = rows.join(places, (rows["doc_id"] == F.col("of")) & (rows["which"] == F.col("variant"))).select("doc_id", "which", "text", "places")
     around = flagged.mapInArrow(tidy(_sent_contexts(parts, hot_anchors)), _BLOB_DDL)
     marks = around.groupBy("part").applyInArrow(tidy_group(_marked(parts)), "dest int, packed binary").groupBy("dest").applyInArrow(tidy_group(_documents(np.uint32, np.uint32)), "doc_id long, which long, places binary, marks binary")
-    return staged(marks, "repeats-marks")
+    marks = staged(marks, "repeats-marks")
+    let_go(docs.sparkSession)
+    return marks
 
 
 def _with_marks(docs: DataFrame, row) -> DataFrame:
