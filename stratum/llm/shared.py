@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -81,12 +80,6 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Shuffle files of plans that are done go when the driver collects its garbage: it is asked to where much of them lies on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def quoted(name: str) -> Column:
     """A column by its whole name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
