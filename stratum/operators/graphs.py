@@ -5,20 +5,28 @@ them, edges between books. A signal that many books share makes as many pairs as
 dealt to blocks, and pairs of blocks are tasks of their own, so that no task makes more than BLOCK * BLOCK pairs of a signal.
 The full graph and the compact one are made of the same edges, which are checked for ends that aren't there.
 
+What books share over all kinds (`related`) is made in rounds of some of the books: lists of a signal's books go to each of
+them, are counted there and leave as what is asked (the first few, or their number), so that disk holds one round's lists.
+
 Defined results: blank and null signals, books and chunks are left out; a chunk that has a signal twice has it once; a
 signal of one chunk is no hyperedge, one within a single book makes no pair; books are compared by their names as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.normalise import signal
-from stratum.operators.retrieval import kept
+from stratum.operators.retrieval import bounded, kept
 
 #: Books of a signal that one task pairs with as many others at most, about.
 BLOCK = 512
+#: Entries of lists that a round deals at least, and for each book of a signal; and those of one task, about.
+ROUND, ROUND_SHARE, TASK = 1 << 25, 2, 1 << 20
 
 
 def chunk_signals(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -48,6 +56,58 @@ def book_pairs(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.groupBy("a", "b", "kind").agg(F.count("*").alias("shared"), F.sum(F.col("n_a") + F.col("n_b")).alias("chunks"))
 
 
+def numbered(signals: DataFrame) -> DataFrame:
+    """id, book: the books that signals name, numbered in the order of their names."""
+    return kept(signals.select("book").distinct().orderBy("book").select(F.monotonically_increasing_id().alias("id"), "book"), "graph-ids")
+
+
+def _listed(signals: DataFrame, ids: DataFrame, block: int) -> DataFrame:
+    """kind, value, blocks, books (numbers): the books of each signal, a signal of more than `block` rows in several lists."""
+    hot = kept(signals.groupBy("kind", "value").agg(F.ceil(F.count("*") / block).alias("n")).filter("n > 1"), "graph-hot")
+    rows = signals.select("kind", "value", "book").join(bounded(ids), "book").join(bounded(hot), ["kind", "value"], "left").withColumn("blocks", F.coalesce("n", F.lit(1)))
+    return kept(rows.groupBy("kind", "value", "blocks", F.pmod("id", "blocks").alias("part")).agg(F.collect_set("id").alias("books")).filter("blocks > 1 OR size(books) > 1"), "graph-lists")
+
+
+def related(signals: DataFrame, ids: DataFrame, block: int = BLOCK, entries: int = ROUND, both: bool = True) -> Iterator[DataFrame]:
+    """id, other, weight: how many signals two books share, both ways or from the lesser number alone; each table is a round and has all of its books' rows."""
+    lists = _listed(signals, ids, block)
+    size = F.size("books").cast("long")
+    by = lists.groupBy(F.when(F.col("blocks") > 1, F.struct("kind", "value")).alias("hot")).agg(F.sum(size).alias("n"), F.sum(size * size).alias("squares"))
+    total, members, hot = by.agg(F.coalesce(F.sum(F.when(F.col("hot").isNull(), F.col("squares")).otherwise(F.col("n") * F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("hot")).first()
+    rounds = max(1, -(-total // max(entries, ROUND_SHARE * members)))
+    tasks = max(1, -(-total // rounds // TASK))
+    for k in range(rounds):
+        own = F.filter("books", lambda b: F.pmod(b, F.lit(rounds)) == k).alias("own")  # noqa: B023
+        met = lists.filter("blocks = 1").select(own, F.col("books").alias("others"))
+        if hot:
+            many = lists.filter("blocks > 1")
+            met = met.unionByName(many.select("kind", "value", own).join(many.select("kind", "value", F.col("books").alias("others")), ["kind", "value"]).select("own", "others"))
+        dealt = met.select(F.explode("own").alias("id"), "others").repartition(tasks, "id")
+        pairs = dealt.select("id", F.explode("others").alias("other")).filter("id <> other" if both else "id < other")
+        yield pairs.groupBy("id", "other").agg(F.count("*").alias("weight"))
+
+
+def related_count(signals: DataFrame, block: int = BLOCK, entries: int = ROUND) -> DataFrame:
+    """measure, n: how many edges between books the full graph has."""
+    counts = [kept(pairs.agg(F.count("*").alias("n")), "graph-count") for pairs in related(signals, numbered(signals), block, entries, both=False)]
+    return reduce(DataFrame.unionByName, counts).agg(F.lit("edges:related").alias("measure"), F.sum("n").alias("n"))
+
+
+def related_first(signals: DataFrame, top: int = 8, block: int = BLOCK, entries: int = ROUND) -> DataFrame:
+    """book, relations: what `compact` gives of all edges between books, made in rounds."""
+    ids = numbered(signals)
+    names = bounded(ids.select(F.col("id").alias("other"), F.col("book").alias("name")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "other"))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        # numbers are in the order of names
+        first = pairs.withColumn("place", place).filter(F.col("place") <= top).join(names, "other")
+        by = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "weight"))), lambda x: F.struct(x["name"].alias("other"), x["weight"].alias("weight"))).alias("relations"))
+        return kept(by.join(bounded(ids), "id").select("book", "relations"), "graph-first")
+
+    return reduce(DataFrame.unionByName, [named(pairs) for pairs in related(signals, ids, block, entries)])
+
+
 def vertices(books: DataFrame, signals: DataFrame, edges: DataFrame) -> DataFrame:
     """id, type, title of all that the graph has: books (book, title; also those that only chunks name), their chunks, and hyperedges."""
     known = books.filter("book <> ''").groupBy("book").agg(F.min("title").alias("title"))
@@ -60,12 +120,13 @@ def _signal_id() -> Column:
     return F.concat(F.lit("signal:"), "kind", F.lit(":"), "value")
 
 
-def edges_of(signals: DataFrame, edges: DataFrame, pairs: DataFrame, derived: DataFrame | None = None) -> DataFrame:
-    """source, target, type, weight: chunks in books, chunks with shared signals, books with books, and derived books (book, origin)."""
+def edges_of(signals: DataFrame, edges: DataFrame, pairs: DataFrame | None, derived: DataFrame | None = None) -> DataFrame:
+    """source, target, type, weight: chunks in books, chunks with shared signals, books with books (given pairs), and derived books (book, origin)."""
     inside = signals.select("book", "chunk").distinct().select(F.concat(F.lit("chunk:"), F.col("chunk").cast("string")).alias("source"), F.concat(F.lit("book:"), "book").alias("target"), F.lit("in").alias("type"), F.lit(1).cast("long").alias("weight"))
     shared = signals.join(edges.select("kind", "value"), ["kind", "value"]).select(F.concat(F.lit("chunk:"), F.col("chunk").cast("string")).alias("source"), _signal_id().alias("target"), F.lit("has").alias("type"), F.lit(1).cast("long").alias("weight"))
-    related = pairs.groupBy("a", "b").agg(F.sum("shared").alias("weight")).select(F.concat(F.lit("book:"), "a").alias("source"), F.concat(F.lit("book:"), "b").alias("target"), F.lit("related").alias("type"), "weight")
-    out = inside.unionByName(shared).unionByName(related)
+    out = inside.unionByName(shared)
+    if pairs is not None:
+        out = out.unionByName(pairs.groupBy("a", "b").agg(F.sum("shared").alias("weight")).select(F.concat(F.lit("book:"), "a").alias("source"), F.concat(F.lit("book:"), "b").alias("target"), F.lit("related").alias("type"), "weight"))
     if derived is not None:
         origin = derived.filter("book <> '' AND origin <> '' AND book <> origin").distinct()
         out = out.unionByName(origin.select(F.concat(F.lit("book:"), "book").alias("source"), F.concat(F.lit("book:"), "origin").alias("target"), F.lit("derived").alias("type"), F.lit(1).cast("long").alias("weight")))
@@ -74,8 +135,11 @@ def edges_of(signals: DataFrame, edges: DataFrame, pairs: DataFrame, derived: Da
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which an end is no vertex, with that end."""
-    ends = edges.select("source", "target", "type", F.explode(F.array("source", "target")).alias("missing"))
-    return ends.join(nodes.select(F.col("id").alias("missing")), "missing", "left_anti").select("source", "target", "type", "missing").distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("missing"))
+    # ends meet vertices without their edges, once each
+    lost = bounded(kept(ends.distinct().join(nodes.select(F.col("id").alias("missing")), "missing", "left_anti"), "graph-lost"))
+    at = lambda end: edges.select("source", "target", "type", F.col(end).alias("missing")).join(lost, "missing").select("source", "target", "type", "missing")
+    return at("source").unionByName(at("target")).distinct()
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 
 from stratum.operators import graphs as g
+from stratum.operators.retrieval import FREED, kept
 
 R = random.Random(9)
 CHUNK = "book string, chunk long, commands array<string>, objects array<string>"
@@ -60,3 +61,27 @@ def test_full_and_compact_agree(spark):
         own = sorted(((-w, b if a == book else a) for (a, b), w in related.items() if book in (a, b)))[:3]
         assert relations == [(other, -w) for w, other in own]
     assert set(small) == {x for pair in related for x in pair}
+
+
+@pytest.mark.parametrize("block, entries", [(512, 1 << 27), (4, 2000)])
+def test_relations_in_rounds(spark, block, entries, monkeypatch):
+    monkeypatch.setattr(g, "ROUND_SHARE", 0)
+    signals = g.chunk_signals(spark.createDataFrame(chunks(), CHUNK), {"command": "commands", "object": "objects"}).localCheckpoint()
+    pairs = g.book_pairs(signals).localCheckpoint()
+    told = lambda df: {r.book: [(x.other, x.weight) for x in r.relations] for r in df.collect()}
+    assert told(g.related_first(signals, 3, block, entries)) == told(g.compact(pairs, g.edges_of(signals, g.hyperedges(signals), pairs), 3))
+    assert g.related_count(signals, block, entries).first().n == pairs.select("a", "b").distinct().count()
+    assert (len(list(g.related(signals, g.numbered(signals), block, entries))) > 1) == (entries == 2000)
+
+
+def test_signals_without_pairs(spark):
+    signals = g.chunk_signals(spark.createDataFrame([("b", 1, ["x"], [])], CHUNK), {"command": "commands", "object": "objects"})
+    assert g.related_first(signals).count() == 0 and g.related_count(signals).first().n == 0
+
+
+def test_shuffles_end_with_the_table_they_make(spark):
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    setting, first = spark.conf.get(FREED, "false"), spark.sparkContext._jsc.sc().newShuffleId()
+    assert kept(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "freed").schema.names == ["k", "count"]
+    made = range(first + 1, spark.sparkContext._jsc.sc().newShuffleId())
+    assert len(made) > 0 and not any(known.containsShuffle(k) for k in made) and spark.conf.get(FREED, "false") == setting
