@@ -6,7 +6,7 @@ text unless a function says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -242,17 +242,28 @@ def cited_numbers(answer: Column, last: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text_of(answer), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")), lambda n: (n >= 1) & (n <= last)))
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once a row, however often it is named inside."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def renumbered(answer: Column, identities: Column) -> Column:
     """struct(text, kept): [n] marks by first use, one number for each identity, no doubled marks; kept: which citations stay, in their new order."""
-    used = cited_numbers(answer, F.size(identities))
-    identity = lambda n: F.element_at(identities, n)
-    kept = F.filter(used, lambda n, i: ~F.exists(F.slice(used, F.lit(1), i), lambda o: identity(o) == identity(n)))
-    number = lambda n: F.array_position(F.transform(kept, identity), identity(n))
-    # numbers are marked while they are set, so that none is set twice
-    marked = F.aggregate(used, text_of(answer), lambda a, n: F.replace(a, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.concat(F.lit("[\u0001"), number(n).cast("string"), F.lit("]"))))
-    known = F.translate(F.regexp_replace(marked, r"\[\d{1,9}\]", ""), "\u0001", "")
-    single = F.regexp_replace(known, r"(\[\d+\])(?:\s*\1)++", "$1")
-    return F.when(F.size(used) == 0, F.struct(text_of(answer).alias("text"), F.array().cast("array<int>").alias("kept"))).otherwise(F.struct(F.trim(F.regexp_replace(single, r"[ \t]+", " ")).alias("text"), kept.alias("kept")))
+
+    def done(text: Column, ids: Column, used: Column, whose: Column) -> Column:
+        # the first mark of each identity stays
+        own = F.array_distinct(whose)
+        kept = F.transform(own, lambda o: F.element_at(used, F.array_position(whose, o).cast("int")))
+        pairs = F.arrays_zip(used.alias("n"), F.transform(whose, lambda o: F.array_position(own, o)).alias("number"))
+        # numbers are marked while they are set, so that none is set twice
+        marked = F.aggregate(pairs, text, lambda a, p: F.replace(a, F.concat(F.lit("["), p["n"].cast("string"), F.lit("]")), F.concat(F.lit("[\u0001"), p["number"].cast("string"), F.lit("]"))))
+        known = F.translate(F.regexp_replace(marked, r"\[\d{1,9}\]", ""), "\u0001", "")
+        single = F.regexp_replace(known, r"(\[\d+\])(?:\s*\1)++", "$1")
+        return F.when(F.size(used) == 0, F.struct(text.alias("text"), F.array().cast("array<int>").alias("kept"))).otherwise(F.struct(F.trim(F.regexp_replace(single, r"[ \t]+", " ")).alias("text"), kept.alias("kept")))
+
+    given = F.struct(text_of(answer).alias("text"), identities.alias("ids"))
+    used = lambda g: bound(cited_numbers(g["text"], F.size(g["ids"])), lambda u: bound(F.transform(u, lambda n: F.element_at(g["ids"], n)), lambda w: done(g["text"], g["ids"], u, w)))
+    return bound(given, used)
 
 
 # commands, signals and queries

@@ -100,6 +100,9 @@ def test_citations(spark):
     identities = ["u", "v", "u", "w"]
     got = values(spark, texts, n.renumbered(T, F.array(*map(F.lit, identities))))
     assert [(r[0].text, r[0].kept) for r in got] == [brute_renumbered(t, identities) for t in texts]
+    # marks are looked for once a row
+    plan = spark.range(1).select(n.renumbered(F.col("id").cast("string"), F.array(F.lit("u"))).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1
     assert values(spark, ["x"], n.citation_identity(F.lit(" /V "), T, T), n.citation_identity(F.lit(None), F.lit("U"), F.lit("A")), n.section_core(F.lit("1.2.3. The  Part")), n.anchor_root(F.lit("Ab_c_d")), n.excerpt(F.lit(" a \n b "), 3)) == [("/v", "u#a", "the part", "ab", "a b")]
 
 
