@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratum.functions.normalise import spaced, text_of
+from stratum.functions.normalise import bound, spaced, text_of
 
 #: Scripts that are told apart, in the order in which ties go, and their letters.
 SCRIPTS: dict[str, str] = {"hangul": "가-힣ᄀ-ᇿㄱ-ㆎ", "latin": "A-Za-zÀ-ÖØ-öø-ʯ", "han": "㐀-䶿一-鿿", "kana": "ぁ-ヿ", "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽ", "digit": "0-9"}
@@ -29,17 +30,33 @@ def script_runs(text: Column, scripts: Mapping[str, str] = SCRIPTS) -> Column:
     return F.transform(runs, lambda r: F.struct(script(r).alias("script"), r.alias("run")))
 
 
+def _counted(text: Column, scripts: Mapping[str, str], told: Callable[[list[tuple[str, Column]]], Column]) -> Column:
+    """told() of the characters of each script that a text has. ASCII is looked through for scripts with such letters alone, the rest of the text, mostly short, for all."""
+    ascii_of = {name: "".join(c for c in map(chr, range(128)) if re.match(f"[{letters}]", c)) for name, letters in scripts.items()}
+    left = lambda x, letters: F.length(F.regexp_replace(x, f"[^{letters}]+", ""))
+
+    def counts(x: Column) -> Column:
+        count = lambda name: left(x["rest"], scripts[name]) + (left(x["text"], "".join(f"\\x{ord(c):02x}" for c in ascii_of[name])) if ascii_of[name] else F.lit(0))
+        return bound(F.struct(*[count(name).alias(name) for name in scripts]), lambda c: told([(name, c[name]) for name in scripts]))
+
+    whole = F.struct(text_of(text).alias("text"), F.regexp_replace(text_of(text), r"[\x00-\x7f]+", "").alias("rest"))
+    return bound(whole, counts)
+
+
 def script_letters(text: Column, scripts: Mapping[str, str] = SCRIPTS) -> Column:
     """How many characters of each script a text has, as a map; scripts that it hasn't are left out."""
-    counts = [F.struct(F.lit(name).alias("k"), F.length(F.regexp_replace(text_of(text), f"[^{letters}]+", "")).cast("long").alias("v")) for name, letters in scripts.items()]
-    return F.map_from_entries(F.filter(F.array(*counts), lambda c: c["v"] > 0))
+    entries = lambda counts: F.array(*[F.struct(F.lit(name).alias("k"), c.cast("long").alias("v")) for name, c in counts])
+    return F.map_from_entries(F.filter(_counted(text, scripts, entries), lambda c: c["v"] > 0))
 
 
 def main_script(text: Column, scripts: Mapping[str, str] = SCRIPTS) -> Column:
     """The script of the most characters, digits aside; of several the first of the ladder; null without any."""
-    counts = [(name, F.length(F.regexp_replace(text_of(text), f"[^{letters}]+", ""))) for name, letters in scripts.items() if name != "digit"]
-    most = F.greatest(*[c for _, c in counts], F.lit(0))
-    return F.when(most > 0, F.coalesce(*[F.when(c == most, name) for name, c in counts]))
+
+    def first(counts: list[tuple[str, Column]]) -> Column:
+        most = F.greatest(*[c for _, c in counts], F.lit(0))
+        return F.when(most > 0, F.coalesce(*[F.when(c == most, name) for name, c in counts]))
+
+    return _counted(text, {name: letters for name, letters in scripts.items() if name != "digit"}, first)
 
 
 def has_script(text: Column, script: str) -> Column:
@@ -48,11 +65,11 @@ def has_script(text: Column, script: str) -> Column:
 
 def filtered_terms(query: Column, terms: Column, allowed: Sequence[str], script: str = "hangul") -> Column:
     """Of a query's terms those that fit a query in the script: terms in it, terms that the query has, allowed ones, and technical ones (with a capital, a digit or one of TECHNICAL). In order, spaces collapsed, blanks left out."""
-    lowered = F.lower(text_of(query))
     known = F.array(*[F.lit(a.lower()) for a in allowed]).cast("array<string>")
     clean = F.filter(F.transform(terms, spaced), lambda t: t != "")
-    capital = lambda t: t.rlike(r"\p{Lu}") | t.rlike(r"\p{Nd}")
-    return F.filter(clean, lambda t: t.rlike(f"[{SCRIPTS[script]}]") | lowered.contains(F.lower(t)) | F.array_contains(known, F.lower(t)) | capital(t) | t.rlike(TECHNICAL))
+    # what one look at a term tells comes first
+    fits = rf"[{SCRIPTS[script]}\p{{Lu}}\p{{Nd}}]|{TECHNICAL}"
+    return bound(F.lower(text_of(query)), lambda lowered: F.filter(clean, lambda t: t.rlike(fits) | lowered.contains(F.lower(t)) | F.array_contains(known, F.lower(t))))
 
 
 def bare_heading(heading: Column) -> Column:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from stratum.functions import scripts as sc
@@ -12,6 +15,20 @@ def test_runs_and_main_script(spark):
     assert got[1].n == {"latin": 3, "hangul": 3} and got[5].n == {}
 
 
+def test_letters_counted_one_by_one(spark):
+    signs = "aZéʯ0 9-_\n\x7f\x80×÷가ㄱ漢カЖΩ😀\u0000]^\\"
+    texts = ["".join(random.Random(k).choices(signs, k=60)) for k in range(40)]
+    count = lambda text, letters: sum(bool(re.match(f"[{letters}]", c)) for c in text)
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", sc.script_letters(F.col("x")).alias("n"), sc.main_script(F.col("x")).alias("m"))
+    for r in got.collect():
+        expected = {name: count(r.x, letters) for name, letters in sc.SCRIPTS.items()}
+        assert r.n == {name: n for name, n in expected.items() if n}
+        assert r.m == max((name for name in expected if name != "digit"), key=lambda name: expected[name])
+    # the text is looked through by the scripts that have letters in ASCII, not by all
+    told = spark.createDataFrame([("x",)], "x string").select(sc.main_script(F.col("x")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert told.count("coalesce(x#") == 2
+
+
 def test_terms_for_a_query_in_hangul(spark):
     terms = ["로그", " Pod ", "backup", "etcd", "node name", "oc-adm", "x1", "", None, "plain", "ÀB", "in query"]
     row = spark.createDataFrame([("etcd 백업 IN  QUERY? in query", terms)], "q string, terms array<string>")
