@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import normalise as n
+from stratum.operators.retrieval import bounded, kept
 
 
 def aligned(sources: Mapping[str, DataFrame], key: str, value: str) -> DataFrame:
@@ -87,16 +88,25 @@ def related_or_fallback(hits: DataFrame, relations: DataFrame, fallback: DataFra
 def entity_backlinks(pages: DataFrame, page: str, text: str, entities: DataFrame) -> DataFrame:
     """entity, page: which pages name each entity (entities: entity, one row each; words are matched whole, without regard to case).
 
-    Pages are cut into words once, and their words, without the text, meet entities in a join. A name of one word is found
-    by that; pages that have a longer name's first word are then looked through for the whole of it.
+    A page is looked through where it is: while names are few enough to be broadcast, its words are held against the first
+    words of all names inside the row, and only those that are one of them meet names. No text is shuffled. With more names
+    words, without the text, meet names in a join, and pages that have a longer name's first word are looked through for it.
     """
-    words = pages.select(F.col(page), F.explode(F.array_distinct(F.split(n.signal(F.col(text)), r"[^\p{L}\p{N}-]+"))).alias("word"))
-    named = entities.select("entity", n.signal(F.col("entity")).alias("name")).withColumn("word", F.element_at(F.split("name", " "), 1))
-    met = words.join(named, "word")
-    longer = met.filter("name <> word").select(F.col(page).alias("of"), "entity", "name").distinct()
+    named = kept(entities.select("entity", n.signal(F.col("entity")).alias("name")).withColumn("word", F.element_at(F.split("name", " "), 1)), "named")
+    near = bounded(named)
+    words = F.array_distinct(F.split(n.signal(F.col(text)), r"[^\p{L}\p{N}-]+"))
     said = F.concat(F.lit(" "), F.regexp_replace(n.signal(F.col(text)), r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
-    whole = pages.join(longer, F.col(page) == F.col("of")).filter(said.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
-    return met.filter("name = word").select("entity", page).unionByName(whole.select("entity", page)).distinct()
+    # made once a page, not once a name
+    whole = F.col("said").contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
+    if near is not named:
+        firsts = named.agg(F.collect_set("word").alias("firsts"))
+        cut = pages.select(F.col(page), said.alias("said"), words.alias("words")).join(F.broadcast(firsts))
+        own = cut.select(page, "said", F.explode(F.array_intersect("words", "firsts")).alias("word")).join(near, "word")
+        return own.filter((F.col("name") == F.col("word")) | whole).select("entity", page).distinct()
+    met = pages.select(F.col(page), F.explode(words).alias("word")).join(named, "word")
+    longer = met.filter("name <> word").select(F.col(page).alias("of"), "entity", "name").distinct()
+    found = pages.select(F.col(page), said.alias("said")).join(longer, F.col(page) == F.col("of")).filter(whole)
+    return met.filter("name = word").select("entity", page).unionByName(found.select("entity", page)).distinct()
 
 
 def nearest_section(figures: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
