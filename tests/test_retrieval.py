@@ -43,3 +43,15 @@ def test_results_do_not_depend_on_partitions(spark):
         want = want or got
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_bm25_adds_up_where_documents_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 7}" for j in range(1, 6))) for k in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, [f"w{q % 7}", f"w{(q + 2) % 7}"]) for q in range(20)], "query_id long, terms array<string>")
+    whole = [tuple(x) for x in r.bm25(docs, queries, 5).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(r, "PAIRS", 50)
+    dealt = r.bm25(docs, queries, 5)
+    assert [tuple(x) for x in dealt.orderBy("query_id", "rank").collect()] == whole and len(whole) == 100
+    # scores of all queries and documents are not shuffled
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(query_id" in line and "doc_id" in line]
