@@ -11,24 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.sources.tables import small_batches  # noqa: F401
+
 #: A word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Serialized bytes up to which a side of a join is broadcast; beyond that the join shuffles both sides.
 BROADCAST_BYTES = 16 << 20
 
 
-#: Rows and bytes of a batch that Python gets at most: a task holds few batches at a time, in the JVM and in Python.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From here on the session sends Python small batches. Entry points call this; operators leave the session as it is."""
-    for name, most in BATCHES.items():
-        now = spark.conf.get(name).rstrip("bB")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(name, str(most))
-
-
 def _give_back() -> None:
     """Free memory goes back to the system: an idle worker otherwise keeps what its largest batch took."""
     pa.default_memory_pool().release_unused()
