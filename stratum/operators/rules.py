@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import normalise as n
+from stratum.operators.retrieval import bounded, kept
 
 #: Rows of a rule table that is broadcast; a longer one fails, as it isn't made by hand.
 MOST_RULES = 20_000
@@ -55,6 +56,8 @@ def adjusted(hits: DataFrame, asked: DataFrame, rules: DataFrame, digits: int =
     table = hand_made(rules)
     own = asked.unionByName(every).withColumnRenamed("intent", "of").join(table, F.col("of").eqNullSafe(F.col("intent"))).select("query_id", "rule", "ordinal", "field", "words", "absent", "factor", "bonus").distinct()
     of_query = own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rule", "field", "words", "absent", "factor", "bonus"))).alias("rules"))
+    # a row for each query: hits, with their texts, stay where they are, as a query may have most of them
+    of_query = bounded(kept(of_query, "rules"))
     value = {f: F.lower(n.text_of(F.col(f))) for f in ("book", "section", "text")}
 
     def fires(r: Column) -> Column:
@@ -80,7 +83,7 @@ def rebalanced(hits: DataFrame, pool: DataFrame, asked: DataFrame, rules: DataFr
     A rule applies if the query has its intent and a preferred book stands within reach, or in pool if it rescues. The best
     such hit goes to the front; the others keep their order. hits and pool: query_id, doc_id, book, score, rank (hits).
     """
-    own = asked.join(hand_made(rules), "intent").select("query_id", "rule", "ordinal", "books", "reach", "rescue")
+    own = bounded(kept(asked.join(hand_made(rules), "intent").select("query_id", "rule", "ordinal", "books", "reach", "rescue"), "rebalancing"))
     listed = hits.select("query_id", "doc_id", "book", "score", "rank", F.lit(False).alias("rescued"))
     rest = pool.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     # what isn't listed stands behind, by score: only its best is looked for, so that it isn't numbered

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import normalise as n
 from stratum.operators import reconcile, rules, sections
+from stratum.operators.retrieval import kept
 from stratum.sources.tables import read
 
 
@@ -66,7 +67,7 @@ def adjusted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    every = _adjusted(spark, sf_dir).select("query_id", "doc_id", "book", "score")
+    every = kept(_adjusted(spark, sf_dir).select("query_id", "doc_id", "book", "score"), "adjusted")
     return rules.ranked(every, 20), every, every.select("query_id", F.col("query_id").alias("intent")).distinct()
 
 
