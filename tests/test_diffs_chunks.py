@@ -1,6 +1,7 @@
 import difflib
 import os
 import random
+import time
 
 import pytest
 
@@ -119,3 +120,32 @@ def test_chunk_rows(spark):
     got = mc.model_chunks(rows, 20, 4).collect()
     texts = dict(enumerate(DOCUMENTS)) | {None: "no id here"}
     assert all(texts[r.doc_id][r.start : r.end] == r.text for r in got) and {r.doc_id for r in got} == {k for k, t in texts.items() if t.strip()}
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_texts_of_many_edits_are_read_from_bit_rows(monkeypatch):
+    rng = random.Random(5)
+    for most in (d.ROWS_BYTES, 40):
+        monkeypatch.setattr(d, "ROWS_BYTES", most)
+        for n, kinds in ((0, 1), (1, 1), (9, 2), (64, 3), (150, 20), (200, 300)):
+            a = [rng.randrange(kinds) for _ in range(n)]
+            b = [rng.randrange(kinds) if rng.random() < 0.4 else x for x in a if rng.random() < 0.8]
+            for found in (d._by_rows(a, b), d.matches(a, b)):
+                assert len(found) == _longest(a, b) and all(a[i] == b[j] for i, j in found)
+                assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(sorted(found), sorted(found)[1:]))
+
+
+def test_long_texts_of_many_edits():
+    rng = random.Random(6)
+    a = [rng.randrange(300) for _ in range(12_000)]
+    began = time.process_time()
+    pairs = d.matches(a, [rng.randrange(300) if k % 9 == 0 else x for k, x in enumerate(a) if k % 7])
+    assert time.process_time() - began < 4 and len(pairs) > 8_000
