@@ -80,3 +80,41 @@ def test_jobs_and_jobs_that_stall(spark, tmp_path):
     assert {j: tuple(r)[:3] for j, r in last.items()} == {j: (r.stages, r.done, r.failed) for j, r in batch.items()}
     assert {j: r.status for j, r in last.items()} == {"j1": "done", "j2": "stalled", "j3": "failed", "j4": "running"}
     assert batch["j2"].status == "running" and batch["j1"].updated == at(9)
+
+
+def test_an_item_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return self
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def registerTimer(self, *_):  # noqa: N802
+            pass
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+        def containsKey(self, key):  # noqa: N802
+            calls.append("read")
+            return False
+
+        def getValue(self, key):  # noqa: N802
+            calls.append("read")
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("write")
+
+    store = s._Store()
+    store.init(Handle())
+    frame = pd.DataFrame({"item": ["a"] * 5, "at": pd.to_datetime(["2024-01-01"] * 5), "seq": range(5), "op": ["save"] * 5, "body": list("vwxyz")})
+    told = pd.concat(store.handleInputRows(("k",), iter([frame]), None))
+    assert calls == ["read", "write"] and told.body.tolist() == ["z"] and told.n_items.tolist() == [1]
