@@ -149,3 +149,11 @@ def test_long_texts_of_many_edits():
     began = time.process_time()
     pairs = d.matches(a, [rng.randrange(300) if k % 9 == 0 else x for k, x in enumerate(a) if k % 7])
     assert time.process_time() - began < 4 and len(pairs) > 8_000
+
+
+def test_a_task_takes_one_core(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    mc._vocabulary.cache_clear()
+    if os.path.exists(mc.VOCABULARY):
+        mc.Tokens(mc.VOCABULARY)
+        assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
