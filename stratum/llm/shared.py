@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.sources.tables import small_batches  # noqa: F401
+from stratum.sources.tables import reread, small_batches  # noqa: F401
 
 #: A word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,10 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor loses nothing. Its shuffle files go with it."""
+    return reread(df, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
 
 
 def quoted(name: str) -> Column:

@@ -113,3 +113,13 @@ def test_the_hash_of_an_anchor_is_that_of_its_context():
     at, h = r.anchors(data, off)
     text, bits = r.contexts(data, off, np.zeros(len(at), int), at)
     assert np.array_equal(r._hashes(text, np.full(len(at), r.WIDE, np.uint8), bits)[0], h)
+
+
+def test_shuffles_end_with_the_staged_table_they_make(spark):
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    docs = spark.createDataFrame([(i, t, None, None, 7, "clash") for i, t in corpus()], SCHEMA)
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+    marks = r.repeat_marks(docs)
+    left = [k for k in range(first + 1, spark.sparkContext._jsc.sc().newShuffleId()) if known.containsShuffle(k)]
+    # two sums of sizes, of one row a task: texts, anchors and contexts are gone
+    assert len(left) <= 2 and marks.count() > 0
