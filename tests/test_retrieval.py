@@ -55,3 +55,12 @@ def test_bm25_adds_up_where_documents_are(spark, monkeypatch):
     # scores of all queries and documents are not shuffled
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(query_id" in line and "doc_id" in line]
+
+
+def test_queries_are_compared_in_slices(spark, monkeypatch):
+    """However many queries meet a batch of vectors, few are compared with it at once, and their first hits are the same."""
+    monkeypatch.setattr(r, "QUERY_SLICE", 3)
+    vectors = spark.range(90).selectExpr("id AS vec_id", "transform(array(1, 2, 3, 5), p -> cast(sin(id * p) AS float)) AS embedding")
+    queries = vectors.selectExpr("vec_id AS query_id", "embedding AS vector")
+    own = lambda hits: sorted(tuple(x) for x in hits.select("query_id", "doc_id", "rank").collect())
+    assert own(r.cosine_top_blocks(vectors, queries, 4)) == own(r.cosine_top(vectors, queries, 4))
