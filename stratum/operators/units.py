@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK = "kind string, text string, caption string, title string, label string, items array<string>, steps array<struct<text string, substeps array<string>>>, headers array<string>, cells array<array<string>>"
 SECTION = f"heading string, path array<string>, blocks array<struct<{BLOCK}>>"
 UNITS = "array<struct<unit_id string, text string>>"
+#: What texts are trimmed of.
+SPACES = " \t\n\x0b\f\r"
 #: Which texts a kind of block has, by the name that stands in the address.
 KINDS: dict[str, tuple[tuple[str, str], ...]] = {
     "paragraph": (("paragraph", "text"),), "code": (("code.caption", "caption"),), "note": (("note.title", "title"), ("note.text", "text")), "anchor": (("anchor.label", "label"),), "table": (("table.caption", "caption"),),
@@ -86,32 +88,51 @@ def section_units(section: Column, number: Column) -> Column:
     return F.concat(head, F.coalesce(path, none), F.coalesce(blocks, none))
 
 
-def units(books: DataFrame, id: str) -> DataFrame:
-    """id, section (-1: the book itself), ordinal (within the section, from 0), unit_id, text of each text that isn't blank, trimmed."""
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
+def units(books: DataFrame, id: str, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, section (-1: the book itself), ordinal (within the section, from 0), unit_id, text of each text that isn't blank, trimmed; of all units or of those whose address is wanted."""
     title = books.select(id, F.lit(-1).alias("section"), F.lit(0).alias("ordinal"), F.lit("doc.title").alias("unit_id"), F.col("title").alias("text"))
     cut = books.select(id, F.posexplode("sections").alias("section", "own"))
-    rows = cut.select(id, "section", F.posexplode(section_units(F.col("own"), F.col("section"))).alias("ordinal", "unit"))
-    listed = title.unionByName(rows.select(id, "section", "ordinal", "unit.unit_id", "unit.text"))
-    return listed.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
+    listed = section_units(F.col("own"), F.col("section"))
+    if only is None:
+        rows = cut.select(id, "section", F.posexplode(listed).alias("ordinal", "unit"))
+    else:
+        title = title.filter(only(F.col("unit_id")))
+        # what isn't wanted goes before it is a row
+        numbered = F.filter(F.transform(listed, lambda x, k: F.struct(k.alias("ordinal"), x.alias("unit"))), lambda x: only(x["unit"]["unit_id"]))
+        rows = cut.select(id, "section", F.inline(numbered))
+    each = title.unionByName(rows.select(id, "section", "ordinal", "unit.unit_id", "unit.text"))
+    return each.filter(F.col("text").rlike(r"\S")).withColumn("text", _trimmed(F.col("text")))
 
 
 def translated(books: DataFrame, translations: DataFrame, id: str, polish: Callable[[Column], Column] = lambda x: x) -> DataFrame:
-    """books with the texts of translations (id, unit_id, text) in their places; polish is laid on every text. Columns beside id, title, sections stay."""
+    """books with the texts of translations (id, unit_id, text) in their places; polish is laid on every text. Columns beside id, title, sections stay.
+
+    A book goes once through the shuffles: its sections, and before them a part (-1) with its other columns, meet their translations and are gathered by book.
+    """
     given = translations.groupBy(F.col(id).alias("of"), "unit_id").agg(F.max("text").alias("text")).filter(r"unit_id IS NOT NULL AND text RLIKE '\\S'")
     given = given.withColumn("at", F.coalesce(F.regexp_extract("unit_id", r"^s(\d+)\.", 1).try_cast("int"), F.lit(-1)))
     # one section's translations
-    maps = given.groupBy("of", "at").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", F.regexp_replace("text", r"^\s+|\s+$", "")))).alias("known"))
+    maps = given.groupBy("of", "at").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", _trimmed(F.col("text"))))).alias("known"))
     visit = lambda name, text: polish(F.coalesce(F.element_at("known", name), text))
-    cut = books.select(id, F.posexplode("sections").alias("section", "own")).join(maps, (F.col(id) == F.col("of")) & (F.col("section") == F.col("at")), "left")
+    section, row = books.schema["sections"].dataType.elementType, F.struct(*[F.col(c) for c in books.columns if c != "sections"])
+    parts = F.concat(F.array(F.lit(None).cast(section)), F.coalesce("sections", F.array().cast(books.schema["sections"].dataType)))
+    whole = books.select(F.monotonically_increasing_id().alias("key"), F.col(id).alias("book"), row.alias("row"), F.col("sections").isNull().alias("none"), parts.alias("parts"))
+    cut = whole.select("key", "book", "row", "none", F.posexplode("parts").alias("place", "own"))
+    cut = cut.select("key", "book", (F.col("place") - 1).alias("section"), F.when(F.col("place") == 0, F.struct("row", "none")).alias("head"), "own")
+    met = cut.join(maps, (F.col("book") == F.col("of")) & (F.col("section") == F.col("at")), "left")
     prefix = _name("s", F.col("section"))
     made = F.struct(
         visit(_name(prefix, ".heading"), F.col("own.heading")).alias("heading"), _each(F.col("own.path"), _name(prefix, ".path"), visit).alias("path"), F.transform("own.blocks", lambda b, k: _visited_block(_name(prefix, ".b", k), b, visit)).alias("blocks")
     )
-    nested = cut.select(F.col(id).alias("unit_book"), "section", made.alias("made")).groupBy("unit_book").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "made"))), lambda x: x["made"]).alias("unit_made"))
-    titles = maps.filter("at = -1").select(F.col("of").alias("unit_titled"), F.element_at("known", "doc.title").alias("unit_title"))
-    out = books.join(nested, F.col(id) == F.col("unit_book"), "left").join(titles, F.col(id) == F.col("unit_titled"), "left")
-    shown = {"title": polish(F.coalesce("unit_title", "title")), "sections": F.coalesce("unit_made", "sections")}
-    return out.select(*[shown.get(c, F.col(c)).alias(c) for c in books.columns])
+    head = F.when(F.col("section") < 0, F.struct("head.row", "head.none", F.element_at("known", "doc.title").alias("title")))
+    own = met.select("key", head.alias("head"), F.when(F.col("section") >= 0, F.struct("section", made.alias("made"))).alias("own"))
+    out = own.groupBy("key").agg(F.max_by("head", F.col("head").isNotNull()).alias("head"), F.transform(F.array_sort(F.collect_list("own")), lambda x: x["made"]).alias("made"))
+    shown = {"title": polish(F.coalesce("head.title", "head.row.title")), "sections": F.when(~F.col("head.none"), F.col("made"))}
+    return out.select(*[shown.get(c, F.col("head.row").getField(c)).alias(c) for c in books.columns])
 
 
 # where a translation stands

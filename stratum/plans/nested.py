@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import payloads as p
@@ -19,12 +19,17 @@ def _block(**of):
     return F.struct(*[of.get(k, F.lit(None)).cast(_TYPES.get(k, "string")).alias(k) for k in _BLANK])
 
 
+def _capitals(text: Column) -> Column:
+    """a-z as A-Z; a text of ASCII alone is raised as a whole."""
+    return F.when(F.octet_length(text) == F.length(text), F.upper(text)).otherwise(F.translate(text, ascii_lowercase, ascii_uppercase))
+
+
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document as a book: a section for each line, a block for each sentence of it: in turn a paragraph, a note, a list of steps, and a row of cells."""
 
     def block(s, k):
         words = F.split(s, " ", -1)
-        steps = F.transform(F.split(s, ", ", -1), lambda x: F.struct(x.alias("text"), F.array(F.translate(x, ascii_lowercase, ascii_uppercase)).alias("substeps")))
+        steps = F.transform(F.split(s, ", ", -1), lambda x: F.struct(x.alias("text"), F.array(_capitals(x)).alias("substeps")))
         kinds = [_block(kind=F.lit("paragraph"), text=s), _block(kind=F.lit("note"), title=F.lit("Note"), text=s), _block(kind=F.lit("procedure"), steps=steps), _block(kind=F.lit("table"), headers=F.array(F.lit("A"), F.lit("B")), cells=F.array(words))]
         return F.when(k % 4 == 0, kinds[0]).when(k % 4 == 1, kinds[1]).when(k % 4 == 2, kinds[2]).otherwise(kinds[3])
 
@@ -34,7 +39,7 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document and kind of unit: how many there are, their characters, and the least address."""
-    kind = F.regexp_replace(F.regexp_replace("unit_id", r"^s\d+\.(?:b\d+\.)?", ""), r"\.\d+(?:\.\d+)?(?=\.|$)", "")
+    kind = F.regexp_replace("unit_id", r"^s\d+\.(?:b\d+\.)?|\.\d+(?:\.\d+)?(?=\.|$)", "")
     rows = u.units(_books(spark, sf_dir), "doc_id").withColumn("kind", kind)
     return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.min("unit_id").alias("first_id"))
 
@@ -42,7 +47,8 @@ def translation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translated_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second paragraph, and all titles, in capitals: the books as one text again."""
     books = _books(spark, sf_dir)
-    given = u.units(books, "doc_id").filter(r"unit_id = 'doc.title' OR unit_id RLIKE 'b\\d*[048]\\.paragraph$'").select("doc_id", "unit_id", F.translate("text", ascii_lowercase, ascii_uppercase).alias("text"))
+    wanted = lambda x: (x == "doc.title") | (x.endswith(".paragraph") & x.rlike(r"b\d*[048]\.paragraph$"))
+    given = u.units(books, "doc_id", wanted).select("doc_id", "unit_id", _capitals(F.col("text")).alias("text"))
     done = u.translated(books, given, "doc_id")
     text = lambda b: F.coalesce(b["text"], F.array_join(F.transform(b["steps"], lambda s: s["text"]), ", "), F.array_join(b["cells"][0], " "))
     lines = F.transform("sections", lambda s: F.array_join(F.transform(s["blocks"], text), ". "))

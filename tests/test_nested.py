@@ -101,3 +101,14 @@ def test_ids_and_links(spark):
     nodes = payloads(spark, [{"draft_id": " d1::x ", "deep": [{"href": "/packs/d2/a", "n": {"draft_id": 7}}, "see", "/packs/d3/"], "selected": ["d4::q", "", None, {"selected": "d9"}], "x": None}, {"draft_id": None}, "/packs/d5/", None])
     got = p.linked_ids(nodes, ["draft_id"], ["selected"], [r"^/packs/([^/]+)/", r"[?&]draft_id=([^&]+)"]).collect()
     assert {(r.id, r.found) for r in got} == {(0, "d1"), (0, "d2"), (0, "7"), (0, "d3"), (0, "d4"), (2, "d5")}
+
+
+def test_wanted_units_keep_their_ordinals_and_a_line_separator_is_no_blank(spark):
+    """The space before a line separator at the end stays, as in SQL; units that aren't wanted are no rows."""
+    block = "array(named_struct('kind', 'paragraph', 'text', ' a \\u2028', 'caption', cast(null AS string), 'title', cast(null AS string), 'label', cast(null AS string), 'items', cast(null AS array<string>), 'steps', cast(null AS array<struct<text string, substeps array<string>>>), 'headers', cast(null AS array<string>), 'cells', cast(null AS array<array<string>>)))"
+    books = spark.sql(f"SELECT id, 't' AS title, array(named_struct('heading', 'h', 'path', array('p', 'q'), 'blocks', {block})) AS sections FROM VALUES (1L), (cast(null AS bigint)), (1L) AS v(id)")
+    got = [tuple(x) for x in u.units(books.filter("id = 1").limit(1), "id", lambda x: x.endswith(".paragraph")).collect()]
+    assert got == [(1, 0, 3, "s0.b0.paragraph", "a \u2028")]
+    # rows of one id, and those without an id, stay books of their own
+    done = u.translated(books, spark.createDataFrame([(1, "s0.heading", "H"), (1, "doc.title", "T")], "id long, unit_id string, text string"), "id").selectExpr("id", "title", "size(sections) AS n", "sections[0].heading AS heading").collect()
+    assert sorted(map(tuple, done), key=str) == [(1, "T", 1, "H"), (1, "T", 1, "H"), (None, "t", 1, "h")]
