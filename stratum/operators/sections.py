@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import normalise as n
+from stratum.operators.retrieval import kept
 
 #: Elements that hold the content, best first, and elements that hold none.
 ROOTS = ("article", "main", "body")
@@ -134,6 +135,8 @@ def sections(docs: DataFrame, id: str, marked: Column, title: Column) -> DataFra
     body = F.when(F.col("pos") == 0, F.col("part")).otherwise(F.regexp_extract("part", rf"(?s){_BODY}(.*)$", 1))
     heading = n.clean_heading(F.regexp_extract("part", rf"(?s){_TITLE}(.*?){_BODY}", 1))
     rows = cut.select(id, "title", "pos", F.when(digit != "", digit.cast("int")).otherwise(F.coalesce(level, F.lit(1))).alias("level"), heading.alias("heading"), n.prose_around_fences(body).alias("text"))
+    # preambles and the other sections both read these rows: pages are marked up and cut once
+    rows = kept(rows, "sections")
     before = Window.partitionBy(id).orderBy("pos")
     seen = rows
     for k in range(2, LEVELS + 1):
@@ -146,10 +149,10 @@ def sections(docs: DataFrame, id: str, marked: Column, title: Column) -> DataFra
     intro = seen.filter("level = 1").groupBy(id).agg(F.min("pos").alias("pos"), F.first("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n").alias("text"))
     intro = intro.select(id, F.lit(-1).alias("pos"), F.lit(1).alias("level"), F.col("title").alias("heading"), F.lit("overview").alias("anchor"), F.array("title").alias("section_path"), "text")
     deeper = seen.filter("level > 1").select(id, "pos", "level", "heading", F.replace(F.lower("heading"), F.lit(" "), F.lit("-")).alias("anchor"), path.alias("section_path"), "text")
-    kept = intro.unionByName(deeper).filter((F.col("text") != "") & ~F.col("heading").rlike(NOISE_HEADINGS))
+    filled = intro.unionByName(deeper).filter((F.col("text") != "") & ~F.col("heading").rlike(NOISE_HEADINGS))
     anchor = F.when(F.trim("anchor") == "", "section").otherwise(F.trim("anchor"))
     nth = F.row_number().over(Window.partitionBy(id, "anchor").orderBy("pos"))
-    named = kept.withColumn("anchor", anchor).withColumn("nth", nth).withColumn("anchor", F.when(F.col("nth") > 1, F.concat_ws("-", "anchor", F.col("nth").cast("string"))).otherwise(F.col("anchor")))
+    named = filled.withColumn("anchor", anchor).withColumn("nth", nth).withColumn("anchor", F.when(F.col("nth") > 1, F.concat_ws("-", "anchor", F.col("nth").cast("string"))).otherwise(F.col("anchor")))
     return named.select(id, F.row_number().over(Window.partitionBy(id).orderBy("pos")).alias("ordinal"), "level", "heading", "anchor", "section_path", "text")
 
 

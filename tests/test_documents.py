@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from stratum.functions import text as t
-from stratum.operators import chunks, upserts
+from stratum.operators import chunks, sections, upserts
 from stratum.sources import sinks, tables
 
 WORDS = lambda n: " ".join(["w"] * n)
@@ -131,3 +131,12 @@ def test_several_and_nested_articles_and_references(spark):
     texts = {"caf&#233; &#x2014; &#X1F600; &lt;&amp;lt;": "café — 😀 <&lt;", "&#0; &#xD800; &#9999999; &#; &#x;": "&#0; &#xD800; &#9999999; &#; &#x;", None: None}
     got = spark.createDataFrame([(k,) for k in texts], "t string").select(sections.unescaped(F.col("t")).alias("u")).collect()
     assert [r.u for r in got] == list(texts.values())
+
+
+def test_pages_are_cut_into_sections_once(spark):
+    """Preambles and the other sections read one staged table, none marks the pages up again."""
+    pages = spark.createDataFrame([(1, "<article><h1>T</h1><p>a</p><h2>B</h2><p>b</p></article>")], "page_id long, html string")
+    out = sections.sections(pages, "page_id", sections.marked_text(F.col("html")), sections.page_title(F.col("html")))
+    files = out.inputFiles()
+    assert files and all("/sections-" in f for f in files)
+    assert [(x.ordinal, x.heading, x.text) for x in out.orderBy("ordinal").collect()] == [(1, "T", "a"), (2, "B", "b")]
