@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, "\u212a\u0130", "  ")), F.lit(LOWER_TOKEN), F.lit(0))
 
 
+_ASCII = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-", np.uint8)
+_KIND = np.zeros(256, np.uint8)
+_KIND[_ASCII] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def token_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same tokens inside a task: those of all texts (null: none) one after the other, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    if off[0] == off[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off -= off[0]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    kind = _KIND[data]
+    # Hangul syllables take three bytes, EA B0 80 to ED 9E A3
+    at = np.flatnonzero((data >= 0xEA) & (data <= 0xED))
+    at = at[at < len(data) - 2]
+    if len(at):
+        second, third = data[at + 1], data[at + 2]
+        code = ((data[at] & 15).astype(np.int32) << 12) | ((second & 63).astype(np.int32) << 6) | (third & 63)
+        at = at[(second >> 6 == 2) & (third >> 6 == 2) & (code >= 0xAC00) & (code <= 0xD7A3) & ~edge[at + 1] & ~edge[at + 2]]
+        for k in range(3):
+            kind[at + k] = 2
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(edge)  # the last one is the end
+    own = kind[runs[:-1]] > 0
+    starts, lengths = runs[:-1][own], np.diff(runs)[own]
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    found = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(_LOWER[data[kind > 0]]))
+    return found, np.diff(np.searchsorted(starts, off))
+
+
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -2,7 +2,7 @@
 
 An index has a row for each block of some BLOCK documents of like length and each term in it, so that no row grows with
 the corpus: which documents have the term and how often, the most that stands in one, and the least length. It is made
-where the documents are, without a shuffle. From the last two numbers comes a bound of what the term adds to a score in
+where the documents are, without a shuffle; one that is made for given queries has their terms alone. From the last two numbers comes a bound of what the term adds to a score in
 that block; a search adds up the bounds of each block, reads the postings of the block that promises most, and then those
 of the blocks alone whose bound reaches the kth score found there. So it gives what scoring all documents would.
 
@@ -24,18 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.text import tokens
+from stratum.functions.text import token_arrays
 from stratum.operators.retrieval import DIGITS, K1, RRF_K, B, bounded, kept
 
 #: Documents of a block.
 BLOCK = 512
 #: Sub-queries that meet a block in one group, about.
 TOGETHER = 4096
+#: Terms of sub-queries that are added up at once, each as a row of a block's documents.
+ADDED = 4096
 INDEX = "block long, term string, ids array<long>, counts array<int>, most int, least int"
 
 
 def _blocks(size: int):
-    """doc_id, n, terms -> INDEX rows: a block's documents and lengths under the null term, then each term's places and counts."""
+    """doc_id, text -> INDEX rows: a block's documents and lengths under the null term, then each term's places and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get(), 0
@@ -43,10 +45,10 @@ def _blocks(size: int):
             for at in range(0, len(b), size):
                 part = b.slice(at, size)
                 block, number = ((task.partitionId() if task else 0) << 32) + number, number + 1
-                docs, lengths = part.column("doc_id").to_numpy(), part.column("n").to_numpy()
-                lists = part.column("terms")
-                coded = lists.flatten().dictionary_encode()
-                place = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                docs = part.column("doc_id").to_numpy()
+                found, lengths = token_arrays(part.column("text"))
+                coded = found.dictionary_encode()
+                place = np.repeat(np.arange(len(part)), lengths)
                 code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 pairs, counts = np.unique(code * size + place, return_counts=True)
                 term, place = pairs // size, pairs % size
@@ -61,11 +63,14 @@ def _blocks(size: int):
     return run
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """INDEX rows of docs (doc_id, text), staged. Documents of a task are put in the order of their lengths first."""
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
-    rows = rows.select("doc_id", F.size("terms").alias("n"), "terms").sortWithinPartitions("n", "doc_id")
-    return kept(rows.mapInArrow(_blocks(BLOCK), INDEX), "postings")
+def index(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """INDEX rows of docs (doc_id, text), staged; given queries (terms), of those terms alone that they ask for. Documents of a task are put in the order of their lengths first."""
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = rows.sortWithinPartitions(F.octet_length("text"), "doc_id").mapInArrow(_blocks(BLOCK), INDEX)
+    if queries is not None:
+        asked = queries.select(F.explode("terms").alias("asked")).filter("asked IS NOT NULL").distinct()
+        made = made.join(bounded(asked), F.col("term") == F.col("asked"), "left").filter("term IS NULL OR asked IS NOT NULL").drop("asked")
+    return kept(made, "postings")
 
 
 def weights(postings: DataFrame, asked: DataFrame) -> DataFrame:
@@ -85,39 +90,62 @@ def block_bounds(postings: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _scored(k: int):
     def run(postings: pa.Table, wanted: pa.Table) -> pa.Table:
-        found = [[], [], [], []]
-        postings = postings.combine_chunks()
-        terms = postings.column("term").to_pylist()
-        if wanted.num_rows and None in terms:
-            lists = postings.column("ids").combine_chunks() if postings.num_rows else None
-            ids, counts, off = lists.values.to_numpy(), postings.column("counts").combine_chunks().values.to_numpy(), lists.offsets.to_numpy()
-            row_of = {t: i for i, t in enumerate(terms)}
-            own = lambda values, i: values[off[i] : off[i + 1]]
-            docs, lengths = own(ids, row_of[None]), own(counts, row_of[None])
-            for q in wanted.to_pylist():
-                score = np.zeros(len(docs))
-                for t in q["terms"]:
-                    if (i := row_of.get(t["term"])) is not None:
-                        place, tf = own(ids, i), own(counts, i)
-                        score[place] += t["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[place] / t["mean"]))
-                score = np.floor(score * 10**DIGITS + 0.5) / 10**DIGITS
-                at = np.flatnonzero((score > 0) & (score >= q["least"]))
-                at = at[np.lexsort((docs[at], -score[at]))[:k]]
-                for column, values in zip(found, (np.full(len(at), q["query_id"]), np.full(len(at), q["sub"]), docs[at], score[at])):
-                    column.append(values)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(found, types)], names=["query_id", "sub", "doc_id", "score"])
+        names, types = ("query_id", "sub", "doc_id", "score"), (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        terms = postings.column("term").combine_chunks()
+        base = pc.index(terms.is_null(), True).as_py()
+        if not wanted.num_rows or base < 0:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        # each posting's part of a score is made once a block, whatever number of queries asks for it
+        lists = postings.column("ids").combine_chunks()
+        place, tf, off = lists.values.to_numpy().copy(), postings.column("counts").combine_chunks().values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        docs, lengths = place[off[base] : off[base + 1]].copy(), tf[off[base] : off[base + 1]]
+        place[off[base] : off[base + 1]] = 0
+        size = np.diff(off)
+        idf, mean = (np.repeat(postings.column(c).fill_null(1.0).to_numpy(), size) for c in ("idf", "mean"))
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[place] / mean))
+
+        asked = wanted.column("terms").combine_chunks()
+        row = pc.index_in(asked.flatten(), terms)
+        owner = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())[row.is_valid().to_numpy(zero_copy_only=False)]
+        row = row.drop_null().to_numpy().astype(np.int64)
+        score = np.zeros((len(asked), len(docs)))
+        for at in range(0, len(row), ADDED):
+            own, mine = row[at : at + ADDED], owner[at : at + ADDED]
+            some, line = np.unique(own, return_inverse=True)
+            n = size[some]
+            of = np.repeat(np.arange(len(some)), n)
+            source = np.arange(len(of)) + (off[some] - np.cumsum(n) + n)[of]
+            dense = np.zeros((len(some), len(docs)))
+            dense[of, place[source]] = part[source]
+            edges = np.flatnonzero(np.diff(mine, prepend=-1, append=len(asked)))
+            for i, j in zip(edges[:-1], edges[1:]):
+                score[mine[i]] += dense[line[i:j]].sum(axis=0)
+        score *= 10**DIGITS
+        score += 0.5
+        np.floor(score, out=score)
+        score /= 10**DIGITS
+
+        least = wanted.column("least").to_numpy()[:, None]
+        if len(docs) > k:
+            least = np.maximum(least, np.partition(score, len(docs) - k, axis=1)[:, [len(docs) - k]])
+        q, d = np.nonzero((score > 0) & (score >= least))
+        order = np.lexsort((docs[d], -score[q, d], q))
+        q, d = q[order], d[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, d = q[first], d[first]
+        found = (wanted.column("query_id").to_numpy()[q], wanted.column("sub").to_numpy()[q], docs[d], score[q, d])
+        return pa.table([pa.array(c, t) for c, t in zip(found, types)], names=names)
 
     return run
 
 
 def _hits(postings: DataFrame, wanted: DataFrame, k: int, groups: int) -> DataFrame:
-    """The k best of each block of wanted (query_id, sub, block, least, terms)."""
+    """The k best of each block of wanted (query_id, sub, block, least, terms). postings: block, term, ids, counts, idf, mean."""
     part = F.pmod(F.xxhash64("query_id", "sub"), F.lit(groups)).cast("int")
     wanted = wanted.withColumn("part", part)
     blocks = wanted.select("block", "part").distinct().select(F.col("block").alias("of"), F.col("part").alias("for"))
     # each block's rows: its documents, and its terms that are asked for at all
-    rows = postings.join(blocks, F.col("block") == F.col("of")).select("block", F.col("for").alias("part"), "term", "ids", "counts")
+    rows = postings.join(blocks, F.col("block") == F.col("of")).select("block", F.col("for").alias("part"), "term", "ids", "counts", "idf", "mean")
     return rows.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(_scored(k), "query_id long, sub long, doc_id long, score double")
 
 
@@ -127,11 +155,13 @@ def _first(rows: DataFrame, k: int) -> DataFrame:
 
 
 def plan_blocks(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of queries (query_id, sub, terms): their weighted terms as lists, the bounds of their blocks, and the postings of asked terms. Staged."""
+    """Of queries (query_id, sub, terms): their terms as lists, the bounds of their blocks, and the weighted postings of asked terms. Staged."""
     asked = queries.select("query_id", "sub", F.explode(F.array_distinct("terms")).alias("term")).filter("term IS NOT NULL AND query_id IS NOT NULL").distinct()
-    asked = kept(asked.join(weights(postings, asked), "term"), "asked")
-    lists = asked.groupBy("query_id", "sub").agg(F.sort_array(F.collect_list(F.struct("term", "idf", "mean"))).alias("terms"))
-    only = postings.join(bounded(asked.select("term").distinct()), "term", "left_semi").unionByName(postings.filter("term IS NULL"))
+    weighted = kept(weights(postings, asked), "weights")
+    asked = kept(asked.join(bounded(weighted), "term"), "asked")
+    lists = asked.groupBy("query_id", "sub").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    none = F.lit(None).cast("double")
+    only = postings.join(bounded(weighted), "term").unionByName(postings.filter("term IS NULL").withColumns({"idf": none, "mean": none}))
     return lists, kept(block_bounds(postings, asked), "bounds"), only
 
 

@@ -35,7 +35,8 @@ def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     plans = _plans(spark, sf_dir)
     books = docs.select("doc_id", F.col("source").alias("book"))
-    hits = s.search(s.index(docs), rt.part_queries(plans), rt.WIDE).join(books, "doc_id")
+    parts = rt.part_queries(plans)
+    hits = s.search(s.index(docs, parts), parts, rt.WIDE).join(books, "doc_id")
     words = r.kept(rt.within_budget(s.multi_search(rt.within_budget(hits, plans), None, rt.WIDE), plans), "words")
     asked = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(plans.select("query_id"), "query_id", "left_semi")
     near = r.kept(rt.within_budget(r.cosine_top_blocks(vectors, asked, rt.WIDE), plans).join(books, "doc_id"), "near")

@@ -21,7 +21,7 @@ DRAFTS = 20
 def bm25_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each item, by bounds of blocks: the rows of bm25_batch_all."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).cast("long").alias("sub"), tokens(F.col("text")).alias("terms"))
-    return s.search(s.index(read(spark, sf_dir, "documents")), items, 10).drop("sub")
+    return s.search(s.index(read(spark, sf_dir, "documents"), items), items, 10).drop("sub")
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentence_hits(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    hits = s.search(s.index(docs), _sentences(spark, sf_dir), 20)
+    sentences = _sentences(spark, sf_dir)
+    hits = s.search(s.index(docs, sentences), sentences, 20)
     return hits.join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")
 
 
