@@ -7,6 +7,7 @@ The full graph and the compact one are made of the same edges, which are checked
 
 What books share over all kinds (`related`) is made in rounds of some of the books: lists of a signal's books go to each of
 them, are counted there and leave as what is asked (the first few, or their number), so that disk holds one round's lists.
+Books are numbered in the order of their names, so that lists are arrays of numbers, which a task sorts and counts at once.
 
 Defined results: blank and null signals, books and chunks are left out; a chunk that has a signal twice has it once; a
 signal of one chunk is no hyperedge, one within a single book makes no pair; books are compared by their names as they are.
@@ -14,9 +15,12 @@ signal of one chunk is no hyperedge, one within a single book makes no pair; boo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,9 @@ from stratum.operators.retrieval import bounded, kept
 #: Books of a signal that one task pairs with as many others at most, about.
 BLOCK = 512
 #: Entries of lists that a round deals at least, and for each book of a signal; and those of one task, about.
-ROUND, ROUND_SHARE, TASK = 1 << 25, 2, 1 << 20
+ROUND, ROUND_SHARE, TASK = 1 << 25, 4, 1 << 20
+#: Rows that Python looks at at once, at least.
+ROWS = 1 << 15
 
 
 def chunk_signals(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -56,56 +62,255 @@ def book_pairs(signals: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.groupBy("a", "b", "kind").agg(F.count("*").alias("shared"), F.sum(F.col("n_a") + F.col("n_b")).alias("chunks"))
 
 
-def numbered(signals: DataFrame) -> DataFrame:
-    """id, book: the books that signals name, numbered in the order of their names."""
-    return kept(signals.select("book").distinct().orderBy("book").select(F.monotonically_increasing_id().alias("id"), "book"), "graph-ids")
+def _numbered(rows: DataFrame, ordered: bool = True) -> DataFrame:
+    """rows with id: the numbers of their books, if ordered in the order of the names. A book's rows are in one task, sorted and spilled like any rows."""
+    placed = (rows.repartitionByRange("book") if ordered else rows.repartition("book")).sortWithinPartitions("book").withColumn("row", F.monotonically_increasing_id())
+    return placed.withColumn("id", F.min("row").over(Window.partitionBy("book"))).drop("row")
+
+
+def _value(told: Column) -> Column:
+    """`signal`, by its pattern only where there is white space beside single spaces."""
+    rare = reduce(Column.__or__, [F.contains(told, F.lit(x)) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r")])
+    return F.when(rare, signal(told)).otherwise(F.lower(F.trim(told)))
+
+
+def numbered_signals(chunks: DataFrame, fields: dict[str, str], ordered: bool = True) -> DataFrame:
+    """id, book, chunk, kind, value of each signal of each chunk, with the books' numbers: one shuffle, of the chunks. Where a chunk has a signal twice its row may come twice; what counts them counts it once."""
+    told = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("told"))
+    each = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), told(k)) for k, c in fields.items()]
+    rows = _numbered(chunks.filter("book <> '' AND chunk IS NOT NULL").select("book", "chunk", *dict.fromkeys(fields.values())), ordered)
+    # a value is made plain beside the explode: inside an array's lambda it would be interpreted
+    own = rows.select("id", "book", "chunk", F.inline(F.concat(*each))).select("id", "book", "chunk", "kind", _value(F.col("told")).alias("value"))
+    return own.filter("value <> ''")
 
 
-def _listed(signals: DataFrame, ids: DataFrame, block: int) -> DataFrame:
-    """kind, value, blocks, books (numbers): the books of each signal, a signal of more than `block` rows in several lists."""
-    hot = kept(signals.groupBy("kind", "value").agg(F.ceil(F.count("*") / block).alias("n")).filter("n > 1"), "graph-hot")
-    rows = signals.select("kind", "value", "book").join(bounded(ids), "book").join(bounded(hot), ["kind", "value"], "left").withColumn("blocks", F.coalesce("n", F.lit(1)))
-    return kept(rows.groupBy("kind", "value", "blocks", F.pmod("id", "blocks").alias("part")).agg(F.collect_set("id").alias("books")).filter("blocks > 1 OR size(books) > 1"), "graph-lists")
+def numbered(signals: DataFrame) -> DataFrame:
+    """id, book, chunk, kind, value: signals with the numbers of their books, in the order of the names; those that have them stay as they are."""
+    if "id" in signals.columns:
+        return signals
+    return kept(_numbered(signals.select("book", "chunk", "kind", "value")), "graph-ids")
+
+
+def _runs(batches: Iterable[pa.RecordBatch], key: str, once: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows again, in tables that end where a run of equal keys does, and where each run starts. Of a run that grows long, rows with the same once may be left out but one."""
+    held, n, most = [], 0, ROWS
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= most:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = t[key].to_numpy()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            if len(starts) > 1:
+                yield t.slice(0, starts[-1]).combine_chunks(), starts[:-1]
+            rest = t.slice(starts[-1])
+            if rest.num_rows >= ROWS:
+                rest = rest.append_column("first", pa.array(np.arange(rest.num_rows)))
+                rest = rest.take(rest.group_by(list(once)).aggregate([("first", "min")])["first_min"]).drop_columns("first")
+            held = rest.combine_chunks().to_batches()
+            n = rest.num_rows
+            most = max(ROWS, 2 * n)
+    if n:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = t[key].to_numpy()
+        yield t, np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a list of the numbers of a signal's books, sorted, and of how many chunks have it. Rows come by a hash of the signal and part, which several signals may have."""
+    for t, starts in _runs(batches, "h", ("signal", "id", "chunk")):
+        ids, chunks, names = t["id"].to_numpy(), t["chunk"].to_numpy(), t["signal"].chunk(0)
+        run = np.zeros(t.num_rows, np.int64)
+        run[starts[1:]] = 1
+        run = np.cumsum(run)
+        if (pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False) & (run[1:] == run[:-1])).any():
+            codes = names.dictionary_encode().indices.to_numpy()
+            run = np.unique(run * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        order = np.lexsort((chunks, ids, run))
+        run, ids, chunks = run[order], ids[order], chunks[order]
+        start = np.append(True, run[1:] != run[:-1])
+        book = start | np.append(True, ids[1:] != ids[:-1])
+        pair = book | np.append(True, chunks[1:] != chunks[:-1])
+        starts = np.flatnonzero(start)
+        ends = np.append(np.cumsum(book)[starts] - 1, book.sum()).astype(np.int32)
+        own = t.select(["signal", "blocks"]).take(pa.array(order[starts])).combine_chunks()
+        yield pa.record_batch([*(c.chunk(0) for c in own.columns), pa.array(np.add.reduceat(pair.astype(np.int64), starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[book]))], names=["signal", "blocks", "chunks", "books"])
+
+
+def _listed(signals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """signal, blocks, chunks (how many), books (numbers, sorted): the books of each signal that two chunks have, a signal of more than `block` rows in several lists."""
+    keyed = signals.select(F.xxhash64("kind", "value").alias("h"), F.concat("kind", F.lit("\0"), "value").alias("signal"), "id", "chunk")
+    hot = kept(keyed.groupBy("h").agg(F.ceil(F.count("*") / block).alias("n")).filter("n > 1"), "graph-hot")
+    rows = keyed.join(bounded(hot), "h", "left").withColumn("blocks", F.coalesce("n", F.lit(1)).cast("long"))
+    # sorted by one number: signals that have the same are told apart in the task
+    dealt = rows.select(F.xxhash64("h", F.pmod(F.xxhash64("id"), "blocks")).alias("h"), "signal", "id", "chunk", "blocks").repartition("h").sortWithinPartitions("h")
+    return kept(dealt.mapInArrow(_lists, "signal string, blocks long, chunks long, books array<long>").filter("blocks > 1 OR chunks > 1"), "graph-lists")
 
 
 def related(signals: DataFrame, ids: DataFrame, block: int = BLOCK, entries: int = ROUND, both: bool = True) -> Iterator[DataFrame]:
-    """id, other, weight: how many signals two books share, both ways or from the lesser number alone; each table is a round and has all of its books' rows."""
-    lists = _listed(signals, ids, block)
+    """id, others: lists of books that share a signal with the book of that number, itself included, or (not both) at least those of greater numbers.
+
+    ids: `numbered` of signals. Each table is a round and has all lists of its books, each book's in one task, sorted by id.
+    """
+    return _dealt(_listed(ids, block), entries, both)
+
+
+def _dealt(listed: DataFrame, entries: int, both: bool) -> Iterator[DataFrame]:
     size = F.size("books").cast("long")
-    by = lists.groupBy(F.when(F.col("blocks") > 1, F.struct("kind", "value")).alias("hot")).agg(F.sum(size).alias("n"), F.sum(size * size).alias("squares"))
-    total, members, hot = by.agg(F.coalesce(F.sum(F.when(F.col("hot").isNull(), F.col("squares")).otherwise(F.col("n") * F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("hot")).first()
+    lists = listed.filter("blocks > 1 OR size(books) > 1")
+    own = size * size if both else (size * (size - 1) / 2).cast("long")
+    by = lists.groupBy(F.when(F.col("blocks") > 1, F.col("signal")).alias("hot")).agg(F.sum(size).alias("n"), F.sum(own).alias("own"))
+    total, members, hot = by.agg(F.coalesce(F.sum(F.when(F.col("hot").isNull(), F.col("own")).otherwise(F.col("n") * F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("hot")).first()
     rounds = max(1, -(-total // max(entries, ROUND_SHARE * members)))
     tasks = max(1, -(-total // rounds // TASK))
     for k in range(rounds):
-        own = F.filter("books", lambda b: F.pmod(b, F.lit(rounds)) == k).alias("own")  # noqa: B023
-        met = lists.filter("blocks = 1").select(own, F.col("books").alias("others"))
+        mine = F.pmod(F.xxhash64("id"), F.lit(rounds)) == k
+        met = lists.filter("blocks = 1").select(F.posexplode("books").alias("at", "id"), "books").filter(mine)
+        if not both:  # lists are sorted
+            met = met.filter(F.col("at") + 1 < F.size("books")).withColumn("books", F.slice("books", F.col("at") + 2, F.size("books")))
+        met = met.select("id", F.col("books").alias("others"))
         if hot:
             many = lists.filter("blocks > 1")
-            met = met.unionByName(many.select("kind", "value", own).join(many.select("kind", "value", F.col("books").alias("others")), ["kind", "value"]).select("own", "others"))
-        dealt = met.select(F.explode("own").alias("id"), "others").repartition(tasks, "id")
-        pairs = dealt.select("id", F.explode("others").alias("other")).filter("id <> other" if both else "id < other")
-        yield pairs.groupBy("id", "other").agg(F.count("*").alias("weight"))
+            met = met.unionByName(many.select("signal", F.col("books").alias("own")).join(many.select("signal", F.col("books").alias("others")), "signal").select(F.explode("own").alias("id"), "others").filter(mine))
+        yield met.repartition(tasks, "id").sortWithinPartitions("id")
+
+
+def _weighed(batches: Iterable[pa.RecordBatch], span: int = TASK) -> Iterator[tuple[np.ndarray, ...]]:
+    """own, at, other, weight of whole books: in how many lists of own[at] the other is, by at and other. Rows come by id; about span entries are counted at once, and a book of more bit by bit."""
+
+    def counted(ids: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
+        new = np.append(True, ids[1:] != ids[:-1])
+        own, at = ids[new], np.repeat(np.cumsum(new) - 1, sizes)
+        bits = int(others.max(initial=0)).bit_length()
+        if bits + len(own).bit_length() < 64:
+            key = (at << bits) | others
+            key.sort()
+            at, others = key >> bits, key & ((1 << bits) - 1)
+        else:
+            order = np.lexsort((others, at))
+            at, others = at[order], others[order]
+        starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (others[1:] != others[:-1]))[: len(at)])
+        return own, at[starts], others[starts], np.diff(np.append(starts, len(at)))
+
+    def merged(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+        """What left, a single book, and right say, where both may be of the same book."""
+        if left[0][0] != right[0][0]:
+            yield left
+            yield right
+            return
+        n = np.searchsorted(right[1], 1)
+        other, back = np.unique(np.append(left[2], right[2][:n]), return_inverse=True)
+        weight = np.bincount(back, np.append(left[3], right[3][:n])).astype(np.int64)
+        yield right[0], np.append(np.zeros(len(other), np.int64), right[1][n:]), np.append(other, right[2][n:]), np.append(weight, right[3][n:])
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                lists = b.column("others")
+                held.append((b.column("id").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+                n += len(held[-1][2])
+            if n >= span:
+                yield counted(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield counted(*(np.concatenate(x) for x in zip(*held)))
+
+    last = None
+    for part in parts():
+        for whole in merged(last, part) if last else (part,):
+            own, at, other, weight = whole
+            n = np.searchsorted(at, len(own) - 1)
+            if len(own) > 1:
+                yield own[:-1], at[:n], other[:n], weight[:n]
+            if last is not None and whole is last:
+                yield last
+            last = own[-1:], at[n:] - len(own) + 1, other[n:], weight[n:]
+    if last:
+        yield last
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs of a book and one of a greater number there are."""
+    n = sum(int((other > own[at]).sum()) for own, at, other, _ in _weighed(batches))
+    yield pa.record_batch([pa.array([n])], names=["n"])
 
 
 def related_count(signals: DataFrame, block: int = BLOCK, entries: int = ROUND) -> DataFrame:
     """measure, n: how many edges between books the full graph has."""
-    counts = [kept(pairs.agg(F.count("*").alias("n")), "graph-count") for pairs in related(signals, numbered(signals), block, entries, both=False)]
-    return reduce(DataFrame.unionByName, counts).agg(F.lit("edges:related").alias("measure"), F.sum("n").alias("n"))
+    return _pair_count(_listed(numbered(signals), block), entries)
+
+
+def _pair_count(lists: DataFrame, entries: int = ROUND) -> DataFrame:
+    counts = [kept(dealt.mapInArrow(_later, "n long"), "graph-count") for dealt in _dealt(lists, entries, both=False)]
+    return reduce(DataFrame.unionByName, counts).agg(F.lit("edges:related").alias("measure"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def _first(top: int):
+    """id, place, other, weight: of each book the `top` others of most weight, equal ones by their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, at, other, weight in _weighed(batches):
+            there = other != own[at]
+            at, other, weight = at[there], other[there], weight[there]
+            # others come in their order: of those with a weight of one, a book's first `top` are enough
+            ones = np.append(0, np.cumsum(weight == 1))
+            nth = ones[1:] - ones[np.searchsorted(at, at)]
+            some = (weight > 1) | (nth <= top)
+            at, other, weight = at[some], other[some], weight[some]
+            order = np.lexsort((other, -weight, at))
+            at, other, weight = at[order], other[order], weight[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at) + 1
+            some = place <= top
+            yield pa.record_batch([pa.array(x[some]) for x in (own[at], place, other, weight)], names=["id", "place", "other", "weight"])
+
+    return run
+
+
+def _rows_of_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """book, relations: a book's name stands at place 0, those of its relations follow."""
+    for t, starts in _runs(batches, "id", ("id", "place")):
+        ends = np.append(starts, t.num_rows)
+        rest = np.ones(t.num_rows, bool)
+        rest[starts] = False
+        own, names = t["name"].chunk(0).take(pa.array(starts)), t.filter(pa.array(rest)).combine_chunks()
+        relations = pa.StructArray.from_arrays([names["name"].chunk(0), names["weight"].chunk(0)] if names.num_rows else [pa.array([], pa.string()), pa.array([], pa.int64())], names=["other", "weight"])
+        found = pa.record_batch([own, pa.ListArray.from_arrays(pa.array((ends - np.arange(len(ends))).astype(np.int32)), relations)], names=["book", "relations"])
+        yield found.filter(pa.array(np.diff(ends) > 1))
 
 
 def related_first(signals: DataFrame, top: int = 8, block: int = BLOCK, entries: int = ROUND) -> DataFrame:
     """book, relations: what `compact` gives of all edges between books, made in rounds."""
     ids = numbered(signals)
-    names = bounded(ids.select(F.col("id").alias("other"), F.col("book").alias("name")))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "other"))
-
-    def named(pairs: DataFrame) -> DataFrame:
-        # numbers are in the order of names
-        first = pairs.withColumn("place", place).filter(F.col("place") <= top).join(names, "other")
-        by = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "weight"))), lambda x: F.struct(x["name"].alias("other"), x["weight"].alias("weight"))).alias("relations"))
-        return kept(by.join(bounded(ids), "id").select("book", "relations"), "graph-first")
-
-    return reduce(DataFrame.unionByName, [named(pairs) for pairs in related(signals, ids, block, entries)])
+    # numbers are in the order of names; names meet the first few alone, of all rounds at once
+    first = reduce(DataFrame.unionByName, [kept(lists.mapInArrow(_first(top), "id long, place long, other long, weight long"), "graph-first") for lists in related(signals, ids, block, entries)])
+    names = kept(ids.select("id", F.col("book").alias("name")).distinct(), "graph-names")
+    named = first.join(names.withColumnRenamed("id", "other"), "other").select("id", "place", "name", "weight")
+    rows = named.unionByName(names.select("id", F.lit(0).cast("long").alias("place"), "name", F.lit(0).cast("long").alias("weight")))
+    return rows.repartition("id").sortWithinPartitions("id", "place").mapInArrow(_rows_of_books, "book string, relations array<struct<other: string, weight: long>>")
+
+
+def counted(signals: DataFrame, books: DataFrame, derived: DataFrame, block: int = BLOCK, entries: int = ROUND) -> DataFrame:
+    """measure, n: what `summary` says of the full graph, edges between books included, of `numbered_signals`, without making its vertices and edges.
+
+    Chunks, their books and shared signals are vertices because signals name them, so that of their edges none dangles; derived
+    edges (book, origin) have ends of their own, which are looked for among the books.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    told = lambda df, **counts: kept(df.agg(*[zero(c).alias(k) for k, c in counts.items()]), "graph-counts").select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in counts])))
+    lists = _listed(numbered(signals), block)
+    shared = lists.filter("blocks = 1").select("chunks").unionByName(lists.filter("blocks > 1").groupBy("signal").agg(F.sum("chunks").alias("chunks")).filter("chunks > 1").select("chunks"))
+    chunks = signals.groupBy("chunk").agg(F.count_distinct("id").alias("n"))
+    edges = derived.filter("book <> '' AND origin <> '' AND book <> origin").select("book", "origin").distinct()
+    named = signals.select("book").unionByName(books.filter("book <> ''").select("book")).select("book", F.lit(1).alias("there"), F.lit(0).alias("ends"))
+    ends = named.unionByName(edges.select(F.explode(F.array("book", "origin")).alias("book"), F.lit(0).alias("there"), F.lit(1).alias("ends"))).groupBy("book").agg(F.max("there").alias("there"), F.sum("ends").alias("ends"))
+    return (
+        told(ends, **{"vertices:book": F.sum("there"), "edges:derived": F.sum("ends") / 2, "dangling": F.sum(F.when(F.col("there") == 0, F.col("ends")))})
+        .unionByName(told(chunks, **{"vertices:chunk": F.count("*"), "edges:in": F.sum("n")}))
+        .unionByName(told(shared, **{"vertices:signal": F.count("*"), "edges:has": F.sum("chunks")}))
+        .unionByName(_pair_count(lists, entries))
+    )
 
 
 def vertices(books: DataFrame, signals: DataFrame, edges: DataFrame) -> DataFrame:

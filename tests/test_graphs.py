@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from stratum.operators import graphs as g
@@ -85,3 +87,53 @@ def test_shuffles_end_with_the_table_they_make(spark):
     assert kept(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "freed").schema.names == ["k", "count"]
     made = range(first + 1, spark.sparkContext._jsc.sc().newShuffleId())
     assert len(made) > 0 and not any(known.containsShuffle(k) for k in made) and spark.conf.get(FREED, "false") == setting
+
+
+FIELDS = {"command": "commands", "object": "objects"}
+
+
+@pytest.mark.parametrize("block, ordered", [(512, False), (4, True)])
+def test_counts_are_those_of_the_tables(spark, block, ordered):
+    rows = chunks() + [("b1", 3, ["x"], ["o1"])]
+    frame = spark.createDataFrame([*rows, *rows[:20]], CHUNK)
+    books = spark.createDataFrame([("b1", "One"), ("empty", "No chunks"), ("", "None")], "book string, title string")
+    derived = spark.createDataFrame([("b1", "b2"), ("b1", "b2"), ("b1", "gone"), ("lost", "gone"), ("b2", "b2"), ("", "b1")], "book string, origin string")
+    signals = g.chunk_signals(frame, FIELDS).localCheckpoint()
+    hyper = g.hyperedges(signals)
+    edges = g.edges_of(signals, hyper, g.book_pairs(signals), derived)
+    told = {r.measure: r.n for r in g.summary(g.vertices(books.filter("book <> ''"), signals, hyper), edges).collect()}
+    numbered = g.numbered_signals(frame, FIELDS, ordered).localCheckpoint()
+    assert {r.measure: r.n for r in g.counted(numbered, books, derived, block).collect()} == told and told["dangling"] == 3
+    assert {tuple(r) for r in numbered.select("book", "chunk", "kind", "value").collect()} == {tuple(r) for r in signals.select("book", "chunk", "kind", "value").collect()}
+    ids = numbered.select("id", "book").distinct().orderBy("id").collect()
+    assert len({r.id for r in ids}) == len({r.book for r in ids}) == len(ids) and (not ordered or [r.book for r in ids] == sorted(r.book for r in ids))
+
+
+def test_pairs_are_dealt_once(spark):
+    """Lists that count pairs go to the lesser book alone: half as many entries, a row a list and book."""
+    signals = g.chunk_signals(spark.createDataFrame(chunks(), CHUNK), FIELDS).localCheckpoint()
+    entries = lambda both: sum(len(r.others) for dealt in g.related(signals, g.numbered(signals), both=both) for r in dealt.collect())
+    sizes = [n for _, n in expected(chunks_of(signals))[0].values() if n > 1]
+    assert entries(True) == sum(n * n for n in sizes) and entries(False) == sum(n * (n - 1) // 2 for n in sizes)
+
+
+def chunks_of(signals):
+    return [(r.book, r.chunk, [r.value] if r.kind == "command" else [], [r.value] if r.kind == "object" else []) for r in signals.collect()]
+
+
+@pytest.mark.parametrize("span", [1, 7, 1 << 20])
+@pytest.mark.parametrize("far", [1, 1 << 59])
+def test_books_are_weighed_whole_however_rows_come(span, far):
+    r = random.Random(span)
+    rows = [(0, [r.randrange(9) * far for _ in range(r.randrange(6))]) for _ in range(40)] + [(7 + i, [r.randrange(9) * far for _ in range(r.randrange(6))]) for i in range(5) for _ in range(3)]
+    batches = [pa.record_batch([pa.array([i for i, _ in part], pa.int64()), pa.array([o for _, o in part], pa.list_(pa.int64()))], names=["id", "others"]) for part in (rows[k : k + 4] for k in range(0, len(rows), 4))]
+    got = [(int(own[a]), int(o), int(w)) for own, at, other, weight in g._weighed(batches, span) for a, o, w in zip(at, other, weight)]
+    assert got == sorted((i, o, n) for (i, o), n in Counter((i, o) for i, others in rows for o in others).items())
+
+
+def test_signals_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(g, "ROWS", 4)
+    rows = [(1, s, i, c, 1) for s, i, c in [("a", 5, 1), ("b", 5, 1), ("a", 3, 2), ("b", 9, 4), ("a", 5, 7), ("a", 5, 1)]] + [(2, "a", k % 2, 0, 2) for k in range(30)] + [(3, "c", 8, 8, 1)]
+    batch = lambda part: pa.record_batch([pa.array(x) for x in zip(*part)], names=["h", "signal", "id", "chunk", "blocks"])
+    got = [tuple(r.values()) for out in g._lists(iter([batch(rows[:3]), batch(rows[3:20]), batch(rows[20:])])) for r in out.to_pylist()]
+    assert sorted(got) == [("a", 1, 3, [3, 5]), ("a", 2, 2, [0, 1]), ("b", 1, 2, [5, 9]), ("c", 1, 1, [8])]
