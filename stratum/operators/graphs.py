@@ -31,8 +31,8 @@ from stratum.operators.retrieval import bounded, kept
 BLOCK = 512
 #: Entries of lists that a round deals at least, and for each book of a signal; and those of one task, about.
 ROUND, ROUND_SHARE, TASK = 1 << 25, 4, 1 << 20
-#: Rows that Python looks at at once, at least.
-ROWS = 1 << 15
+#: Rows that Python looks at at once, at least, and entries of lists.
+ROWS, SPAN = 1 << 15, 1 << 17
 
 
 def chunk_signals(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -74,11 +74,15 @@ def _value(told: Column) -> Column:
     return F.when(rare, signal(told)).otherwise(F.lower(F.trim(told)))
 
 
-def numbered_signals(chunks: DataFrame, fields: dict[str, str], ordered: bool = True) -> DataFrame:
-    """id, book, chunk, kind, value of each signal of each chunk, with the books' numbers: one shuffle, of the chunks. Where a chunk has a signal twice its row may come twice; what counts them counts it once."""
+def numbered_signals(chunks: DataFrame, fields: dict[str, str | Column], ordered: bool = True) -> DataFrame:
+    """id, book, chunk, kind, value of each signal of each chunk, with the books' numbers: one shuffle, of the chunks.
+
+    fields: kind -> an array, as a column's name or what makes it of the chunks' columns, which are then shuffled in its place.
+    Where a chunk has a signal twice its row may come twice; what counts them counts it once.
+    """
     told = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("told"))
-    each = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), told(k)) for k, c in fields.items()]
-    rows = _numbered(chunks.filter("book <> '' AND chunk IS NOT NULL").select("book", "chunk", *dict.fromkeys(fields.values())), ordered)
+    each = [F.transform(F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")), told(k)) for k, c in fields.items()]
+    rows = _numbered(chunks.filter("book <> '' AND chunk IS NOT NULL"), ordered)
     # a value is made plain beside the explode: inside an array's lambda it would be interpreted
     own = rows.select("id", "book", "chunk", F.inline(F.concat(*each))).select("id", "book", "chunk", "kind", _value(F.col("told")).alias("value"))
     return own.filter("value <> ''")
@@ -176,7 +180,7 @@ def _dealt(listed: DataFrame, entries: int, both: bool) -> Iterator[DataFrame]:
         yield met.repartition(tasks, "id").sortWithinPartitions("id")
 
 
-def _weighed(batches: Iterable[pa.RecordBatch], span: int = TASK) -> Iterator[tuple[np.ndarray, ...]]:
+def _weighed(batches: Iterable[pa.RecordBatch], span: int = SPAN) -> Iterator[tuple[np.ndarray, ...]]:
     """own, at, other, weight of whole books: in how many lists of own[at] the other is, by at and other. Rows come by id; about span entries are counted at once, and a book of more bit by bit."""
 
     def counted(ids: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -184,14 +188,18 @@ def _weighed(batches: Iterable[pa.RecordBatch], span: int = TASK) -> Iterator[tu
         own, at = ids[new], np.repeat(np.cumsum(new) - 1, sizes)
         bits = int(others.max(initial=0)).bit_length()
         if bits + len(own).bit_length() < 64:
-            key = (at << bits) | others
+            key = at << bits
+            key |= others
             key.sort()
-            at, others = key >> bits, key & ((1 << bits) - 1)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            first = key[starts]
+            at, others = first >> bits, first & ((1 << bits) - 1)
         else:
             order = np.lexsort((others, at))
             at, others = at[order], others[order]
-        starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (others[1:] != others[:-1]))[: len(at)])
-        return own, at[starts], others[starts], np.diff(np.append(starts, len(at)))
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (others[1:] != others[:-1]))[: len(at)])
+            at, others = at[starts], others[starts]
+        return own, at, others, np.diff(np.append(starts, sizes.sum()))
 
     def merged(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
         """What left, a single book, and right say, where both may be of the same book."""
@@ -254,14 +262,14 @@ def _first(top: int):
         for own, at, other, weight in _weighed(batches):
             there = other != own[at]
             at, other, weight = at[there], other[there], weight[there]
+            begins = lambda: np.searchsorted(at, np.arange(len(own)))  # noqa: B023, E731
             # others come in their order: of those with a weight of one, a book's first `top` are enough
             ones = np.append(0, np.cumsum(weight == 1))
-            nth = ones[1:] - ones[np.searchsorted(at, at)]
-            some = (weight > 1) | (nth <= top)
+            some = (weight > 1) | (ones[1:] - ones[begins()][at] <= top)
             at, other, weight = at[some], other[some], weight[some]
             order = np.lexsort((other, -weight, at))
             at, other, weight = at[order], other[order], weight[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at) + 1
+            place = np.arange(len(at)) - begins()[at] + 1
             some = place <= top
             yield pa.record_batch([pa.array(x[some]) for x in (own[at], place, other, weight)], names=["id", "place", "other", "weight"])
 
@@ -269,14 +277,15 @@ def _first(top: int):
 
 
 def _rows_of_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """book, relations: a book's name stands at place 0, those of its relations follow."""
+    """book, relations: a book's name stands at place 0, those of its relations follow. Rows come by id."""
     for t, starts in _runs(batches, "id", ("id", "place")):
         ends = np.append(starts, t.num_rows)
+        order = np.lexsort((t["place"].to_numpy(), np.repeat(np.arange(len(starts)), np.diff(ends))))
         rest = np.ones(t.num_rows, bool)
         rest[starts] = False
-        own, names = t["name"].chunk(0).take(pa.array(starts)), t.filter(pa.array(rest)).combine_chunks()
-        relations = pa.StructArray.from_arrays([names["name"].chunk(0), names["weight"].chunk(0)] if names.num_rows else [pa.array([], pa.string()), pa.array([], pa.int64())], names=["other", "weight"])
-        found = pa.record_batch([own, pa.ListArray.from_arrays(pa.array((ends - np.arange(len(ends))).astype(np.int32)), relations)], names=["book", "relations"])
+        names, weights = t["name"].chunk(0), t["weight"].chunk(0)
+        relations = pa.StructArray.from_arrays([x.take(pa.array(order[rest])) for x in (names, weights)], names=["other", "weight"])
+        found = pa.record_batch([names.take(pa.array(order[starts])), pa.ListArray.from_arrays(pa.array((ends - np.arange(len(ends))).astype(np.int32)), relations)], names=["book", "relations"])
         yield found.filter(pa.array(np.diff(ends) > 1))
 
 
@@ -288,7 +297,7 @@ def related_first(signals: DataFrame, top: int = 8, block: int = BLOCK, entries:
     names = kept(ids.select("id", F.col("book").alias("name")).distinct(), "graph-names")
     named = first.join(names.withColumnRenamed("id", "other"), "other").select("id", "place", "name", "weight")
     rows = named.unionByName(names.select("id", F.lit(0).cast("long").alias("place"), "name", F.lit(0).cast("long").alias("weight")))
-    return rows.repartition("id").sortWithinPartitions("id", "place").mapInArrow(_rows_of_books, "book string, relations array<struct<other: string, weight: long>>")
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(_rows_of_books, "book string, relations array<struct<other: string, weight: long>>")
 
 
 def counted(signals: DataFrame, books: DataFrame, derived: DataFrame, block: int = BLOCK, entries: int = ROUND) -> DataFrame:

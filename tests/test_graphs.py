@@ -137,3 +137,13 @@ def test_signals_of_one_hash_are_told_apart(monkeypatch):
     batch = lambda part: pa.record_batch([pa.array(x) for x in zip(*part)], names=["h", "signal", "id", "chunk", "blocks"])
     got = [tuple(r.values()) for out in g._lists(iter([batch(rows[:3]), batch(rows[3:20]), batch(rows[20:])])) for r in out.to_pylist()]
     assert sorted(got) == [("a", 1, 3, [3, 5]), ("a", 2, 2, [0, 1]), ("b", 1, 2, [5, 9]), ("c", 1, 1, [8])]
+
+
+def test_first_relations_come_without_a_sort_by_place():
+    lists = pa.record_batch([pa.array([1, 1, 2]), pa.array([[1, 5, 3, 9], [9, 1, 4], [7, 2]])], names=["id", "others"])
+    first = [tuple(r.values()) for out in g._first(3)(iter([lists])) for r in out.to_pylist()]
+    assert first == [(1, 1, 9, 2), (1, 2, 3, 1), (1, 3, 4, 1), (2, 1, 7, 1)]
+    rows = [(1, 2, "c", 1), (1, 0, "own", 0), (1, 1, "i", 2), (2, 0, "two", 0), (3, 0, "three", 0), (3, 1, "g", 1)]
+    batch = pa.record_batch([pa.array(x) for x in zip(*rows)], names=["id", "place", "name", "weight"])
+    got = [r for out in g._rows_of_books(iter([batch])) for r in out.to_pylist()]
+    assert [(r["book"], [(x["other"], x["weight"]) for x in r["relations"]]) for r in got] == [("own", [("i", 2), ("c", 1)]), ("three", [("g", 1)])]
